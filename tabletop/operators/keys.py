@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -10,10 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SINGLE_ERROR = 0.01
-_PAIR_ERROR = 0.05
-# Estimates may fall short of the truth by this many standard errors before a column is ruled out.
-_SLACK = 8
+# Sketches of 2^14 registers for columns and 2^11 for pairs: standard errors of about 0.8 and 2.3 percent.
+_COLUMN_REGISTERS, _PAIR_REGISTERS = 14, 11
+# A column is ruled out only where the estimate falls short of the row count by many standard errors.
+_COLUMN_SHARE, _PAIR_SHARE = 0.9, 0.8
+
+
+_TEXT_ORDERED = {"string", "date", "timestamp", "timestamp_ntz"}
+
+# Per table the keys, each a tuple of column names.
+Found = dict[str, list[tuple[str, ...]]]
 
 
 def candidate_keys(primary: Column, unique: Column) -> Column:
@@ -25,61 +31,100 @@ def _orderable(data_type: T.DataType) -> bool:
     return not isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.BinaryType, T.NullType))
 
 
-def _exact_keys(df: DataFrame, candidates: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
-    """Those candidates whose value combinations are all different.
+def _exact_keys(tables: Mapping[str, DataFrame], candidates: Mapping[str, list[tuple[str, ...]]]) -> Found:
+    """Those candidates whose value combinations are all different, all tables checked in one job.
 
-    Every value combination is counted first, with partial sums before the shuffle, so a value that fills a third of
-    the table costs one row per task.
+    Equal combinations are counted with partial sums before the shuffle, so a value that fills a third of the table
+    costs one row per task; of each candidate at most one repeated combination is reported.
     """
-    kept = []
-    for columns in candidates:
-        values = df.groupBy(*[F.col(f"`{name}`") for name in columns]).agg(F.count("*").alias("copies"))
-        repeated = values.where("copies > 1").limit(1)
-        if repeated.isEmpty():
-            kept.append(columns)
-    return kept
+    def repeated(i: int, name: str, columns: tuple[str, ...]) -> DataFrame:
+        counted = tables[name].groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count("*").alias("copies"))
+        return counted.where("copies > 1").limit(1).select(F.lit(i).alias("candidate"))
+
+    listed = [(name, columns) for name, wanted in candidates.items() for columns in wanted]
+    ruled_out = set()
+    if listed:
+        found = reduce(DataFrame.union, [repeated(i, name, columns) for i, (name, columns) in enumerate(listed)])
+        ruled_out = {row["candidate"] for row in found.collect()}
+    return {
+        table: [columns for i, (name, columns) in enumerate(listed) if name == table and i not in ruled_out]
+        for table in candidates
+    }
 
 
-def discover_keys(df: DataFrame, max_width: int = 2) -> list[tuple[str, ...]]:
+def discover_keys(tables: Mapping[str, DataFrame], max_width: int = 2) -> Found:
     """Columns, or where no single one does pairs of columns, that tell all rows apart and are never null.
 
-    One aggregation estimates the distinct values of every column and rules most columns out; what is left is checked
-    exactly. Pairs are looked at only where no column is a key, and only if their distinct values could suffice.
+    One aggregation per table estimates the distinct values of every column and rules most columns out; what is left is
+    checked exactly. Pairs are looked at only where no column is a key, and only if their distinct values could
+    suffice. Each step is one job for all tables; the driver sees a few numbers per column.
     """
-    names = [field.name for field in df.schema if _orderable(field.dataType)]
-    sketches = [F.approx_count_distinct(f"`{n}`", _SINGLE_ERROR).alias(f"d{i}") for i, n in enumerate(names)]
-    nulls = [F.count_if(F.col(f"`{n}`").isNull()).alias(f"z{i}") for i, n in enumerate(names)]
-    facts = df.agg(F.count("*").alias("total"), *sketches, *nulls).head()
-    total = facts["total"]
-    if total == 0:
-        return []
-    filled = {n: facts[f"d{i}"] for i, n in enumerate(names) if facts[f"z{i}"] == 0}
-    floor = total * (1 - _SLACK * _SINGLE_ERROR)
-    found = _exact_keys(df, [(n,) for n, distinct in filled.items() if distinct >= floor])
-    if found or max_width < 2:
+    names = {name: [f.name for f in df.schema if _orderable(f.dataType)] for name, df in tables.items()}
+    facts = reduce(
+        DataFrame.union,
+        [
+            df.agg(
+                F.lit(name).alias("table"),
+                F.count("*").alias("total"),
+                F.array(*[_estimate([column], _COLUMN_REGISTERS) for column in names[name]]).alias("distinct"),
+                F.array(*[F.count_if(F.col(f"`{column}`").isNull()) for column in names[name]]).alias("nulls"),
+            )
+            for name, df in tables.items()
+            if names[name]
+        ],
+    ).collect()
+    totals = {row["table"]: row["total"] for row in facts if row["total"]}
+    filled = {
+        row["table"]: {
+            column: distinct
+            for column, distinct, nulls in zip(names[row["table"]], row["distinct"], row["nulls"])
+            if nulls == 0
+        }
+        for row in facts
+        if row["total"]
+    }
+    found: Found = {name: [] for name in tables}
+    found |= _exact_keys(
+        tables,
+        {
+            name: [(column,) for column, distinct in columns.items() if distinct >= totals[name] * _COLUMN_SHARE]
+            for name, columns in filled.items()
+        },
+    )
+    if max_width < 2:
         return found
 
-    pairs = [(a, b) for a, b in combinations(filled, 2) if filled[a] * filled[b] >= floor]
-    if not pairs:
-        return []
-    estimates = [
-        F.approx_count_distinct(F.struct(F.col(f"`{a}`"), F.col(f"`{b}`")), _PAIR_ERROR).alias(f"p{i}")
-        for i, (a, b) in enumerate(pairs)
+    pairs = {
+        name: [
+            (a, b) for a, b in combinations(columns, 2) if columns[a] * columns[b] >= totals[name] * _COLUMN_SHARE
+        ]
+        for name, columns in filled.items()
+        if not found[name]
+    }
+    sketched = [
+        tables[name].agg(
+            F.lit(name).alias("table"), F.array(*[_estimate(pair, _PAIR_REGISTERS) for pair in wanted]).alias("distinct")
+        )
+        for name, wanted in pairs.items()
+        if wanted
     ]
-    seen = df.agg(*estimates).head()
-    floor = total * (1 - _SLACK * _PAIR_ERROR)
-    return _exact_keys(df, [pair for i, pair in enumerate(pairs) if seen[f"p{i}"] >= floor])
+    if sketched:
+        likely = {
+            row["table"]: [
+                pair
+                for pair, distinct in zip(pairs[row["table"]], row["distinct"])
+                if distinct >= totals[row["table"]] * _PAIR_SHARE
+            ]
+            for row in reduce(DataFrame.union, sketched).collect()
+        }
+        found |= _exact_keys(tables, likely)
+    return found
 
 
-def discovered_keys_frame(tables: Mapping[str, DataFrame], max_width: int = 2) -> DataFrame:
-    """``table``, ``columns`` (joined by comma), ``width`` of every key found."""
-    spark = next(iter(tables.values())).sparkSession
-    rows = [
-        (name, ",".join(columns), len(columns))
-        for name, df in tables.items()
-        for columns in discover_keys(df, max_width)
-    ]
-    return spark.createDataFrame(rows, "`table` string, columns string, width int")
+def _estimate(columns: Sequence[str], registers: int) -> Column:
+    """Estimated number of distinct values, from a sketch of a few KB per task."""
+    value = F.xxhash64(*[F.col(f"`{name}`") for name in columns])
+    return F.hll_sketch_estimate(F.hll_sketch_agg(value, registers))
 
 
 def check_reference(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
@@ -104,40 +149,109 @@ def check_reference(child: DataFrame, column: str, parent: DataFrame, parent_col
 def discover_references(tables: Mapping[str, DataFrame], keys: Mapping[str, list[str]]) -> DataFrame:
     """Columns all of whose values occur in a key column of another table: candidates for foreign keys.
 
-    ``keys`` names single key columns per table. A pair is checked against the data only if the types agree and the
-    child's smallest and largest value lie within the parent's; those bounds take one pass per table.
+    ``keys`` names single key columns per table. Every table is read twice: for the smallest and largest value of its
+    columns, which rule most columns out, and for the different values of the others. Those values, each once per
+    column, meet in one shuffle; a value's group holds at most one entry per column. A child is contained in a parent
+    if the parent has as many of the child's values as the child itself.
     """
     spark = next(iter(tables.values())).sparkSession
-    bounds: dict[tuple[str, str], tuple] = {}
-    for name, df in tables.items():
-        columns = [field.name for field in df.schema if _orderable(field.dataType)]
-        facts = df.agg(
-            *[f(F.col(f"`{c}`")).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("a", F.min), ("b", F.max))]
-        ).head()
-        for i, column in enumerate(columns):
-            if facts[f"a{i}"] is not None:
-                bounds[name, column] = (_family(df.schema[column].dataType), facts[f"a{i}"], facts[f"b{i}"])
-
-    checks = []
-    for (child, column), (kind, low, high) in bounds.items():
-        for parent, parent_columns in keys.items():
-            for parent_column in parent_columns:
-                if parent == child or (parent, parent_column) not in bounds:
-                    continue
-                parent_kind, parent_low, parent_high = bounds[parent, parent_column]
-                if kind == parent_kind and parent_low <= low and high <= parent_high:
-                    result = check_reference(tables[child], column, tables[parent], parent_column)
-                    checks.append(
-                        result.where("orphan_rows = 0").select(
-                            F.lit(child).alias("child_table"),
-                            F.lit(column).alias("child_column"),
-                            F.lit(parent).alias("parent_table"),
-                            F.lit(parent_column).alias("parent_column"),
-                            "child_rows",
-                        )
-                    )
+    bounds = _bounds(tables)
+    parents = [(name, column) for name, columns in keys.items() for column in columns if (name, column) in bounds]
+    pairs = [
+        (child, parent)
+        for child, facts in bounds.items()
+        for parent in parents
+        if child[0] != parent[0] and _may_contain(bounds[parent], facts)
+    ]
     schema = "child_table string, child_column string, parent_table string, parent_column string, child_rows bigint"
-    return reduce(DataFrame.union, checks) if checks else spark.createDataFrame([], schema)
+    if not pairs:
+        return spark.createDataFrame([], schema)
+
+    numbers = {place: i for i, place in enumerate(sorted({place for pair in pairs for place in pair}))}
+    named = spark.createDataFrame(
+        [(numbers[child], numbers[parent], *child, *parent) for child, parent in pairs],
+        "child int, parent int, child_table string, child_column string, parent_table string, parent_column string",
+    )
+    values = reduce(
+        DataFrame.union,
+        [
+            _column_values(df, {column: number for (table, column), number in numbers.items() if table == name})
+            for name, df in tables.items()
+            if any(table == name for table, _ in numbers)
+        ],
+    )
+    children = sorted({numbers[child] for child, _ in pairs})
+    by_value = values.groupBy("family", "value").agg(F.collect_list(F.struct("place", "copies")).alias("holders"))
+    shared = (
+        by_value.select(F.explode("holders").alias("own"), "holders")
+        .where(F.col("own.place").isin(children))
+        .select(F.col("own.place").alias("child"), F.col("own.copies").alias("copies"), F.explode("holders.place").alias("parent"))
+    )
+    # The child itself is among the holders, so its own count of values comes along as the pair (child, child).
+    counted = shared.groupBy("child", "parent").agg(F.count("*").alias("common"), F.sum("copies").alias("child_rows"))
+    whole = counted.where("child = parent").select("child", F.col("common").alias("needed"))
+    contained = counted.join(whole, "child").where("common = needed")
+    return contained.join(named, ["child", "parent"]).select(*[field.split()[0] for field in schema.split(", ")])
+
+
+def _column_values(df: DataFrame, numbered: Mapping[str, int]) -> DataFrame:
+    """``family``, ``value`` as text, ``place``, ``copies``: the different values of the numbered columns, one scan.
+
+    Long texts stand for themselves by their SHA-256 digest, to keep the shuffle narrow.
+    """
+    entries = []
+    for column, number in numbered.items():
+        text = F.col(f"`{column}`").cast("string")
+        short = F.when(F.length(text) > 80, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+        family = _family(df.schema[column].dataType)
+        entries.append(F.struct(F.lit(family).alias("family"), short.alias("value"), F.lit(number).alias("place")))
+    long = df.select(F.inline(F.array(*entries))).where(F.col("value").isNotNull())
+    return long.groupBy("family", "value", "place").agg(F.count("*").alias("copies"))
+
+
+def _bounds(tables: Mapping[str, DataFrame]) -> dict[tuple[str, str], tuple]:
+    """(table, column) → family, smallest and largest value; columns without values are left out.
+
+    Whole numbers are compared as such, dates and texts by their text; of other types only the family counts.
+    """
+    def facts(name: str, df: DataFrame) -> DataFrame:
+        entries = []
+        for field in df.schema:
+            if not _orderable(field.dataType):
+                continue
+            column, family = F.col(f"`{field.name}`"), _family(field.dataType)
+            low, high, no_number, no_text = F.min(column), F.max(column), F.lit(None).cast("bigint"), F.lit(None).cast("string")
+            is_number, is_text = family == "integer", family in _TEXT_ORDERED
+            entries.append(
+                F.struct(
+                    F.lit(name).alias("table"),
+                    F.lit(field.name).alias("column"),
+                    F.lit(family).alias("family"),
+                    (F.count(column) > 0).alias("has_values"),
+                    (low.cast("bigint") if is_number else no_number).alias("low"),
+                    (high.cast("bigint") if is_number else no_number).alias("high"),
+                    (low.cast("string") if is_text else no_text).alias("first"),
+                    (high.cast("string") if is_text else no_text).alias("last"),
+                )
+            )
+        return df.agg(F.array(*entries).alias("entries")).select(F.inline("entries"))
+
+    rows = reduce(DataFrame.union, [facts(name, df) for name, df in tables.items()]).where("has_values").collect()
+    return {
+        (row["table"], row["column"]): (row["family"], row["low"], row["high"], row["first"], row["last"]) for row in rows
+    }
+
+
+def _may_contain(parent: tuple, child: tuple) -> bool:
+    family, low, high, first, last = parent
+    if family != child[0]:
+        return False
+    if low is not None:
+        return low <= child[1] and child[2] <= high
+    if first is not None:
+        # Python orders texts by code point, as Spark does by UTF-8 bytes.
+        return first <= child[3] and child[4] <= last
+    return True
 
 
 def _family(data_type: T.DataType) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def preview(df: DataFrame, limit: int = PREVIEW_ROWS) -> Preview:
     shown = first_rows(df, limit)
     try:
         total = df.count()
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         total = None
     count = shown.count() if total is None else min(total, limit)
     return Preview(df.columns, total, count, shown)

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
+from tabletop.plans import answers, facts, transfer  # noqa: F401 - they register their queries
+from tabletop.plans.answers import flagship
+from tabletop.plans.register import CHECKS, QUERIES, Query
 from tabletop.plans.surface import SAMPLES, STATEMENTS
 
-Query = Callable[[SparkSession, str], DataFrame]
+__all__ = ["flagship", "oracles", "queries"]
 
 
 def queries() -> dict[str, Query]:
-    return {name: statement.run for name, statement in {**STATEMENTS, **SAMPLES}.items()}
+    statements = {name: statement.run for name, statement in {**STATEMENTS, **SAMPLES}.items()}
+    return {**QUERIES, **statements}
 
 
 def oracles() -> dict[str, str]:
-    return {name: statement.oracle for name, statement in STATEMENTS.items()}
-
-
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+    return {**CHECKS, **{name: statement.oracle for name, statement in STATEMENTS.items()}}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,7 +98,7 @@ def read_json(
     try:
         df = reader.json(path)
         order = _first_seen_order(spark.read.text(path))
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         df = reader.option("multiLine", True).json(path)
         texts = spark.read.text(path, wholetext=True)
         order = _first_seen_order(texts)

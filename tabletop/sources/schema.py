@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabletop.functions.text import clean_names
 
+# The words that ANSI mode of Spark SQL can reserve.
+RESERVED_WORDS = """
+    ALL AND ANY AS AUTHORIZATION BOTH CALL CASE CAST CHECK COLLATE COLLATION COLUMN CONSTRAINT CREATE
+    CROSS CURRENT_DATE CURRENT_TIME CURRENT_TIMESTAMP CURRENT_USER DISTINCT ELSE END ESCAPE EXCEPT
+    EXECUTE FALSE FETCH FILTER FOR FOREIGN FROM FULL GRANT GROUP HAVING IN INNER INTERSECT INTO IS JOIN
+    LATERAL LEADING LEFT NATURAL NOT NULL OFFSET ON ONLY OR ORDER OUTER OVERLAPS PRIMARY RECURSIVE
+    REFERENCES RIGHT SELECT SESSION_USER SOME SQL TABLE THEN TIME TO TRAILING UNION UNIQUE UNKNOWN USER
+    USING WHEN WHERE WITH WITHIN
+""".split()
+
 # Tried in this order; the first type that every value fits wins.
-_CANDIDATES = [
-    ("bigint", r"^[+-]?\d+$", T.LongType()),
-    ("double", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$", T.DoubleType()),
-    ("boolean", r"^(?i:true|false)$", T.BooleanType()),
-    ("date", r"^\d{4}-\d{1,2}-\d{1,2}$", T.DateType()),
-    ("timestamp_ntz", r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}", T.TimestampNTZType()),
-]
+_TYPES = [T.LongType(), T.DoubleType(), T.BooleanType(), T.DateType(), T.TimestampNTZType()]
+_LONG, _DOUBLE, _BOOLEAN, _DATE, _TIMESTAMP = (1 << i for i in range(len(_TYPES)))
+
 
+def _fitting_types(text: Column) -> Column:
+    """Bit set of the types a text fits. Its shape is looked at first, so that only likely casts are tried."""
+    def fits(kind: str, bits: int) -> Column:
+        return F.when(text.try_cast(kind).isNotNull(), bits).otherwise(0)
 
-def reserved_words(spark: SparkSession) -> list[str]:
-    """Words that SQL reserves, as the parser itself lists them when it is told to reserve any."""
-    strict = spark.newSession()
-    strict.conf.set("spark.sql.ansi.enabled", "true")
-    strict.conf.set("spark.sql.ansi.enforceReservedKeywords", "true")
-    return [row["keyword"] for row in strict.sql("SELECT keyword FROM sql_keywords() WHERE reserved").collect()]
+    day = r"\d{4}-\d{1,2}-\d{1,2}"
+    return (
+        F.when(text.rlike(r"^[+-]?\d+$"), fits("bigint", _LONG).bitwiseOR(F.lit(_DOUBLE)))
+        .when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.lit(_DOUBLE))
+        .when(F.lower(text).isin("true", "false"), F.lit(_BOOLEAN))
+        .when(text.rlike(f"^{day}$"), fits("date", _DATE | _TIMESTAMP))
+        .when(text.rlike(rf"^{day}[ T]\d{{1,2}}:\d{{2}}"), fits("timestamp_ntz", _TIMESTAMP))
+        .otherwise(F.lit(0))
+    )
 
 
 def infer_schema(df: DataFrame, sample_rows: int | None = None) -> T.StructType:
@@ -32,28 +45,22 @@ def infer_schema(df: DataFrame, sample_rows: int | None = None) -> T.StructType:
     One aggregation over the whole input decides all columns. ``sample_rows`` looks at the first rows only, which is
     quicker and may be wrong for the rest.
     """
-    spark = df.sparkSession
-    names = clean_names(df.columns, reserved_words(spark))
+    names = clean_names(df.columns, RESERVED_WORDS)
     seen = df if sample_rows is None else df.limit(sample_rows)
     texts = [i for i, field in enumerate(df.schema.fields) if isinstance(field.dataType, T.StringType)]
     facts = {}
     if texts:
-        checks = []
-        for i in texts:
-            value = F.col(f"`{df.columns[i]}`")
-            filled = F.nullif(value, F.lit(""))
-            checks.append(F.count(filled).alias(f"n{i}"))
-            for kind, shape, _ in _CANDIDATES:
-                fits = filled.rlike(shape) & filled.try_cast(kind).isNotNull()
-                checks.append(F.count(F.when(fits, True)).alias(f"{kind}{i}"))
-        facts = seen.agg(*checks).head().asDict()
+        # One row per value: the check is compiled once, however many columns there are.
+        values = seen.select(F.posexplode(F.array(*[F.col(f"`{df.columns[i]}`") for i in texts])).alias("column", "text"))
+        filled = values.where("text <> ''").select("column", _fitting_types(F.col("text")).alias("bits"))
+        found = filled.groupBy("column").agg(F.bit_and("bits").alias("bits")).collect()
+        facts = {texts[row["column"]]: row["bits"] for row in found}
 
     fields = []
     for i, (name, field) in enumerate(zip(names, df.schema.fields)):
         data_type = field.dataType
-        if i in texts and facts[f"n{i}"]:
-            fitting = [typ for kind, _, typ in _CANDIDATES if facts[f"{kind}{i}"] == facts[f"n{i}"]]
-            data_type = fitting[0] if fitting else T.StringType()
+        if facts.get(i):
+            data_type = next(typ for bit, typ in enumerate(_TYPES) if facts[i] >> bit & 1)
         fields.append(T.StructField(name, T.StringType() if isinstance(data_type, T.NullType) else data_type))
     return T.StructType(fields)
 

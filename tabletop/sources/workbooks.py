@@ -61,7 +61,7 @@ def _date_styles(archive: zipfile.ZipFile) -> set[int]:
 def _moment(serial: float, date_1904: bool) -> str:
     if 0 <= serial < 1:
         return str((datetime.min + timedelta(seconds=round(serial * 86400, 3))).time())
-    start = datetime(1904, 1, 1) if date_1904 else datetime(1899, 12, 30 if serial >= 61 else 31)
+    start = datetime(1904, 1, 1) if date_1904 else datetime(1899, 12, 30 if serial >= 60 else 31)
     return str(start + timedelta(milliseconds=round(serial * 86400000)))
 
 

@@ -55,4 +55,5 @@ def ingest_incremental(
         .start()
     )
     query.awaitTermination()
+    spark.catalog.refreshTable(table)
     return spark.table(table)
