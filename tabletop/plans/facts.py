@@ -143,23 +143,30 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _unique(name: str, column: str) -> str:
-    return f"(SELECT COUNT(*) = COUNT(DISTINCT {column}) FROM {name})"
+def _single_keys(columns: dict[str, list[str]]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT * FROM (SELECT '{name}' AS "table", '{column}' AS "column")
+            WHERE (SELECT COUNT(*) = COUNT(DISTINCT {column}) FROM {name})"""
+        for name, names in columns.items()
+        for column in names
+    )
+
+
+_NATION = ["n_nationkey", "n_name", "n_regionkey"]
+_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 
 @registered(
     "p7_unique_columns",
-    " UNION ALL ".join(
-        f"""SELECT * FROM (SELECT '{name}' AS "table", '{column}' AS "column") WHERE {_unique(name, column)}"""
-        for name, columns in {
-            "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    _single_keys(
+        {
+            "customer": _CUSTOMER,
             "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
             "pages": ["page_id", "url", "html"],
             "labels": ["doc_id", "quality", "toxic"],
             "documents": ["doc_id", "text", "lang", "source", "n_chars"],
             "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
-        }.items()
-        for column in columns
+        }
     ),
 )
 def unique_columns(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,12 +175,7 @@ def unique_columns(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "`table` string, column string")
 
 
-@registered(
-    "p9_candidate_keys",
-    """SELECT * FROM (SELECT 'nation' AS "table", 'n_name' AS "column" UNION ALL SELECT 'nation', 'n_nationkey'
-                      UNION ALL SELECT 'customer', 'c_custkey' UNION ALL SELECT 'customer', 'c_name')
-       WHERE (SELECT COUNT(DISTINCT c_name) = COUNT(*) FROM customer)""",
-)
+@registered("p9_candidate_keys", _single_keys({"nation": _NATION, "customer": _CUSTOMER}))
 def keys_of_tables(spark: SparkSession, folder: str) -> DataFrame:
     keys = _found_keys(spark, folder, ["nation", "customer"])
     merged = candidate_keys(F.col("primary_keys"), F.array_union("unique_keys", "primary_keys"))
