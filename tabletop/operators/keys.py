@@ -167,46 +167,62 @@ def discover_references(tables: Mapping[str, DataFrame], keys: Mapping[str, list
     if not pairs:
         return spark.createDataFrame([], schema)
 
-    numbers = {place: i for i, place in enumerate(sorted({place for pair in pairs for place in pair}))}
-    named = spark.createDataFrame(
-        [(numbers[child], numbers[parent], *child, *parent) for child, parent in pairs],
-        "child int, parent int, child_table string, child_column string, parent_table string, parent_column string",
-    )
+    places = sorted({place for pair in pairs for place in pair})
+    numbers = {place: i for i, place in enumerate(places)}
     values = reduce(
         DataFrame.union,
         [
             _column_values(df, {column: number for (table, column), number in numbers.items() if table == name})
             for name, df in tables.items()
-            if any(table == name for table, _ in numbers)
+            if any(table == name for table, _ in places)
         ],
     )
-    children = sorted({numbers[child] for child, _ in pairs})
-    by_value = values.groupBy("family", "value").agg(F.collect_list(F.struct("place", "copies")).alias("holders"))
+    distinct = values.groupBy("family", "number", "text", "place").agg(F.count("*").alias("copies"))
+    holders = distinct.groupBy("family", "number", "text").agg(F.collect_list(F.struct("place", "copies")).alias("holders"))
     shared = (
-        by_value.select(F.explode("holders").alias("own"), "holders")
-        .where(F.col("own.place").isin(children))
-        .select(F.col("own.place").alias("child"), F.col("own.copies").alias("copies"), F.explode("holders.place").alias("parent"))
+        holders.select(F.explode("holders").alias("own"), "holders")
+        .where(F.col("own.place").isin(sorted({numbers[child] for child, _ in pairs})))
+        .select(
+            F.col("own.place").alias("child"),
+            F.col("own.copies").alias("copies"),
+            F.explode("holders.place").alias("parent"),
+        )
     )
-    # The child itself is among the holders, so its own count of values comes along as the pair (child, child).
     counted = shared.groupBy("child", "parent").agg(F.count("*").alias("common"), F.sum("copies").alias("child_rows"))
-    whole = counted.where("child = parent").select("child", F.col("common").alias("needed"))
-    contained = counted.join(whole, "child").where("common = needed")
-    return contained.join(named, ["child", "parent"]).select(*[field.split()[0] for field in schema.split(", ")])
+    # One row per pair of columns. The child is among its own holders: its number of values is the count of (child, child).
+    counts = {(row["child"], row["parent"]): (row["common"], row["child_rows"]) for row in counted.collect()}
+    rows = []
+    for child, parent in pairs:
+        own = numbers[child]
+        if counts.get((own, numbers[parent]), (0,))[0] == counts[own, own][0]:
+            rows.append((*child, *parent, counts[own, own][1]))
+    return spark.createDataFrame(rows, schema)
 
 
 def _column_values(df: DataFrame, numbered: Mapping[str, int]) -> DataFrame:
-    """``family``, ``value`` as text, ``place``, ``copies``: the different values of the numbered columns, one scan.
+    """The values of the numbered columns below each other: ``family``, the value, ``place``; one scan.
 
-    Long texts stand for themselves by their SHA-256 digest, to keep the shuffle narrow.
+    Whole numbers stay such in ``number``, anything else is ``text``; long texts stand for themselves by their SHA-256
+    digest, to keep the shuffle narrow.
     """
     entries = []
     for column, number in numbered.items():
-        text = F.col(f"`{column}`").cast("string")
-        short = F.when(F.length(text) > 80, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
-        family = _family(df.schema[column].dataType)
-        entries.append(F.struct(F.lit(family).alias("family"), short.alias("value"), F.lit(number).alias("place")))
-    long = df.select(F.inline(F.array(*entries))).where(F.col("value").isNotNull())
-    return long.groupBy("family", "value", "place").agg(F.count("*").alias("copies"))
+        value, family = F.col(f"`{column}`"), _family(df.schema[column].dataType)
+        if family == "integer":
+            as_number, as_text = value.cast("bigint"), F.lit(None).cast("string")
+        else:
+            text = value.cast("string")
+            as_number = F.lit(None).cast("bigint")
+            as_text = F.when(F.length(text) > 80, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+        entries.append(
+            F.struct(
+                F.lit(family).alias("family"),
+                as_number.alias("number"),
+                as_text.alias("text"),
+                F.lit(number).alias("place"),
+            )
+        )
+    return df.select(F.inline(F.array(*entries))).where("number IS NOT NULL OR text IS NOT NULL")
 
 
 def _bounds(tables: Mapping[str, DataFrame]) -> dict[tuple[str, str], tuple]:
@@ -220,7 +236,8 @@ def _bounds(tables: Mapping[str, DataFrame]) -> dict[tuple[str, str], tuple]:
             if not _orderable(field.dataType):
                 continue
             column, family = F.col(f"`{field.name}`"), _family(field.dataType)
-            low, high, no_number, no_text = F.min(column), F.max(column), F.lit(None).cast("bigint"), F.lit(None).cast("string")
+            low, high = F.min(column), F.max(column)
+            no_number, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
             is_number, is_text = family == "integer", family in _TEXT_ORDERED
             entries.append(
                 F.struct(

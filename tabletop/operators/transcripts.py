@@ -28,9 +28,8 @@ def _tagged(text: Column, tag: str) -> Column:
     """Contents of every closed ``<tag>`` and, if one is left open after them, what follows it so far."""
     block = rf"<{tag}>([\s\S]*?)</{tag}>"
     closed = F.regexp_extract_all(text, F.lit(block), F.lit(1))
-    rest = F.regexp_replace(text, block, "")
-    unfinished = F.when(rest.contains(f"<{tag}>"), F.array(F.regexp_extract(rest, rf"<{tag}>([\s\S]*)$", 1)))
-    return F.concat(closed, F.coalesce(unfinished, F.array().cast("array<string>")))
+    left_open = F.regexp_extract_all(F.regexp_replace(text, block, ""), F.lit(rf"<{tag}>([\s\S]*)$"), F.lit(1))
+    return F.concat(closed, left_open)
 
 
 def _without_tags(text: Column) -> Column:
@@ -46,8 +45,11 @@ def split_reply(replies: DataFrame, text: str = "text") -> DataFrame:
     whole = F.col(text)
 
     def part(tag: str) -> Column:
-        blocks = F.transform(_tagged(whole, tag), lambda block: F.trim(_without_tags(block), F.lit(_BLANKS)))
-        return F.when(F.size(blocks) > 0, F.array_join(blocks, "\n\n"))
+        return F.reduce(
+            _tagged(whole, tag),
+            F.lit(None).cast("string"),
+            lambda before, block: F.concat_ws("\n\n", before, F.trim(_without_tags(block), F.lit(_BLANKS))),
+        )
 
     return replies.withColumns({"query": part("query"), "comment": part("comment")})
 

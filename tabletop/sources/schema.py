@@ -24,7 +24,7 @@ _LONG, _DOUBLE, _BOOLEAN, _DATE, _TIMESTAMP = (1 << i for i in range(len(_TYPES)
 
 
 def _fitting_types(text: Column) -> Column:
-    """Bit set of the types a text fits. Its shape is looked at first, so that only likely casts are tried."""
+    """Bit set of the types a text fits. Its shape tells which casts to try: one that fails costs an exception."""
     def fits(kind: str, bits: int) -> Column:
         return F.when(text.try_cast(kind).isNotNull(), bits).otherwise(0)
 
