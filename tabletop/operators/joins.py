@@ -28,7 +28,9 @@ def asof_join(
     )
     rights = rights.groupBy("_key", "_time").agg(F.max("_value").alias("_value"))
     rights = rights.withColumn("_cut", F.date_trunc(grain, F.col("_time").cast("timestamp")))
-    lefts = left.select(
+    # A null key or time matches nothing; such rows go past the shuffle, where they would all meet in one task.
+    can_match = F.col(on).isNotNull() & F.col(left_time).isNotNull()
+    lefts = left.where(can_match).select(
         F.col(on).alias("_key"),
         F.col(left_time).alias("_time"),
         F.date_trunc(grain, F.col(left_time).cast("timestamp")).alias("_cut"),
@@ -59,7 +61,9 @@ def asof_join(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     filled = together.withColumn("_value", F.last("_value", ignorenulls=True).over(within)).where("_side = 2")
-    return filled.select("_row.*", *[F.col(f"_value.`{v}`").alias(v) for v in values])
+    matched = filled.select("_row.*", *[F.col(f"_value.`{v}`").alias(v) for v in values])
+    nothing = [F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values]
+    return matched.union(left.where(~can_match).select("*", *nothing))
 
 
 def range_join(

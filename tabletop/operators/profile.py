@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabletop.functions.text import size_text
 from tabletop.operators.keys import candidate_keys
-from tabletop.sources.jdbc import bounds_query, quoted, read_query, vendor
+from tabletop.sources.jdbc import bounds_query, count_of, quoted, read_query, vendor
 
 REFERENCE_TYPE = "array<struct<column:string,references_table:string,references_column:string>>"
 
@@ -283,7 +283,7 @@ def profile_remote(spark: SparkSession, options: dict[str, str], schema: str) ->
             row = read_query(spark, options, bounds_query(options, name, key, schema))
             low, high = F.col("low").cast("string"), F.col("high").cast("string")
         else:
-            row = read_query(spark, options, f"SELECT COUNT(*) AS total FROM {source}")
+            row = read_query(spark, options, f"SELECT {count_of(options)} AS total FROM {source}")
             low = high = F.lit(None).cast("string")
         facts.append(
             row.select(

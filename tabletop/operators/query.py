@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Rows a preview shows, and what a statement without rows answers.
 PREVIEW_ROWS = 100
+DONE = "Query executed successfully"
 
 
 def sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def execute(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
     result = sql(spark, text, **frames)
     if result.columns:
         return result
-    return spark.range(1).select(F.lit("Query executed successfully").alias("Message"))
+    return spark.range(1).select(F.lit(DONE).alias("Message"))
 
 
 @dataclass(frozen=True)

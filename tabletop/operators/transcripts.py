@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: messages that a conversation keeps.
 HISTORY_LENGTH = 20
 _CHUNKS_PER_PIECE = 10_000
 

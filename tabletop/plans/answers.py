@@ -18,10 +18,12 @@ from tabletop.sources.files import read_csv, read_json
 
 SALES_PER_NATION = """
     WITH sold AS (
-      SELECT l_orderkey, SUM(l_extendedprice * (1 - l_discount)) AS revenue FROM {lineitem} GROUP BY l_orderkey)
-    SELECT n_name, COUNT(*) AS orders, ROUND(SUM(revenue), 4) AS revenue
-    FROM sold JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
-      JOIN {nation} ON c_nationkey = n_nationkey
+      SELECT l_orderkey, SUM(l_extendedprice * (1 - l_discount)) AS revenue FROM {lineitem} GROUP BY l_orderkey),
+    bought AS (
+      SELECT o_custkey, COUNT(*) AS orders, SUM(revenue) AS revenue
+      FROM sold JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey)
+    SELECT n_name, CAST(SUM(orders) AS BIGINT) AS orders, ROUND(SUM(revenue), 4) AS revenue
+    FROM bought JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
     GROUP BY n_name ORDER BY revenue DESC, n_name LIMIT 10"""
 
 

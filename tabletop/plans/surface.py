@@ -48,10 +48,12 @@ STATEMENTS: dict[str, Statement] = {
     "d3_inner_join": Statement(
         """WITH sold AS (
              SELECT l_orderkey, COUNT(*) AS items, SUM(l_extendedprice * (1 - l_discount)) AS revenue
-             FROM {lineitem} GROUP BY l_orderkey)
+             FROM {lineitem} GROUP BY l_orderkey),
+           bought AS (
+             SELECT o_custkey, o_orderpriority, SUM(items) AS items, SUM(revenue) AS revenue
+             FROM sold JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderpriority)
            SELECT n_name, o_orderpriority, CAST(SUM(items) AS BIGINT) AS items, ROUND(SUM(revenue), 4) AS revenue
-           FROM sold JOIN {orders} ON l_orderkey = o_orderkey
-             JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
+           FROM bought JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
            GROUP BY n_name, o_orderpriority"""
     ),
     "d4_left_join": Statement(

@@ -52,14 +52,6 @@ def working_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tabletop/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage through a table written to the shared folder, which survives lost executors."""
-    spark = df.sparkSession
-    path = working_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def open_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     """Parquet tables ``<folder>/<name>.parquet`` as DataFrames."""
     return {name: spark.read.parquet(os.path.join(folder, f"{name}.parquet")) for name in names}

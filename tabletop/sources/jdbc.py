@@ -30,10 +30,15 @@ def read_query(spark: SparkSession, options: dict[str, str], sql: str) -> DataFr
     return spark.read.format("jdbc").options(**options).option("query", sql.strip().rstrip(";")).load()
 
 
+def count_of(options: dict[str, str]) -> str:
+    """Row count that does not overflow: ``COUNT`` of SQL Server ends at 2^31."""
+    return "COUNT_BIG(*)" if vendor(options) == "sqlserver" else "COUNT(*)"
+
+
 def bounds_query(options: dict[str, str], table: str, column: str, schema: str | None = None) -> str:
     name = quoted(options, column)
     return (
-        f"SELECT MIN({name}) AS low, MAX({name}) AS high, COUNT(*) AS total "
+        f"SELECT MIN({name}) AS low, MAX({name}) AS high, {count_of(options)} AS total "
         f"FROM {quoted(options, schema, table)}"
     )
 

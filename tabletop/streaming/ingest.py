@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabletop.functions.text import clean_names
 from tabletop.operators.load import load_into
@@ -18,6 +19,7 @@ def ingest_incremental(
     sep: str = ",",
     multi_line: bool = False,
     max_files: int | None = None,
+    batch_column: str | None = None,
 ) -> DataFrame:
     """Append to ``table`` the rows of files in ``folder`` that earlier calls have not seen; returns the table.
 
@@ -26,9 +28,10 @@ def ingest_incremental(
     every call, and reachable by all executors. ``max_files`` bounds the files per micro-batch after a long pause.
 
     Lost tasks and executors are repeated without doubling rows. A driver that dies in the short time between the
-    append and the note in the checkpoint appends that batch again at the next call.
+    append and the note in the checkpoint writes that batch again at the next call: name the table's partition column
+    in ``batch_column`` to have every batch replace its own partition, so that a repeated batch changes nothing.
     """
-    schema = spark.table(table).schema
+    schema = T.StructType([field for field in spark.table(table).schema if field.name != batch_column])
     reader = spark.readStream.schema(schema).option("mode", "FAILFAST")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -51,9 +54,19 @@ def ingest_incremental(
     query = (
         ordered.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, number: load_into(table, batch))
+        .foreachBatch(lambda batch, number: append_batch(table, batch, number, batch_column))
         .start()
     )
     query.awaitTermination()
     spark.catalog.refreshTable(table)
     return spark.table(table)
+
+
+def append_batch(table: str, batch: DataFrame, number: int, batch_column: str | None = None) -> None:
+    """Append one micro-batch; with ``batch_column`` as the partition ``number``, whatever that held before."""
+    if batch_column is None:
+        load_into(table, batch)
+        return
+    batch.sparkSession.sql(
+        f"INSERT OVERWRITE {table} PARTITION (`{batch_column}` = {int(number)}) SELECT * FROM {{batch}}", batch=batch
+    )

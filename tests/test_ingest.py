@@ -5,6 +5,7 @@ from tabletop.operators.load import load_into
 from tabletop.plans.transfer import new_database
 from tabletop.session import shared_folder, working_folder
 from tabletop.streaming import ingest_incremental
+from tabletop.streaming.ingest import append_batch
 
 
 def test_each_file_once(spark, tmp_path):
@@ -38,3 +39,17 @@ def test_json_by_name(spark, tmp_path):
 def test_working_folders_are_shared_and_new(spark):
     first, second = working_folder(spark, "x"), working_folder(spark, "x")
     assert first != second and first.startswith(shared_folder(spark))
+
+
+def test_repeated_batch_changes_nothing(spark, tmp_path):
+    inbox, notes = tmp_path / "inbox", str(tmp_path / "notes")
+    inbox.mkdir()
+    name = f"{new_database(spark)}.t"
+    spark.sql(f"CREATE TABLE {name} (id BIGINT, label STRING, batch BIGINT) USING parquet PARTITIONED BY (batch)")
+    for i, text in enumerate(("1,a\n2,b\n", "3,c\n")):
+        (inbox / f"{i}.csv").write_text("id,label\n" + text)
+        ingest_incremental(spark, str(inbox), name, notes, batch_column="batch")
+    expected = [(1, "a", 0), (2, "b", 0), (3, "c", 1)]
+    assert values(spark.table(name)) == expected
+    append_batch(name, spark.createDataFrame([(3, "c")], "id bigint, label string"), 1, "batch")
+    assert values(spark.table(name)) == expected
