@@ -16,6 +16,10 @@ _COLUMN_REGISTERS, _PAIR_REGISTERS = 14, 11
 _COLUMN_SHARE, _PAIR_SHARE = 0.9, 0.8
 
 
+# From this many rows on, a sample is looked through first: a repeated combination in it rules a candidate out at a
+# fraction of the cost. What the sample leaves is still checked on all rows.
+_SAMPLE_FROM, _SAMPLE_SHARE = 10_000_000, 0.01
+
 _TEXT_ORDERED = {"string", "date", "timestamp", "timestamp_ntz"}
 
 # Per table the keys, each a tuple of column names.
@@ -31,7 +35,7 @@ def _orderable(data_type: T.DataType) -> bool:
     return not isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.BinaryType, T.NullType))
 
 
-def _exact_keys(tables: Mapping[str, DataFrame], candidates: Mapping[str, list[tuple[str, ...]]]) -> Found:
+def _exact_keys(tables: Mapping[str, DataFrame], candidates: Found) -> Found:
     """Those candidates whose value combinations are all different, all tables checked in one job.
 
     Equal combinations are counted with partial sums before the shuffle, so a value that fills a third of the table
@@ -84,8 +88,9 @@ def discover_keys(tables: Mapping[str, DataFrame], max_width: int = 2) -> Found:
         if row["total"]
     }
     found: Found = {name: [] for name in tables}
-    found |= _exact_keys(
+    found |= _checked_keys(
         tables,
+        totals,
         {
             name: [(column,) for column, distinct in columns.items() if distinct >= totals[name] * _COLUMN_SHARE]
             for name, columns in filled.items()
@@ -117,10 +122,18 @@ def discover_keys(tables: Mapping[str, DataFrame], max_width: int = 2) -> Found:
             ]
             for row in reduce(DataFrame.union, sketched).collect()
         }
-        found |= _exact_keys(tables, likely)
+        found |= _checked_keys(tables, totals, likely)
     return found
 
 
+def _checked_keys(tables: Mapping[str, DataFrame], totals: Mapping[str, int], candidates: Found) -> Found:
+    large = {name: wanted for name, wanted in candidates.items() if wanted and totals[name] >= _SAMPLE_FROM}
+    if large:
+        samples = {name: tables[name].sample(_SAMPLE_SHARE, seed=7) for name in large}
+        candidates = {**candidates, **_exact_keys(samples, large)}
+    return _exact_keys(tables, candidates)
+
+
 def _estimate(columns: Sequence[str], registers: int) -> Column:
     """Estimated number of distinct values, from a sketch of a few KB per task."""
     value = F.xxhash64(*[F.col(f"`{name}`") for name in columns])

@@ -33,6 +33,7 @@ from tabletop.operators import (
     write_snapshot,
     write_working,
 )
+from tabletop.operators import keys
 from tabletop.operators.profile import KEY_COLUMN_SCHEMA, KEY_SCHEMA
 from tabletop.plans.transfer import new_database
 from tabletop.sources.documents import document_column
@@ -81,9 +82,9 @@ def test_profile(spark, tmp_path):
     people = spark.createDataFrame([(2, "b"), (10, "a")], "id int, name string")
     empty = spark.createDataFrame([], "x double")
     people.write.parquet(str(tmp_path / "people"))
-    keys = spark.createDataFrame([("people", ["id"], ["name", "id"], [])], KEY_SCHEMA)
+    known = spark.createDataFrame([("people", ["id"], ["name", "id"], [])], KEY_SCHEMA)
     sizes = table_sizes(spark, {"people": str(tmp_path / "people")})
-    rows = {row.table: row for row in profile_tables({"people": people, "empty": empty}, keys, sizes).collect()}
+    rows = {row.table: row for row in profile_tables({"people": people, "empty": empty}, known, sizes).collect()}
     row = rows["people"]
     assert (row.row_count, row.first_pk, row.last_pk) == (2, "2", "10")
     assert (row.columns, row.column_types) == (["id", "name"], {"id": "int", "name": "string"})
@@ -103,6 +104,14 @@ def test_discover_keys(spark):
     assert discover_keys({"b": no_id}, 1) == {"b": []}
 
 
+def test_sample_only_rules_out(spark, monkeypatch):
+    """With the sample in use the keys found are the same, also where only two rows of many agree."""
+    monkeypatch.setattr(keys, "_SAMPLE_FROM", 1)
+    df = spark.range(3000).select("id", F.when(F.col("id") == 7, 8).otherwise(F.col("id")).alias("nearly"))
+    assert keys.discover_keys({"t": df}) == {"t": [("id",)]}
+    assert keys.discover_keys({"t": df.select("nearly", (F.col("id") % 50).alias("m"))}) == {"t": [("nearly", "m")]}
+
+
 def test_references_against_brute_force(spark):
     random.seed(5)
     parent = [(i, f"c{i}") for i in range(0, 60, 2)]
