@@ -63,7 +63,10 @@ def discover_keys(tables: Mapping[str, DataFrame], max_width: int = 2) -> Found:
     checked exactly. Pairs are looked at only where no column is a key, and only if their distinct values could
     suffice. Each step is one job for all tables; the driver sees a few numbers per column.
     """
+    found: Found = {name: [] for name in tables}
     names = {name: [f.name for f in df.schema if _orderable(f.dataType)] for name, df in tables.items()}
+    if not any(names.values()):
+        return found
     facts = reduce(
         DataFrame.union,
         [
@@ -87,7 +90,6 @@ def discover_keys(tables: Mapping[str, DataFrame], max_width: int = 2) -> Found:
         for row in facts
         if row["total"]
     }
-    found: Found = {name: [] for name in tables}
     found |= _checked_keys(
         tables,
         totals,

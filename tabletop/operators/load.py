@@ -10,7 +10,8 @@ def load_into(table: str, df: DataFrame) -> None:
     """Append ``df`` to ``table``, columns matched by position; all rows or, on any bad value, none.
 
     Text is converted to the column's type and a value that does not fit is an error (ANSI casts, whatever the
-    session says). Tasks write aside and the job commits at its end, so a failed load leaves the table as it was.
+    session says). Tasks write aside and the job commits at its end, so a failed load leaves the table as it was. That
+    holds for tables of files; an attached database commits task by task, so load a table there that is swapped in later.
     """
     spark = df.sparkSession
     target = spark.table(table).schema

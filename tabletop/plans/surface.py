@@ -135,8 +135,12 @@ STATEMENTS: dict[str, Statement] = {
         """SELECT l_returnflag, COUNT(DISTINCT l_orderkey) > 0 AS is_near FROM lineitem GROUP BY l_returnflag""",
     ),
     "d12_rollup": Statement(
-        """SELECT n_regionkey, n_name, c_mktsegment, COUNT(*) AS customers, ROUND(SUM(c_acctbal), 2) AS balance
-           FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+        """WITH counted AS (
+             SELECT c_nationkey, c_mktsegment, COUNT(*) AS customers, SUM(c_acctbal) AS balance
+             FROM {customer} GROUP BY c_nationkey, c_mktsegment)
+           SELECT n_regionkey, n_name, c_mktsegment, CAST(SUM(customers) AS BIGINT) AS customers,
+                  ROUND(SUM(balance), 2) AS balance
+           FROM counted JOIN {nation} ON c_nationkey = n_nationkey
            GROUP BY ROLLUP (n_regionkey, n_name, c_mktsegment)"""
     ),
     "d12_cube": Statement(
@@ -159,8 +163,9 @@ STATEMENTS: dict[str, Statement] = {
     ),
     "d14_string_agg": Statement(
         """WITH pairs AS (
-             SELECT c_mktsegment, n_name, COUNT(*) AS customers FROM {customer}
-             JOIN {nation} ON c_nationkey = n_nationkey GROUP BY c_mktsegment, n_name)
+             SELECT c_mktsegment, n_name, customers
+             FROM (SELECT c_mktsegment, c_nationkey, COUNT(*) AS customers FROM {customer} GROUP BY 1, 2)
+             JOIN {nation} ON c_nationkey = n_nationkey)
            SELECT c_mktsegment, LISTAGG(n_name, '|') WITHIN GROUP (ORDER BY n_name) AS nations,
                   STRING_AGG(CAST(customers AS STRING), '+') WITHIN GROUP (ORDER BY customers DESC, n_name) AS counts
            FROM pairs GROUP BY c_mktsegment""",
@@ -265,17 +270,21 @@ STATEMENTS: dict[str, Statement] = {
            UNPIVOT (amount FOR measure IN (l_quantity, l_discount, l_tax))"""
     ),
     "d23_values": Statement(
-        """SELECT label, COUNT(*) AS orders, ROUND(SUM(o_totalprice), 2) AS price
-           FROM {orders} JOIN (VALUES ('F', 'finished'), ('O', 'open'), ('P', 'pending')) AS names(code, label)
-             ON o_orderstatus = code GROUP BY label"""
+        """WITH counted AS (
+             SELECT o_orderstatus, COUNT(*) AS orders, ROUND(SUM(o_totalprice), 2) AS price
+             FROM {orders} GROUP BY o_orderstatus)
+           SELECT label, orders, price
+           FROM counted JOIN (VALUES ('F', 'finished'), ('O', 'open'), ('P', 'pending')) AS names(code, label)
+             ON o_orderstatus = code"""
     ),
     "d24_string_functions": Statement(
-        """SELECT doc_id, LENGTH(text) AS chars, MD5(text) AS digest, UPPER(lang) AS lang, SUBSTRING(text, 3, 20) AS part,
-                  LENGTH(REGEXP_REPLACE(text, '[0-9]+', '#')) AS masked_chars,
+        """SELECT doc_id, CAST(LENGTH(text) AS BIGINT) AS chars, MD5(text) AS digest, UPPER(lang) AS lang,
+                  SUBSTRING(text, 3, 20) AS part,
+                  CAST(LENGTH(REGEXP_REPLACE(text, '[0-9]+', '#')) AS BIGINT) AS masked_chars,
                   CONCAT_WS('/', lang, source, CAST(doc_id AS STRING)) AS path,
                   LPAD(CAST(doc_id AS STRING), 8, '0') AS padded, REPLACE(source, 'src', 'origin-') AS origin,
                   SPLIT_PART(source, 'c', 2) AS source_no, STARTSWITH(text, 'T') AS starts_t,
-                  LENGTH(text) - LENGTH(REPLACE(text, 'e', '')) AS letters_e, TRIM(SUBSTRING(text, 1, 5)) AS head
+                  CAST(LENGTH(text) - LENGTH(REPLACE(text, 'e', '')) AS BIGINT) AS letters_e, TRIM(SUBSTRING(text, 1, 5)) AS head
            FROM {documents}""",
         """SELECT doc_id, LENGTH(text) AS chars, MD5(text) AS digest, UPPER(lang) AS lang, SUBSTRING(text, 3, 20) AS part,
                   LENGTH(REGEXP_REPLACE(text, '[0-9]+', '#', 'g')) AS masked_chars,

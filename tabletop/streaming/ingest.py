@@ -17,7 +17,7 @@ def ingest_incremental(
     checkpoint: str,
     file_format: str = "csv",
     sep: str = ",",
-    multi_line: bool = False,
+    multi_line: bool = True,
     max_files: int | None = None,
     batch_column: str | None = None,
 ) -> DataFrame:
@@ -26,6 +26,7 @@ def ingest_incremental(
     CSV columns are matched by position, JSON fields by name. A value that does not fit its column fails the run, and
     the next run takes up the same files. ``checkpoint`` is the folder that remembers what was loaded: the same one for
     every call, and reachable by all executors. ``max_files`` bounds the files per micro-batch after a long pause.
+    ``multi_line=False`` lets many tasks share a large CSV file, where no value is known to hold a line break.
 
     Lost tasks and executors are repeated without doubling rows. A driver that dies in the short time between the
     append and the note in the checkpoint writes that batch again at the next call: name the table's partition column

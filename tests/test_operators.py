@@ -1,5 +1,6 @@
 import datetime
 import random
+import re
 
 import pytest
 from conftest import plan_of, values
@@ -260,6 +261,7 @@ def test_asof_join_against_brute_force(spark):
     )
     for grain in ("hour", "day", "year"):
         got = asof_join(*frames, "k", "at", "t", ["v"], grain)
+        assert re.search(r"hashpartitioning\(_key#\d+, _cut#\d+", plan_of(got))
         assert values(got) == sorted(expected, key=repr)
 
 

@@ -1,4 +1,5 @@
 import datetime
+import random
 from decimal import Decimal
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import types as T
 from workbook_files import write_workbook
 
 from tabletop.functions.text import clean_names
+from tabletop.operators.export import export_csv, export_json, read_export
 from tabletop.operators.load import load_into
 from tabletop.plans.transfer import new_database
 from tabletop.sources import jdbc
@@ -35,6 +37,19 @@ def test_csv_without_breaks_stays_splittable(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("breaks", [True, False])
+def test_csv_round_trip_of_awkward_texts(spark, tmp_path, breaks):
+    random.seed(4)
+    alphabet = ['"', ",", "a", " ", "\\", "'", "#", "é", "\t", "0"] + (["\n", "\r\n"] if breaks else [])
+    texts = ["".join(random.choices(alphabet, k=random.randrange(6))) for _ in range(600)]
+    rows = [(i, text if i % 7 else None, text[::-1]) for i, text in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, a string, b string").repartition(3)
+    export_csv(df, str(tmp_path / "out"))
+    assert values(read_csv(spark, str(tmp_path / "out"))) == sorted([(str(i), a, b) for i, a, b in rows], key=repr)
+    export_json(df, str(tmp_path / "json"))
+    assert values(read_export(spark, str(tmp_path / "json"))) == sorted([(str(i), a, b) for i, a, b in rows], key=repr)
+
+
 def test_tsv_with_schema_and_bad_value(spark, tmp_path):
     good, bad = tmp_path / "good.txt", tmp_path / "bad.txt"
     good.write_text("id\ttitle\tshare\n1\ta, b\t0.5\n2\t\t\n", encoding="utf-8")
