@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabletop.functions.time import grain_number
+
 
 def asof_join(
     left: DataFrame,
@@ -13,12 +15,12 @@ def asof_join(
     left_time: str,
     right_time: str,
     values: list[str],
-    grain: str = "day",
+    grain: str | int = "day",
 ) -> DataFrame:
     """Every left row with ``values`` of the latest right row of the same key that is not later; nulls if there is none.
 
-    Both sides are cut by key and calendar ``grain``, so a key that fills a third of the data is spread over as many
-    tasks as there are days (or hours) in it. Within a cut the right row is found by an ordered window; what comes from
+    Both sides are cut by key and ``grain`` (minute, hour, day, week or a width in seconds), so a key that fills a third
+    of the data is spread over as many tasks as there are days (or hours) in it. Within a cut the right row is found by an ordered window; what comes from
     an earlier cut is carried over from a summary with one row per key and cut. Of right rows with equal time the one
     with the largest ``values`` counts.
     """
@@ -27,13 +29,13 @@ def asof_join(
         F.col(on).alias("_key"), F.col(right_time).alias("_time"), payload.alias("_value")
     )
     rights = rights.groupBy("_key", "_time").agg(F.max("_value").alias("_value"))
-    rights = rights.withColumn("_cut", F.date_trunc(grain, F.col("_time").cast("timestamp")))
+    rights = rights.withColumn("_cut", grain_number(F.col("_time"), right.schema[right_time].dataType, grain))
     # A null key or time matches nothing; such rows go past the shuffle, where they would all meet in one task.
     can_match = F.col(on).isNotNull() & F.col(left_time).isNotNull()
     lefts = left.where(can_match).select(
         F.col(on).alias("_key"),
         F.col(left_time).alias("_time"),
-        F.date_trunc(grain, F.col(left_time).cast("timestamp")).alias("_cut"),
+        grain_number(F.col(left_time), left.schema[left_time].dataType, grain).alias("_cut"),
         F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"),
     )
 
@@ -67,22 +69,22 @@ def asof_join(
 
 
 def range_join(
-    points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, grain: str = "day", how: str = "inner"
+    points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, grain: str | int = "day", how: str = "inner"
 ) -> DataFrame:
     """Each point with the intervals ``start <= point < end`` that hold it.
 
-    Intervals are listed under every calendar ``grain`` they touch, which gives the join an equality: it is hashed or
+    Intervals are listed under every ``grain`` (minute, hour, day, week or a width in seconds) they touch, which gives the join an equality: it is hashed or
     sorted by grain instead of comparing every point with every interval. Choose the grain near the usual length of an
     interval.
     """
     if how not in ("inner", "left"):
         raise ValueError("how is inner or left")
-    day = F.date_trunc(grain, F.col(point).cast("timestamp"))
-    first = F.date_trunc(grain, F.col(start).cast("timestamp"))
-    last = F.date_trunc(grain, (F.col(end) - F.expr("INTERVAL '0.000001' SECOND")).cast("timestamp"))
-    step = F.expr(f"INTERVAL '1' {grain.upper()}")
-    listed = intervals.where(F.col(start) < F.col(end)).withColumn("_grain", F.explode(F.sequence(first, last, step)))
-    placed = points.withColumn("_at", day)
+    def grain_of(df: DataFrame, name: str):
+        return grain_number(F.col(name), df.schema[name].dataType, grain)
+
+    touched = F.sequence(grain_of(intervals, start), grain_of(intervals, end))
+    listed = intervals.where(F.col(start) < F.col(end)).withColumn("_grain", F.explode(touched))
+    placed = points.withColumn("_at", grain_of(points, point))
     match = (
         (placed["_at"] == listed["_grain"]) & (placed[point] >= listed[start]) & (placed[point] < listed[end])
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabletop.functions.time import seconds_between
+
 # Fixed value: messages that a conversation keeps.
 HISTORY_LENGTH = 20
 _CHUNKS_PER_PIECE = 10_000
@@ -79,10 +81,7 @@ def token_rate(chunks: DataFrame, keys: list[str], time: str = "ts") -> DataFram
         F.count("*").alias("tokens_generated"), F.min(time).alias("_first"), F.max(time).alias("_last")
     )
 
-    def micros(column: str) -> Column:
-        return F.unix_micros(F.col(column).cast("timestamp"))
-
-    elapsed = (micros("_last") - micros("_first")) / F.lit(1e6)
+    elapsed = seconds_between(F.col("_first"), F.col("_last"))
     rate = F.when(elapsed > 0, F.round(F.col("tokens_generated") / elapsed, 1)).otherwise(
         F.col("tokens_generated").cast("double")
     )

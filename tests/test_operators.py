@@ -7,6 +7,7 @@ from conftest import plan_of, values
 from pyspark.sql import functions as F
 
 from tabletop.functions.text import size_text
+from tabletop.functions.time import grain_number
 from tabletop.operators import (
     asof_join,
     assemble,
@@ -242,6 +243,20 @@ def test_token_rate(spark):
     assert values(token_rate(df, ["k"])) == [(1, 3, 1.5, 2.0), (2, 1, 0.0, 1.0)]
 
 
+def test_times_without_zone_ignore_daylight_saving(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        night = [datetime.datetime(2024, 3, 10, 1, 59), datetime.datetime(2024, 3, 10, 2, 30), datetime.datetime(2024, 3, 10, 3, 1)]
+        df = spark.createDataFrame([(1, t) for t in night], "k int, ts timestamp_ntz")
+        assert values(token_rate(df, ["k"])) == [(1, 3, 62 * 60.0, 0.0)]
+        cuts = df.select("ts", grain_number(F.col("ts"), df.schema["ts"].dataType, "minute").alias("cut"))
+        numbers = [row.cut for row in cuts.orderBy("ts").collect()]
+        assert [n - numbers[0] for n in numbers] == [0, 31, 62]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_asof_join_against_brute_force(spark):
     random.seed(11)
     day = datetime.datetime(2024, 1, 1)
@@ -259,7 +274,7 @@ def test_asof_join_against_brute_force(spark):
         spark.createDataFrame(left, "id int, k int, at timestamp_ntz").repartition(5),
         spark.createDataFrame(right, "k int, t timestamp_ntz, v int").repartition(5),
     )
-    for grain in ("hour", "day", "year"):
+    for grain in ("hour", "day", "week", 1000):
         got = asof_join(*frames, "k", "at", "t", ["v"], grain)
         assert re.search(r"hashpartitioning\(_key#\d+, _cut#\d+", plan_of(got))
         assert values(got) == sorted(expected, key=repr)
