@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabletop.functions.text import size_text
 from tabletop.operators.keys import candidate_keys
-from tabletop.sources.jdbc import bounds_query, count_of, quoted, read_query, vendor
+from tabletop.sources.jdbc import bounds_query, count_of, quoted, read_query, read_table, vendor
 
 REFERENCE_TYPE = "array<struct<column:string,references_table:string,references_column:string>>"
 
@@ -277,7 +277,7 @@ def profile_remote(spark: SparkSession, options: dict[str, str], schema: str) ->
     for name in names:
         source = quoted(options, schema, name)
         # Only the schema of this one is used; nothing is fetched through it.
-        tables[name] = spark.read.format("jdbc").options(**options).option("dbtable", source).load()
+        tables[name] = read_table(spark, options, name, schema=schema)
         key = first_keys.get(name)
         if key:
             row = read_query(spark, options, bounds_query(options, name, key, schema))
