@@ -26,40 +26,42 @@ def asof_join(
     """
     payload = F.struct(*[F.col(f"`{v}`") for v in values])
     rights = right.where(F.col(on).isNotNull() & F.col(right_time).isNotNull()).select(
-        F.col(on).alias("_key"), F.col(right_time).alias("_time"), payload.alias("_value")
+        F.col(on).alias("_key"),
+        grain_number(F.col(right_time), right.schema[right_time].dataType, grain).alias("_cut"),
+        F.col(right_time).alias("_time"),
+        payload.alias("_value"),
     )
-    rights = rights.groupBy("_key", "_time").agg(F.max("_value").alias("_value"))
-    rights = rights.withColumn("_cut", grain_number(F.col("_time"), right.schema[right_time].dataType, grain))
     # A null key or time matches nothing; such rows go past the shuffle, where they would all meet in one task.
     can_match = F.col(on).isNotNull() & F.col(left_time).isNotNull()
     lefts = left.where(can_match).select(
         F.col(on).alias("_key"),
-        F.col(left_time).alias("_time"),
         grain_number(F.col(left_time), left.schema[left_time].dataType, grain).alias("_cut"),
+        F.col(left_time).alias("_time"),
         F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"),
     )
+    no_time = F.lit(None).cast(rights.schema["_time"].dataType)
+    no_value = F.lit(None).cast(rights.schema["_value"].dataType)
+    no_row = F.lit(None).cast(lefts.schema["_row"].dataType)
 
-    # One row per key and cut that has right rows: the last value within, and the value before it.
-    last_in_cut = rights.groupBy("_key", "_cut").agg(F.max_by("_value", "_time").alias("_last"))
-    marks = lefts.select("_key", "_cut").distinct().withColumn("_last", F.lit(None).cast(last_in_cut.schema["_last"].dataType))
-    cuts = last_in_cut.unionByName(marks).groupBy("_key", "_cut").agg(F.first("_last", ignorenulls=True).alias("_last"))
-    earlier = Window.partitionBy("_key").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    carried = cuts.select(
-        "_key", "_cut", F.lit(None).cast(rights.schema["_time"].dataType).alias("_time"), F.lit(0).alias("_side"),
-        F.last("_last", ignorenulls=True).over(earlier).alias("_value"),
+    # For every key and cut with left rows, what the latest earlier cut with right rows ended with.
+    ends = rights.groupBy("_key", "_cut").agg(F.max(F.struct("_time", "_value")).getField("_value").alias("_value"))
+    wanted = lefts.select("_key", "_cut").distinct()
+    by_cut = wanted.select("_key", "_cut", no_value.alias("_value"), F.lit(0).alias("_side")).unionByName(
+        ends.withColumn("_side", F.lit(1))
+    )
+    earlier = Window.partitionBy("_key").orderBy("_cut", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    carried = by_cut.withColumn("_value", F.last("_value", ignorenulls=True).over(earlier)).where(
+        (F.col("_side") == 0) & F.col("_value").isNotNull()
     )
 
-    row_type = lefts.schema["_row"].dataType
-    value_type = rights.schema["_value"].dataType
-    empty_row, empty_value = F.lit(None).cast(row_type), F.lit(None).cast(value_type)
     together = (
-        carried.select("_key", "_cut", "_time", "_side", "_value", empty_row.alias("_row"))
-        .unionByName(rights.select("_key", "_cut", "_time", F.lit(1).alias("_side"), "_value", empty_row.alias("_row")))
-        .unionByName(lefts.select("_key", "_cut", "_time", F.lit(2).alias("_side"), empty_value.alias("_value"), "_row"))
+        carried.select("_key", "_cut", no_time.alias("_time"), F.lit(0).alias("_side"), "_value", no_row.alias("_row"))
+        .unionByName(rights.select("*", F.lit(1).alias("_side"), no_row.alias("_row")))
+        .unionByName(lefts.select("*", F.lit(2).alias("_side"), no_value.alias("_value")))
     )
     within = (
         Window.partitionBy("_key", "_cut")
-        .orderBy(F.col("_time").asc_nulls_first(), "_side")
+        .orderBy(F.col("_time").asc_nulls_first(), "_side", "_value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     filled = together.withColumn("_value", F.last("_value", ignorenulls=True).over(within)).where("_side = 2")
