@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@contextmanager
+def strict_casts(spark: SparkSession) -> Iterator[None]:
+    """Casts that fail on a value that does not fit, whatever the session says."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def fitted(df: DataFrame, target: T.StructType) -> DataFrame:
+    """Columns of ``df`` under the names and types of ``target``, by position."""
+    if len(target) != len(df.columns):
+        raise ValueError(f"the table has {len(target)} columns, the input has {len(df.columns)}")
+    return df.select(
+        [F.col(f"`{name}`").cast(field.dataType).alias(field.name) for name, field in zip(df.columns, target)]
+    )
 
 
 def load_into(table: str, df: DataFrame) -> None:
     """Append ``df`` to ``table``, columns matched by position; all rows or, on any bad value, none.
 
-    Text is converted to the column's type and a value that does not fit is an error (ANSI casts, whatever the
-    session says). Tasks write aside and the job commits at its end, so a failed load leaves the table as it was. That
-    holds for tables of files; an attached database commits task by task, so load a table there that is swapped in later.
+    Text is converted to the column's type and a value that does not fit is an error. Tasks write aside and the job
+    commits at its end, so a failed load leaves the table as it was. That holds for tables of files; an attached
+    database commits task by task, so load a table there that is swapped in later.
     """
     spark = df.sparkSession
-    target = spark.table(table).schema
-    if len(target) != len(df.columns):
-        raise ValueError(f"{table} has {len(target)} columns, the input has {len(df.columns)}")
-    ansi = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "true")
-    try:
-        casts = [F.col(f"`{name}`").cast(field.dataType).alias(field.name) for name, field in zip(df.columns, target)]
-        df.select(*casts).write.insertInto(table)
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", ansi)
+    with strict_casts(spark):
+        fitted(df, spark.table(table).schema).write.insertInto(table)

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabletop.functions.text import clean_names
-from tabletop.operators.load import load_into
+from tabletop.operators.load import fitted, load_into, strict_casts
 
 
 def ingest_incremental(
@@ -23,9 +22,10 @@ def ingest_incremental(
 ) -> DataFrame:
     """Append to ``table`` the rows of files in ``folder`` that earlier calls have not seen; returns the table.
 
-    CSV columns are matched by position, JSON fields by name. A value that does not fit its column fails the run, and
-    the next run takes up the same files. ``checkpoint`` is the folder that remembers what was loaded: the same one for
-    every call, and reachable by all executors. ``max_files`` bounds the files per micro-batch after a long pause.
+    CSV columns are matched by position; JSON files hold one object per line, matched by name. A value that does not
+    fit its column fails the run, and the next run takes up the same files. ``checkpoint`` is the folder that remembers
+    what was loaded: the same one for every call, and reachable by all executors. ``max_files`` bounds the files per
+    micro-batch after a long pause.
     ``multi_line=False`` lets many tasks share a large CSV file, where no value is known to hold a line break.
 
     Lost tasks and executors are repeated without doubling rows. A driver that dies in the short time between the
@@ -33,12 +33,16 @@ def ingest_incremental(
     in ``batch_column`` to have every batch replace its own partition, so that a repeated batch changes nothing.
     """
     schema = T.StructType([field for field in spark.table(table).schema if field.name != batch_column])
-    reader = spark.readStream.schema(schema).option("mode", "FAILFAST")
+    if file_format not in ("csv", "json"):
+        raise ValueError(f"unknown file format: {file_format}")
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if file_format == "csv":
         arriving = (
-            reader.option("header", True)
+            reader.schema(schema)
+            .option("mode", "FAILFAST")
+            .option("header", True)
             .option("sep", sep)
             .option("escape", '"')
             .option("multiLine", multi_line)
@@ -46,14 +50,10 @@ def ingest_incremental(
             .option("emptyValue", "")
             .csv(folder)
         )
-    elif file_format == "json":
-        arriving = reader.json(folder)
-        arriving = arriving.toDF(*clean_names(arriving.columns))
     else:
-        raise ValueError(f"unknown file format: {file_format}")
-    ordered = arriving.select([F.col(f"`{name}`") for name in schema.names])
+        arriving = _json_columns(reader.text(folder), schema)
     query = (
-        ordered.writeStream.trigger(availableNow=True)
+        arriving.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(lambda batch, number: append_batch(table, batch, number, batch_column))
         .start()
@@ -63,11 +63,30 @@ def ingest_incremental(
     return spark.table(table)
 
 
+def _json_columns(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Fields of JSON lines as columns of the table; their names are cleaned as ``read_json`` does it."""
+    entries = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
+    cleaned = F.transform_keys(entries, lambda key, _: F.replace(F.trim(key), F.lit(" "), F.lit("_")))
+    parsed = lines.where(F.trim("value") != "").select(cleaned.alias("entry"))
+
+    def column(field: T.StructField):
+        text = F.try_element_at("entry", F.lit(field.name))
+        if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            return F.from_json(text, field.dataType, {"mode": "FAILFAST"}).alias(field.name)
+        return text.alias(field.name)
+
+    return parsed.select([column(field) for field in schema])
+
+
 def append_batch(table: str, batch: DataFrame, number: int, batch_column: str | None = None) -> None:
     """Append one micro-batch; with ``batch_column`` as the partition ``number``, whatever that held before."""
     if batch_column is None:
         load_into(table, batch)
         return
-    batch.sparkSession.sql(
-        f"INSERT OVERWRITE {table} PARTITION (`{batch_column}` = {int(number)}) SELECT * FROM {{batch}}", batch=batch
-    )
+    spark = batch.sparkSession
+    target = T.StructType([field for field in spark.table(table).schema if field.name != batch_column])
+    with strict_casts(spark):
+        spark.sql(
+            f"INSERT OVERWRITE {table} PARTITION (`{batch_column}` = {int(number)}) SELECT * FROM {{batch}}",
+            batch=fitted(batch, target),
+        )

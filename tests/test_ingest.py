@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from conftest import values
 
@@ -27,13 +29,18 @@ def test_each_file_once(spark, tmp_path):
 
 
 def test_json_by_name(spark, tmp_path):
-    inbox = tmp_path / "inbox"
+    inbox, notes = tmp_path / "inbox", str(tmp_path / "notes")
     inbox.mkdir()
     name = f"{new_database(spark)}.t"
-    spark.sql(f"CREATE TABLE {name} (id BIGINT, label STRING) USING parquet")
-    (inbox / "a.json").write_text('{"label": "x", "id": 7}\n{"id": 8}\n')
-    got = ingest_incremental(spark, str(inbox), name, str(tmp_path / "notes"), file_format="json")
-    assert values(got) == [(7, "x"), (8, None)]
+    spark.sql(f"CREATE TABLE {name} (id BIGINT, the_label STRING, parts ARRAY<INT>, day DATE) USING parquet")
+    (inbox / "a.json").write_text('{" the label ": "x", "id": 7, "parts": [1, 2]}\n\n{"id": 8, "day": "2024-02-29"}\n')
+    got = ingest_incremental(spark, str(inbox), name, notes, file_format="json")
+    assert values(got) == [(7, "x", [1, 2], None), (8, None, None, datetime.date(2024, 2, 29))]
+    for bad in ('{"id": "seven"}\n', '{"id": 1\n', '{"id": 1, " id": 2}\n'):
+        (inbox / "b.json").write_text(bad)
+        with pytest.raises(Exception):
+            ingest_incremental(spark, str(inbox), name, notes, file_format="json")
+        assert spark.table(name).count() == 2
 
 
 def test_working_folders_are_shared_and_new(spark):
