@@ -20,9 +20,9 @@ def asof_join(
     """Every left row with ``values`` of the latest right row of the same key that is not later; nulls if there is none.
 
     Both sides are cut by key and ``grain`` (minute, hour, day, week or a width in seconds), so a key that fills a third
-    of the data is spread over as many tasks as there are days (or hours) in it. Within a cut the right row is found by an ordered window; what comes from
-    an earlier cut is carried over from a summary with one row per key and cut. Of right rows with equal time the one
-    with the largest ``values`` counts.
+    of the data is spread over as many tasks as there are days (or hours) in it. Within a cut the right row is found by
+    an ordered window; what comes from an earlier cut is carried over from a summary with one row per key and cut. Of
+    right rows with equal time the one with the largest ``values`` counts.
     """
     payload = F.struct(*[F.col(f"`{v}`") for v in values])
     rights = right.where(F.col(on).isNotNull() & F.col(right_time).isNotNull()).select(
@@ -71,13 +71,19 @@ def asof_join(
 
 
 def range_join(
-    points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, grain: str | int = "day", how: str = "inner"
+    points: DataFrame,
+    intervals: DataFrame,
+    point: str,
+    start: str,
+    end: str,
+    grain: str | int = "day",
+    how: str = "inner",
 ) -> DataFrame:
     """Each point with the intervals ``start <= point < end`` that hold it.
 
-    Intervals are listed under every ``grain`` (minute, hour, day, week or a width in seconds) they touch, which gives the join an equality: it is hashed or
-    sorted by grain instead of comparing every point with every interval. Choose the grain near the usual length of an
-    interval.
+    Intervals are listed under every ``grain`` (minute, hour, day, week or a width in seconds) they touch, which gives
+    the join an equality: it is hashed or sorted by grain instead of comparing every point with every interval. Choose
+    the grain near the usual length of an interval.
     """
     if how not in ("inner", "left"):
         raise ValueError("how is inner or left")

@@ -193,7 +193,8 @@ def discover_references(tables: Mapping[str, DataFrame], keys: Mapping[str, list
         ],
     )
     distinct = values.groupBy("family", "number", "text", "place").agg(F.count("*").alias("copies"))
-    holders = distinct.groupBy("family", "number", "text").agg(F.collect_list(F.struct("place", "copies")).alias("holders"))
+    entry = F.struct("place", "copies")
+    holders = distinct.groupBy("family", "number", "text").agg(F.collect_list(entry).alias("holders"))
     shared = (
         holders.select(F.explode("holders").alias("own"), "holders")
         .where(F.col("own.place").isin(sorted({numbers[child] for child, _ in pairs})))
@@ -204,7 +205,7 @@ def discover_references(tables: Mapping[str, DataFrame], keys: Mapping[str, list
         )
     )
     counted = shared.groupBy("child", "parent").agg(F.count("*").alias("common"), F.sum("copies").alias("child_rows"))
-    # One row per pair of columns. The child is among its own holders: its number of values is the count of (child, child).
+    # One row per pair of columns. The child is among its own holders: (child, child) counts its values.
     counts = {(row["child"], row["parent"]): (row["common"], row["child_rows"]) for row in counted.collect()}
     rows = []
     for child, parent in pairs:

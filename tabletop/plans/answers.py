@@ -113,7 +113,8 @@ def definitions(spark: SparkSession, folder: str) -> DataFrame:
     )
     execute(
         spark,
-        f"INSERT INTO {database}.people SELECT s_nationkey, COUNT(*), MAX(s_acctbal) FROM {{supplier}} GROUP BY s_nationkey",
+        f"INSERT INTO {database}.people SELECT s_nationkey, COUNT(*), MAX(s_acctbal) "
+        "FROM {supplier} GROUP BY s_nationkey",
         **frames,
     )
     execute(spark, f"DROP TABLE {database}.people")
@@ -123,7 +124,8 @@ def definitions(spark: SparkSession, folder: str) -> DataFrame:
 @registered(
     "q4_rows_as_json",
     """SELECT TO_JSON({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus, 'o_totalprice': o_totalprice,
-                       'o_orderdate': CAST(o_orderdate AS VARCHAR), 'urgent': NULLIF(o_orderpriority, '5-LOW')})::VARCHAR AS json
+                       'o_orderdate': CAST(o_orderdate AS VARCHAR),
+                       'urgent': NULLIF(o_orderpriority, '5-LOW')})::VARCHAR AS json
        FROM orders""",
 )
 def json_objects(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,7 +207,8 @@ def short_histories(spark: SparkSession, folder: str) -> DataFrame:
 @registered(
     "t2_split_reply",
     r"""SELECT conv_id, turn,
-               CASE WHEN role = 'user' THEN NULL ELSE REGEXP_REPLACE(text, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') END AS query,
+               CASE WHEN role = 'user' THEN NULL
+                    ELSE REGEXP_REPLACE(text, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') END AS query,
                CASE WHEN role = 'system' THEN NULL
                     ELSE REGEXP_REPLACE(text, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') || '!' END AS comment
         FROM conversations""",

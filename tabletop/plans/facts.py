@@ -294,7 +294,8 @@ def _reference_check() -> str:
                                 f"""SELECT * FROM (SELECT '{child}' AS child_table, '{name}' AS child_column,
                                       '{parent}' AS parent_table, '{key}' AS parent_column,
                                       (SELECT COUNT({name}) FROM {child}) AS child_rows)
-                                    WHERE NOT EXISTS (SELECT 1 FROM {child} WHERE {name} NOT IN (SELECT {key} FROM {parent}))"""
+                                    WHERE NOT EXISTS (SELECT 1 FROM {child}
+                                                      WHERE {name} NOT IN (SELECT {key} FROM {parent}))"""
                             )
     return " UNION ALL ".join(parts)
 
@@ -330,12 +331,13 @@ def types_of_fields(spark: SparkSession, folder: str) -> DataFrame:
     return field_types(docs, sample=None).select("field", "type", "present")
 
 
+_EXTENT = "(SELECT COUNT(*) FROM (DESCRIBE $t)) AS c, (SELECT COUNT(*) FROM $t) AS n"
+
+
 @registered(
     "p14_database_totals",
     f"""WITH t AS (
-          {_each(SALES, "SELECT 'sales' AS d, (SELECT COUNT(*) FROM (DESCRIBE $t)) AS c, (SELECT COUNT(*) FROM $t) AS n")}
-          UNION ALL
-          {_each(CONTENT, "SELECT 'content' AS d, (SELECT COUNT(*) FROM (DESCRIBE $t)) AS c, (SELECT COUNT(*) FROM $t) AS n")})
+          {_each(SALES, f"SELECT 'sales' AS d, {_EXTENT}")} UNION ALL {_each(CONTENT, f"SELECT 'content' AS d, {_EXTENT}")})
         SELECT d AS database, COUNT(*) AS table_count, SUM(c)::BIGINT AS total_columns, SUM(n)::BIGINT AS total_rows
         FROM t GROUP BY ROLLUP (d)""",
 )

@@ -63,7 +63,8 @@ def documents_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered(
     "s5_read_csv",
-    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents""",
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars
+       FROM documents""",
 )
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Texts with quotes, commas and line breaks; the reader finds out that it must not split these files."""
@@ -83,7 +84,8 @@ def tsv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered(
     "s6_read_json",
-    """SELECT o_orderkey AS "order_key", o_custkey AS customer, o_orderstatus AS status, o_totalprice AS price FROM orders""",
+    """SELECT o_orderkey AS "order_key", o_custkey AS customer, o_orderstatus AS status, o_totalprice AS price
+       FROM orders""",
 )
 def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Names with blanks, and an order of columns that differs from the alphabet."""

@@ -81,7 +81,7 @@ def main(folder: str, wanted: list[str]) -> int:
             if name not in oracles:
                 print(f"rows  {name:32s} {result.num_rows:8d} rows {seconds:6.2f} s", flush=True)
                 continue
-            problems = compare(result, con.execute(oracles[name]).to_arrow_table())
+            problems = compare(result, con.sql(oracles[name]).to_arrow_table())
         except Exception as error:  # noqa: BLE001 - a report, not a handler
             seconds, problems = time.time() - start, [f"{type(error).__name__}: {str(error)[:600]}"]
         failed += bool(problems)

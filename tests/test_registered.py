@@ -19,7 +19,7 @@ def test_query(spark, small, duck, name):
     result = QUERIES[name](spark, small).toArrow()
     assert result.num_rows > 0
     if name in ORACLES:
-        assert compare(result, duck.execute(ORACLES[name]).to_arrow_table()) == []
+        assert compare(result, duck.sql(ORACLES[name]).to_arrow_table()) == []
 
 
 def test_every_text_has_a_query():
