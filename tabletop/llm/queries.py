@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletop.llm import bpe, language_id, quality
+from tabletop.llm import bpe, language_id, mixing, quality, warc
 from tabletop.llm.common import stored
 from tabletop.plans.tables import table
+from tabletop.session import working_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -49,9 +50,34 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as it is read back from the archives that were written for all of them."""
+    where = working_folder(spark, "archives")
+    archives = warc.write(table(spark, folder, "pages"), where)
+    found = warc.read(spark, where, archives)
+    number = lambda header: F.regexp_extract(F.col("headers")[header], r"^<urn:page:(-?\d+)>$", 1)
+    http = F.substring(F.col("block").cast("string"), 1, 200)
+    return found.select(
+        number("warc-record-id").alias("n"), number("warc-refers-to").alias("refers"),
+        F.regexp_extract(http, r"Content-Length: (\d+)\r\n", 1).cast("bigint").alias("payload_bytes"),
+        F.substring_index(F.col("headers")["warc-payload-digest"], ":", -1).alias("payload_digest"),
+        F.col("headers")["warc-type"].alias("record_type"),
+    ).select(
+        F.expr("nullif(n, '')").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.expr("nullif(refers, '')").cast("bigint").alias("refers_to"))
+
+
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mix takes of every document."""
+    _, taken = mixing.mix(table(spark, folder, "documents"))
+    return mixing.taken_words(taken)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
     "op5_quality": op5_quality,
+    "op6_warc": op6_warc,
+    "op7_mixing": op7_mixing,
 }
 CHECKS: dict[str, str] = {}
