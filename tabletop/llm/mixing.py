@@ -143,7 +143,8 @@ def spans(placed: DataFrame, dealt: DataFrame, block_words: int = BLOCK_WORDS) -
     Parts that no slot takes have a null ``shard`` and 0 words, so that every document stays in sight.
     """
     parts = pieces(placed, block_words)
-    used = F.coalesce(F.greatest(F.lit(0), F.least("words", F.col("takes") - F.col("offset"))), F.lit(0))
+    inside = F.greatest(F.lit(0), F.least("words", F.col("takes") - F.col("offset")))
+    used = F.when(F.col("takes").isNotNull() & F.col("words").isNotNull(), inside).otherwise(0)
     return parts.join(dealt, ["source_no", "block"], "left").withColumn("words", used.cast("bigint"))
 
 
