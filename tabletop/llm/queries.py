@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletop.llm import bpe, language_id, mixing, quality, warc
+from tabletop.llm import bpe, embedding_dedup, language_id, mixing, quality, warc
 from tabletop.llm.common import stored
 from tabletop.plans.tables import table
 from tabletop.session import working_folder
@@ -40,6 +40,11 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document, learned from the labels of those that are not held out."""
     docs = quality.with_statistics(table(spark, folder, "documents").select("doc_id", "text"))
@@ -76,6 +81,7 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
