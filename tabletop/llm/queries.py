@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletop.llm import bpe, embedding_dedup, language_id, mixing, quality, warc
+from tabletop.llm import bpe, embedding_dedup, jaccard_join, language_id, mixing, quality, warc
 from tabletop.llm.common import stored
 from tabletop.plans.tables import table
 from tabletop.session import working_folder
@@ -78,6 +78,11 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(taken)
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return jaccard_join.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -85,5 +90,6 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 CHECKS: dict[str, str] = {}
