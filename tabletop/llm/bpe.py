@@ -40,8 +40,8 @@ def byte_symbols() -> list[str]:
     return [chr(byte) if byte in plain else chr(next(others)) for byte in range(256)]
 
 
-class _Known(dict):
-    """Encoded stretches without white space. What a full table held moves aside, and what is met again comes back."""
+class Known(dict):
+    """What is known of stretches without white space. What a full table held moves aside, and what is met again comes back."""
 
     def __init__(self, encode, limit: int):
         super().__init__()
@@ -80,7 +80,7 @@ class WordBpe:
         symbols = byte_symbols()
         self.inner = [self.ids[symbol] for symbol in symbols]
         self.final = [self.ids[symbol + self.end] for symbol in symbols]
-        self.known = _Known(self.encode_stretch, _CACHED)
+        self.known = Known(self.encode_stretch, _CACHED)
 
     def encode_word(self, word: str) -> bytes:
         """Ids of one word."""
@@ -131,15 +131,19 @@ class WordBpe:
             yield _NOT_SPACE.findall(text[start:end]) if _SEPARATORS.search(text, start, end) else text[start:end].split()
             start = end
 
+    def parts(self, text: str) -> list[str]:
+        """A text cut at its special tokens, which are parts too."""
+        parts = self.marks.split(text) if self.marks and self.marks.search(text) else [text]
+        return [part for part in parts if part]
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        text, known = text or "", self.known
-        parts = self.marks.split(text) if self.marks and self.marks.search(text) else [text]
+        known = self.known
         found: list[bytes] = []
-        for part in parts:
+        for part in self.parts(text or ""):
             if part in self.special:
                 found.append(struct.pack("<I", self.special[part]))
-            elif part:
+            else:
                 for stretches in self.stretches(part):
                     found.append(b"".join([known[stretch] for stretch in stretches]))
         return b"".join(found)

@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletop.llm import bpe, embedding_dedup, jaccard_join, language_id, mixing, quality, warc
+from tabletop.llm import (
+    bpe,
+    embedding_dedup,
+    fingerprints,
+    jaccard_join,
+    language_id,
+    mixing,
+    quality,
+    token_counts,
+    warc,
+)
 from tabletop.llm.common import stored
 from tabletop.plans.tables import table
 from tabletop.session import working_folder
@@ -83,6 +93,17 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, folder, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and its successor."""
+    return fingerprints.with_next(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Greedy longest-match tokens of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, VOCABULARY).select("doc_id", "n_words", "n_tokens")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -91,5 +112,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_token_counts": op10_token_counts,
 }
 CHECKS: dict[str, str] = {}

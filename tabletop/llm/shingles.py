@@ -17,23 +17,27 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the number of words of each text. Words end at blanks and characters 9 to 13."""
+def word_hashes(texts: list[str | None], inner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the number of words of each text.
+
+    Words end at blanks and the characters 9 to 13, or at all characters that ``inner``, a table by code, does not mark.
+    """
     joined = [f"{text or ''} " for text in texts]
     codes = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(text) for text in joined])
-    space = np.isin(codes, _SPACES)
+    space = np.isin(codes, _SPACES) if inner is None else ~inner[codes]
     starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     stops = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
     counts = np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
     if not len(starts):
         return np.zeros(0, np.uint64), counts
-    inner = np.flatnonzero(~space)
-    place = np.arange(len(inner)) - np.repeat(np.concatenate([[0], np.cumsum(stops - starts)[:-1]]), stops - starts)
+    solid = np.flatnonzero(~space)
+    firsts = np.cumsum(stops - starts) - (stops - starts)
+    place = np.arange(len(solid)) - np.repeat(firsts, stops - starts)
     powers = np.full(int((stops - starts).max()), _BASE)
     powers[0] = 1
     powers = np.cumprod(powers, dtype=np.uint64)
-    sums = np.add.reduceat((codes[inner].astype(np.uint64) + np.uint64(1)) * powers[place], np.concatenate([[0], np.cumsum(stops - starts)[:-1]]))
+    sums = np.add.reduceat((codes[solid].astype(np.uint64) + np.uint64(1)) * powers[place], firsts)
     return mixed(sums), counts
 
 
