@@ -4,8 +4,8 @@ The pieces of a vocabulary form a trie. Every node knows, for the case that no e
 failure link) and how many pieces are finished on the way (its pops), so a word is read once, symbol by symbol, and
 no piece is ever built. Each process keeps the counts of what it has met between white space in tables of bounded size.
 
-The vocabulary is that of a word BPE file, whose end mark closes a word; all single bytes are pieces, so every word can be
-cut. Words are found and normalised as the file says. The trie is built in each process from the broadcast file.
+The vocabulary is that of a word BPE file, whose end mark closes a word; all single bytes, closing a word or not, are pieces,
+so every word can be cut. Words are found and normalised as the file says. The trie is built in each process from the broadcast file.
 
 Defined results: null and empty texts have no words and no tokens. Texts are read whole.
 """
@@ -22,6 +22,8 @@ from tabletop.llm import bpe
 from tabletop.llm.common import batches
 
 _CACHED = 400_000
+# Added to a byte that closes a word: with its end mark, it is a symbol of its own.
+_CLOSED = 256
 
 
 class LongestMatch:
@@ -85,15 +87,18 @@ class TokenCounter:
         end = self.bpe.end
 
         def symbols(piece: str) -> tuple:
-            closed = bool(end) and piece.endswith(end)
-            inner = piece[:-len(end)] if closed else piece
-            return (*[byte_of[char] for char in inner], *([-1] if closed else []))
+            if end and piece.endswith(end):
+                *inner, last = (byte_of[char] for char in piece[:-len(end)])
+                return (*inner, last + _CLOSED)
+            return tuple(byte_of[char] for char in piece)
 
         self.match = LongestMatch(symbols(piece) for piece in self.bpe.ids)
         self.known = bpe.Known(self._stretch, _CACHED)
 
     def word(self, word: str) -> int:
-        return self.match.count((*word.encode("utf-8", "surrogatepass"), *([-1] if self.bpe.end else [])))
+        symbols = [*word.encode("utf-8", "surrogatepass")]
+        symbols[-1] += _CLOSED if self.bpe.end else 0
+        return self.match.count(symbols)
 
     def _stretch(self, stretch: str) -> tuple[int, int]:
         words = self.bpe.word.findall(stretch)
