@@ -12,6 +12,7 @@ from tabletop.llm import (
     fingerprints,
     jaccard_join,
     language_id,
+    lm_scoring,
     mixing,
     quality,
     token_counts,
@@ -55,6 +56,12 @@ def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Pseudo-likelihood of every document under a model of all of them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lm_scoring.score(docs, lm_scoring.train(docs)).drop("text")
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document, learned from the labels of those that are not held out."""
     docs = quality.with_statistics(table(spark, folder, "documents").select("doc_id", "text"))
@@ -108,6 +115,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
