@@ -1,11 +1,16 @@
-"""From raw documents to token ids: each stage's result is written as Parquet and is the next one's input."""
+"""From raw documents to token ids: each stage's result is written as Parquet and is the next one's input.
+
+Documents of low quality, of no clear language, and all but one of each class of near duplicates go; the rest is mixed by
+source, and every text of the mix is encoded. Without labels the first stage keeps everything, without known languages the
+second stage keeps nothing it cannot tell. No documents give no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabletop.llm import bpe, language_id, quality
+from tabletop.llm import bpe, jaccard_join, language_id, mixing, quality
 from tabletop.llm.common import stored
 from tabletop.llm.queries import VOCABULARY
 from tabletop.plans.tables import table
@@ -28,6 +33,17 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_score") >= 0.5)).select(*docs.columns)
 
 
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near duplicates, the one with the smallest id."""
+    return jaccard_join.first_of_class(docs, jaccard_join.near_duplicates(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts that the mix takes, a row for each pass in which a document is taken."""
+    _, taken = mixing.mix(docs)
+    return mixing.mixed_texts(docs, taken)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY)
@@ -37,6 +53,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_good),
     ("language ID", keep_languages),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("mixing sources to target weights", mix_sources),
     ("BPE encoding", encode),
 ]
 ORACLE_SQL = None
