@@ -37,6 +37,7 @@ EMBEDDING = 8
 HIDDEN = 32
 _COUNTED_WORDS = 300_000
 _BLOCK = 8192
+_STEP = 128
 _FAN_IN = 32
 
 
@@ -178,8 +179,8 @@ def learn_round(docs: DataFrame, model: WindowModel, number: int, stride: int =
             inner = np.arange(len(places)) - np.repeat(np.cumsum(counts) - counts, counts)
             places = places[inner % stride == (number * 7) % stride]
             places = np.random.default_rng(number).permutation(places)
-            for start in range(0, len(places), 512):
-                some = places[start:start + 512]
+            for start in range(0, len(places), _STEP):
+                some = places[start:start + _STEP]
                 _learn(layers, _context(row, some), model.word_class[row[some]], pace / np.sqrt(1 + step / 200))
                 step += 1
             seen += len(places)
