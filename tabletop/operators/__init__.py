@@ -18,6 +18,7 @@ from tabletop.operators.profile import (
 )
 from tabletop.operators.query import execute, first_rows, preview, preview_frame, rows_as_json, sql
 from tabletop.operators.snapshots import (
+    delete_snapshot,
     list_snapshots,
     read_snapshot,
     restore_working,
@@ -33,6 +34,7 @@ __all__ = [
     "candidate_keys",
     "check_reference",
     "database_totals",
+    "delete_snapshot",
     "declared_keys",
     "declared_sizes",
     "discover_keys",

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabletop.functions.text import plain_text
+from tabletop.sources.files import NO_VALUE
 
 _NATIVE_JSON = (T.StringType, T.BooleanType, T.IntegralType, T.FloatType, T.DoubleType)
 _NESTED = (T.ArrayType, T.StructType, T.MapType, T.VariantType)
 
 
 def export_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """Header and rows as CSV part files; a null is an empty field, quotes inside values are doubled."""
+    """Header and rows as CSV part files; a null is an empty field, quotes inside values are doubled.
+
+    A null that is a row's only field is written as a mark that ``read_csv`` takes as null: readers skip empty lines.
+    """
     texts = [plain_text(field.name, field.dataType).alias(field.name) for field in df.schema]
     (
         df.select(*texts)
@@ -23,6 +27,7 @@ def export_csv(df: DataFrame, path: str, sep: str = ",") -> None:
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
+        .option("nullValue", NO_VALUE if len(texts) == 1 else "")
         .csv(path)
     )
 

@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from tabletop.functions.text import value_kind
 
 
-def field_types(docs: DataFrame, sample: int | None = 20, column: str = "doc") -> DataFrame:
+def field_types(docs: DataFrame, column: str = "doc") -> DataFrame:
     """Per top-level field: ``field``, ``types`` (sorted, each once), ``type`` (their text), ``present`` (documents).
 
-    ``docs`` holds VARIANT objects. ``sample`` looks at that many documents; None at all of them. Fields and kinds are
-    folded on the map side, so the shuffle carries one row per task, field and kind.
+    ``docs`` holds VARIANT objects; all of them are looked at. Fields and kinds are folded on the map side, so the
+    shuffle carries one row per task, field and kind.
     """
-    seen = docs if sample is None else docs.limit(sample)
     pairs = docs.sparkSession.sql(
         "SELECT entry.key AS field, schema_of_variant(entry.value) AS shape "
         "FROM {seen}, LATERAL variant_explode(doc) AS entry",
-        seen=seen.select(F.col(column).alias("doc")),
+        seen=docs.select(F.col(column).alias("doc")),
     )
     kinds = pairs.groupBy("field", value_kind(F.col("shape")).alias("kind")).agg(F.count("*").alias("present"))
     return kinds.groupBy("field").agg(

@@ -15,10 +15,12 @@ _COLUMN_REGISTERS, _PAIR_REGISTERS = 14, 11
 # A column is ruled out only where the estimate falls short of the row count by many standard errors.
 _COLUMN_SHARE, _PAIR_SHARE = 0.9, 0.8
 
-
-# From this many rows on, a sample is looked through first: a repeated combination in it rules a candidate out at a
-# fraction of the cost. What the sample leaves is still checked on all rows.
-_SAMPLE_FROM, _SAMPLE_SHARE = 10_000_000, 0.01
+# One value combination in so many is looked at first: repeated ones among them rule a candidate out.
+_FILTER = 64
+# Bounds of texts are compared by their first characters; longer values meet as digests.
+_BOUND_CHARS, _LONG_TEXT = 64, 80
+# So many sketches of pairs are made in one pass over a table.
+_PAIRS_A_PASS = 200
 
 _TEXT_ORDERED = {"string", "date", "timestamp", "timestamp_ntz"}
 
@@ -35,14 +37,29 @@ def _orderable(data_type: T.DataType) -> bool:
     return not isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.BinaryType, T.NullType))
 
 
-def _exact_keys(tables: Mapping[str, DataFrame], candidates: Found) -> Found:
+def _narrow(df: DataFrame, column: str) -> Column:
+    """A column's value, long texts as digests: what is grouped crosses the network."""
+    value = F.col(f"`{column}`")
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return value
+    return F.when(F.length(value) > _LONG_TEXT, F.concat(F.lit("sha256:"), F.sha2(value, 256))).otherwise(value)
+
+
+def _without_repeats(tables: Mapping[str, DataFrame], candidates: Found, share: int) -> Found:
     """Those candidates whose value combinations are all different, all tables checked in one job.
 
-    Equal combinations are counted with partial sums before the shuffle, so a value that fills a third of the table
-    costs one row per task; of each candidate at most one repeated combination is reported.
+    Only combinations whose hash is divisible by ``share`` are looked at, all rows of each. Equal ones are counted with
+    partial sums before the shuffle, so a value that fills a third of the table costs one row per task; of each candidate
+    at most one repeated combination is reported.
     """
     def repeated(i: int, name: str, columns: tuple[str, ...]) -> DataFrame:
-        counted = tables[name].groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count("*").alias("copies"))
+        df = tables[name]
+        values = [_narrow(df, column).alias(f"c{j}") for j, column in enumerate(columns)]
+        names = [f"c{j}" for j in range(len(columns))]
+        rows = df.select(*values)
+        if share > 1:
+            rows = rows.where(F.pmod(F.xxhash64(*names), F.lit(share)) == 0)
+        counted = rows.groupBy(*names).agg(F.count("*").alias("copies"))
         return counted.where("copies > 1").limit(1).select(F.lit(i).alias("candidate"))
 
     listed = [(name, columns) for name, wanted in candidates.items() for columns in wanted]
@@ -61,8 +78,10 @@ def discover_keys(tables: Mapping[str, DataFrame], max_width: int = 2) -> Found:
 
     One aggregation per table estimates the distinct values of every column and rules most columns out; what is left is
     checked exactly. Pairs are looked at only where no column is a key, and only if their distinct values could
-    suffice. Each step is one job for all tables; the driver sees a few numbers per column.
+    suffice. Each step is one job for all tables; the driver sees a few numbers per column. ``max_width`` is 1 or 2.
     """
+    if max_width not in (1, 2):
+        raise ValueError("max_width is 1 or 2: wider keys are not looked for")
     found: Found = {name: [] for name in tables}
     names = {name: [f.name for f in df.schema if _orderable(f.dataType)] for name, df in tables.items()}
     if not any(names.values()):
@@ -92,7 +111,6 @@ def discover_keys(tables: Mapping[str, DataFrame], max_width: int = 2) -> Found:
     }
     found |= _checked_keys(
         tables,
-        totals,
         {
             name: [(column,) for column, distinct in columns.items() if distinct >= totals[name] * _COLUMN_SHARE]
             for name, columns in filled.items()
@@ -110,30 +128,24 @@ def discover_keys(tables: Mapping[str, DataFrame], max_width: int = 2) -> Found:
     }
     sketched = [
         tables[name].agg(
-            F.lit(name).alias("table"), F.array(*[_estimate(pair, _PAIR_REGISTERS) for pair in wanted]).alias("distinct")
+            F.lit(name).alias("table"), F.lit(start).alias("start"),
+            F.array(*[_estimate(pair, _PAIR_REGISTERS) for pair in wanted[start:start + _PAIRS_A_PASS]]).alias("distinct"),
         )
         for name, wanted in pairs.items()
-        if wanted
+        for start in range(0, len(wanted), _PAIRS_A_PASS)
     ]
     if sketched:
-        likely = {
-            row["table"]: [
-                pair
-                for pair, distinct in zip(pairs[row["table"]], row["distinct"])
-                if distinct >= totals[row["table"]] * _PAIR_SHARE
-            ]
-            for row in reduce(DataFrame.union, sketched).collect()
-        }
-        found |= _checked_keys(tables, totals, likely)
+        likely: Found = {name: [] for name in pairs}
+        for row in reduce(DataFrame.union, sketched).collect():
+            name, some = row["table"], pairs[row["table"]][row["start"]:]
+            likely[name] += [pair for pair, n in zip(some, row["distinct"]) if n >= totals[name] * _PAIR_SHARE]
+        found |= _checked_keys(tables, likely)
     return found
 
 
-def _checked_keys(tables: Mapping[str, DataFrame], totals: Mapping[str, int], candidates: Found) -> Found:
-    large = {name: wanted for name, wanted in candidates.items() if wanted and totals[name] >= _SAMPLE_FROM}
-    if large:
-        samples = {name: tables[name].sample(_SAMPLE_SHARE, seed=7) for name in large}
-        candidates = {**candidates, **_exact_keys(samples, large)}
-    return _exact_keys(tables, candidates)
+def _checked_keys(tables: Mapping[str, DataFrame], candidates: Found) -> Found:
+    """Keys among the candidates: a part of the values is looked at first, what that leaves is checked on all rows."""
+    return _without_repeats(tables, _without_repeats(tables, candidates, _FILTER), 1)
 
 
 def _estimate(columns: Sequence[str], registers: int) -> Column:
@@ -195,13 +207,19 @@ def discover_references(tables: Mapping[str, DataFrame], keys: Mapping[str, list
     distinct = values.groupBy("family", "number", "text", "place").agg(F.count("*").alias("copies"))
     entry = F.struct("place", "copies")
     holders = distinct.groupBy("family", "number", "text").agg(F.collect_list(entry).alias("holders"))
+    # Per child, the places of the parents it could have and its own: only these pairs are listed.
+    wanted: dict[int, list[int]] = {}
+    for child, parent in pairs:
+        wanted.setdefault(numbers[child], [numbers[child]]).append(numbers[parent])
+    possible = F.create_map(*[
+        F.lit(x) if isinstance(x, int) else F.array(*[F.lit(p) for p in x]) for item in wanted.items() for x in item])
     shared = (
         holders.select(F.explode("holders").alias("own"), "holders")
-        .where(F.col("own.place").isin(sorted({numbers[child] for child, _ in pairs})))
+        .where(F.col("own.place").isin(sorted(wanted)))
         .select(
             F.col("own.place").alias("child"),
             F.col("own.copies").alias("copies"),
-            F.explode("holders.place").alias("parent"),
+            F.explode(F.array_intersect("holders.place", F.try_element_at(possible, F.col("own.place")))).alias("parent"),
         )
     )
     counted = shared.groupBy("child", "parent").agg(F.count("*").alias("common"), F.sum("copies").alias("child_rows"))
@@ -229,7 +247,7 @@ def _column_values(df: DataFrame, numbered: Mapping[str, int]) -> DataFrame:
         else:
             text = value.cast("string")
             as_number = F.lit(None).cast("bigint")
-            as_text = F.when(F.length(text) > 80, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+            as_text = F.when(F.length(text) > _LONG_TEXT, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
         entries.append(
             F.struct(
                 F.lit(family).alias("family"),
@@ -244,7 +262,8 @@ def _column_values(df: DataFrame, numbered: Mapping[str, int]) -> DataFrame:
 def _bounds(tables: Mapping[str, DataFrame]) -> dict[tuple[str, str], tuple]:
     """(table, column) → family, smallest and largest value; columns without values are left out.
 
-    Whole numbers are compared as such, dates and texts by their text; of other types only the family counts.
+    Whole numbers are compared as such, dates and texts by their text, texts by its start; of other types only the family
+    counts.
     """
     def facts(name: str, df: DataFrame) -> DataFrame:
         entries = []
@@ -252,7 +271,9 @@ def _bounds(tables: Mapping[str, DataFrame]) -> dict[tuple[str, str], tuple]:
             if not _orderable(field.dataType):
                 continue
             column, family = F.col(f"`{field.name}`"), _family(field.dataType)
-            low, high = F.min(column), F.max(column)
+            # The starts of texts bound them well enough, and keep what the driver sees small.
+            bound = F.substring(column, 1, _BOUND_CHARS) if family == "string" else column
+            low, high = F.min(bound), F.max(bound)
             no_number, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
             is_number, is_text = family == "integer", family in _TEXT_ORDERED
             entries.append(
@@ -288,4 +309,6 @@ def _may_contain(parent: tuple, child: tuple) -> bool:
 
 
 def _family(data_type: T.DataType) -> str:
-    return "integer" if isinstance(data_type, T.IntegralType) else data_type.simpleString()
+    whole = isinstance(data_type, T.IntegralType) or (
+        isinstance(data_type, T.DecimalType) and data_type.scale == 0 and data_type.precision <= 18)
+    return "integer" if whole else data_type.simpleString()

@@ -2,41 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-@contextmanager
-def strict_casts(spark: SparkSession) -> Iterator[None]:
-    """Casts that fail on a value that does not fit, whatever the session says."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "true")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
+_NESTED = (T.ArrayType, T.StructType, T.MapType, T.VariantType)
+
+
+def _lossless(value: Column, source: T.DataType, target: T.DataType, name: str) -> Column:
+    """``value`` in the type ``target``; a value that this would change is an error, whatever the session says."""
+    if source == target or isinstance(target, (*_NESTED, T.StringType)) or isinstance(source, (*_NESTED, T.NullType)):
+        return value.cast(target)
+    if isinstance(source, T.StringType):
+        made = value.try_cast(target)
+        same = F.lit(True)
+        if isinstance(target, T.DecimalType):
+            wide = value.try_cast(T.DecimalType(38, min(38, target.scale + 12)))
+            same = wide.isNull() | (wide == made)
+        elif isinstance(target, T.DateType):
+            same = value.try_cast("timestamp_ntz").isNull() | (value.try_cast("timestamp_ntz") == made.cast("timestamp_ntz"))
+    else:
+        made = value.try_cast(target)
+        same = made.try_cast(source).eqNullSafe(value)
+    lost = value.isNotNull() & (made.isNull() | ~same)
+    message = F.concat(F.lit(f"column {name} of type {target.simpleString()} cannot hold the value "), value.cast("string"))
+    return F.when(lost, F.raise_error(message).cast(target)).otherwise(made)
 
 
 def fitted(df: DataFrame, target: T.StructType) -> DataFrame:
-    """Columns of ``df`` under the names and types of ``target``, by position."""
+    """Columns of ``df`` under the names and types of ``target``, by position; values are kept or refused, never changed."""
     if len(target) != len(df.columns):
         raise ValueError(f"the table has {len(target)} columns, the input has {len(df.columns)}")
-    return df.select(
-        [F.col(f"`{name}`").cast(field.dataType).alias(field.name) for name, field in zip(df.columns, target)]
-    )
+    return df.select([
+        _lossless(F.col(f"`{given.name}`"), given.dataType, field.dataType, field.name).alias(field.name)
+        for given, field in zip(df.schema, target)
+    ])
 
 
 def load_into(table: str, df: DataFrame) -> None:
     """Append ``df`` to ``table``, columns matched by position; all rows or, on any bad value, none.
 
-    Text is converted to the column's type and a value that does not fit is an error. Tasks write aside and the job
-    commits at its end, so a failed load leaves the table as it was. That holds for tables of files; an attached
-    database commits task by task, so load a table there that is swapped in later.
+    Text is converted to the column's type; a value of any type that does not fit, or that the column's type would round
+    or cut, is an error. Tasks write aside and the job commits at its end, so a failed load leaves the table as it was.
+    That holds for tables of files; an attached database commits task by task, so load a table there that is swapped in
+    later.
     """
-    spark = df.sparkSession
-    with strict_casts(spark):
-        fitted(df, spark.table(table).schema).write.insertInto(table)
+    fitted(df, df.sparkSession.table(table).schema).write.insertInto(table)

@@ -34,13 +34,21 @@ def _replace(df: DataFrame, path: str) -> None:
     folder, _, last = path.rpartition("/")
     mark = uuid.uuid4().hex
     fresh, stale = f"{folder}/_new-{mark}-{last}", f"{folder}/_old-{mark}-{last}"
-    df.write.option("compression", "snappy").parquet(fresh)
     files, target, jvm = _file_system(spark, path)
     new, old = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(stale)
-    if files.exists(target) and not files.rename(target, old):
-        raise OSError(f"cannot move {path} aside")
-    if not files.rename(new, target):
-        raise OSError(f"cannot move {fresh} to {path}")
+    try:
+        df.write.option("compression", "snappy").parquet(fresh)
+        if files.exists(target) and not files.rename(target, old):
+            raise OSError(f"cannot move {path} aside")
+        if not files.rename(new, target):
+            raise OSError(f"cannot move {fresh} to {path}")
+    except Exception:
+        # What was there stays there.
+        if files.exists(old) and not files.exists(target):
+            files.rename(old, target)
+        if files.exists(new):
+            files.delete(new, True)
+        raise
     if files.exists(old):
         files.delete(old, True)
     spark.catalog.refreshByPath(path)
@@ -81,6 +89,12 @@ def write_working(df: DataFrame, root: str, name: str) -> str:
     return path
 
 
+def delete_snapshot(spark: SparkSession, root: str, name: str) -> bool:
+    """Remove a snapshot with its working copy; whether there was one."""
+    files, target, _ = _file_system(spark, _folder(root, name))
+    return files.exists(target) and files.delete(target, True)
+
+
 def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
     """``name``, ``file``, ``size_bytes``, ``size_pretty``, ``memory_safe`` (below 1 GiB) of every snapshot.
 

@@ -10,6 +10,7 @@ from tabletop.functions.time import seconds_between
 # Fixed value: messages that a conversation keeps.
 HISTORY_LENGTH = 20
 _CHUNKS_PER_PIECE = 10_000
+_SHARES = 256
 
 
 def last_messages(
@@ -18,9 +19,14 @@ def last_messages(
     """The last ``n`` messages of every conversation.
 
     The rank is bounded, so each task passes on at most ``n`` messages per conversation; one huge conversation does
-    not meet in one task.
+    not meet in one task. Spark bounds ranks that way up to a setting; a larger ``n`` is first cut down in shares of
+    each conversation, which are ranked in tasks of their own.
     """
     latest = Window.partitionBy(key).orderBy(F.col(order).desc())
+    if n > int(messages.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        share = Window.partitionBy(key, "_share").orderBy(F.col(order).desc())
+        messages = messages.withColumn("_share", F.pmod(F.xxhash64(order), F.lit(_SHARES)))
+        messages = messages.withColumn("_rank", F.row_number().over(share)).where(F.col("_rank") <= n).drop("_rank", "_share")
     return messages.withColumn("_rank", F.row_number().over(latest)).where(F.col("_rank") <= n).drop("_rank")
 
 

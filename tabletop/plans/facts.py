@@ -328,7 +328,7 @@ def types_of_fields(spark: SparkSession, folder: str) -> DataFrame:
         F.ltrim(F.to_json(F.struct("conv_id", "role", F.struct("turn", "text").alias("body"))), F.lit("{")),
     )
     docs = table(spark, folder, "conversations").select(document_column(doc).alias("doc"))
-    return field_types(docs, sample=None).select("field", "type", "present")
+    return field_types(docs).select("field", "type", "present")
 
 
 _EXTENT = "(SELECT COUNT(*) FROM (DESCRIBE $t)) AS c, (SELECT COUNT(*) FROM $t) AS n"

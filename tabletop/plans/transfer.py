@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tabletop.operators.export import export_csv, export_json, read_export
 from tabletop.operators.load import load_into
 from tabletop.operators.snapshots import (
+    delete_snapshot,
     list_snapshots,
     read_snapshot,
     restore_working,
@@ -84,21 +85,29 @@ def tsv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered(
     "s6_read_json",
-    """SELECT o_orderkey AS "order_key", o_custkey AS customer, o_orderstatus AS status, o_totalprice AS price
-       FROM orders""",
+    """SELECT o_orderkey AS "order_key", o_custkey AS customer, o_orderstatus AS status, o_totalprice AS price,
+              CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderpriority AS priority FROM orders""",
 )
 def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Names with blanks, and an order of columns that differs from the alphabet."""
     path = working_folder(spark, "json")
     orders = table(spark, folder, "orders")
-    body = F.struct(
+    body = F.to_json(F.struct(
         F.col("o_orderkey").alias("order key"),
         F.col("o_custkey").alias(" customer "),
         F.col("o_orderstatus").alias("status"),
         F.col("o_totalprice").alias("price"),
-    )
-    orders.select(F.to_json(body).alias("value")).write.text(path)
-    return read_json(spark, path)
+        F.col("o_orderdate").cast("date").cast("string").alias("day"),
+        F.col("o_orderpriority").alias("priority"),
+    ))
+    by_line = F.col("o_orderkey") % 3 > 0
+    orders.where(by_line).select(body.alias("value")).write.text(f"{path}/lines")
+    # Each of these files is one array over many lines.
+    part = F.pmod(F.xxhash64("o_orderkey"), F.lit(4))
+    arrays = orders.where(~by_line).groupBy(part.alias("part")).agg(F.concat(
+        F.lit("[\n"), F.array_join(F.collect_list(body), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.repartition(4, "part").select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/arrays")
+    return read_json(spark, [f"{path}/lines", f"{path}/arrays"])
 
 
 def _workbook(frame: pd.DataFrame) -> bytes:
@@ -263,6 +272,16 @@ def storage(spark: SparkSession, folder: str) -> DataFrame:
     return total_storage(list_snapshots(spark, _stored(spark, folder)))
 
 
+@registered("n5_delete_snapshot", "SELECT t.name, t.n FROM (SELECT 'events' AS name, COUNT(*) AS n FROM events UNION ALL SELECT 'documents', COUNT(*) FROM documents) t")
+def remaining_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Three are kept, one is removed; the rows of those left."""
+    root = _stored(spark, folder)
+    delete_snapshot(spark, root, "orders")
+    names = [row.name for row in list_snapshots(spark, root).collect()]
+    counts = [read_snapshot(spark, root, name).agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in names]
+    return counts[0].union(counts[1])
+
+
 @registered("n4_restore_working", "SELECT * FROM customer")
 def restored_copy(spark: SparkSession, folder: str) -> DataFrame:
     """A working copy is made, changed and set back."""

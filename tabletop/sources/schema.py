@@ -18,41 +18,49 @@ RESERVED_WORDS = """
     USING WHEN WHERE WITH WITHIN
 """.split()
 
-# Tried in this order; the first type that every value fits wins.
-_TYPES = [T.LongType(), T.DoubleType(), T.BooleanType(), T.DateType(), T.TimestampNTZType()]
-_LONG, _DOUBLE, _BOOLEAN, _DATE, _TIMESTAMP = (1 << i for i in range(len(_TYPES)))
+# Tried in this order; the first type that keeps every value wins.
+_TYPES = [
+    T.LongType(), T.DecimalType(38, 0), T.DoubleType(), T.BooleanType(), T.DateType(), T.TimestampNTZType(), T.TimestampType()
+]
+_LONG, _WHOLE, _DOUBLE, _BOOLEAN, _DATE, _TIMESTAMP, _MOMENT = (1 << i for i in range(len(_TYPES)))
 
 
 def _fitting_types(text: Column) -> Column:
-    """Bit set of the types a text fits. Its shape tells which casts to try: one that fails costs an exception."""
+    """Bit set of the types that keep a text's value. Its shape tells which casts to try: one that fails is costly.
+
+    Leading zeros and signs that a number would lose, digits that a double cannot hold, more than six digits of a second
+    and the empty text keep a column text; a moment with an offset is no local time.
+    """
     def fits(kind: str, bits: int) -> Column:
         return F.when(text.try_cast(kind).isNotNull(), bits).otherwise(0)
 
-    day = r"\d{4}-\d{1,2}-\d{1,2}"
+    day, time = r"\d{4}-\d{1,2}-\d{1,2}", r"\d{1,2}:\d{2}(:\d{1,2}(\.\d{1,6})?)?"
+    digits = F.length(F.regexp_replace(F.regexp_replace(text, r"[eE].*$|[-.]", ""), r"^0+", ""))
+    kept = (digits <= 15) | (text.try_cast("double").cast("string") == text)
     return (
-        F.when(text.rlike(r"^[+-]?\d+$"), fits("bigint", _LONG).bitwiseOR(F.lit(_DOUBLE)))
-        .when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.lit(_DOUBLE))
+        F.when(text.rlike(r"^(0|-?[1-9]\d{0,14})$"), F.lit(_LONG | _WHOLE | _DOUBLE))
+        .when(text.rlike(r"^-?[1-9]\d{0,37}$"), F.lit(_WHOLE).bitwiseOR(fits("bigint", _LONG)))
+        .when(text.rlike(r"^-?(0|[1-9]\d*)?(\.\d+|(\.\d*)?[eE][+-]?\d+)$"), F.when(kept, F.lit(_DOUBLE)).otherwise(0))
         .when(F.lower(text).isin("true", "false"), F.lit(_BOOLEAN))
         .when(text.rlike(f"^{day}$"), fits("date", _DATE | _TIMESTAMP))
-        .when(text.rlike(rf"^{day}[ T]\d{{1,2}}:\d{{2}}"), fits("timestamp_ntz", _TIMESTAMP))
+        .when(text.rlike(rf"^{day}[ T]{time}$"), fits("timestamp_ntz", _TIMESTAMP))
+        .when(text.rlike(rf"^{day}[ T]{time} ?(Z|[+-]\d{{2}}(:?\d{{2}})?)$"), fits("timestamp", _MOMENT))
         .otherwise(F.lit(0))
     )
 
 
-def infer_schema(df: DataFrame, sample_rows: int | None = None) -> T.StructType:
-    """Column names fit for a table and, for text columns, the narrowest type that holds every value.
+def infer_schema(df: DataFrame) -> T.StructType:
+    """Column names fit for a table and, for text columns, the narrowest type that keeps every value.
 
-    One aggregation over the whole input decides all columns. ``sample_rows`` looks at the first rows only, which is
-    quicker and may be wrong for the rest.
+    One aggregation over the whole input decides all columns.
     """
     names = clean_names(df.columns, RESERVED_WORDS)
-    seen = df if sample_rows is None else df.limit(sample_rows)
     texts = [i for i, field in enumerate(df.schema.fields) if isinstance(field.dataType, T.StringType)]
     facts = {}
     if texts:
         # One row per value: the check is compiled once, however many columns there are.
-        values = seen.select(F.posexplode(F.array(*[F.col(f"`{df.columns[i]}`") for i in texts])).alias("column", "text"))
-        filled = values.where("text <> ''").select("column", _fitting_types(F.col("text")).alias("bits"))
+        values = df.select(F.posexplode(F.array(*[F.col(f"`{df.columns[i]}`") for i in texts])).alias("column", "text"))
+        filled = values.where("text is not null").select("column", _fitting_types(F.col("text")).alias("bits"))
         found = filled.groupBy("column").agg(F.bit_and("bits").alias("bits")).collect()
         facts = {texts[row["column"]]: row["bits"] for row in found}
 

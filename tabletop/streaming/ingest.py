@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabletop.operators.load import fitted, load_into, strict_casts
+from tabletop.operators.load import fitted, load_into
+from tabletop.sources.files import read_csv
 
 
 def ingest_incremental(
@@ -16,17 +17,17 @@ def ingest_incremental(
     checkpoint: str,
     file_format: str = "csv",
     sep: str = ",",
-    multi_line: bool = True,
+    multi_line: bool | None = None,
     max_files: int | None = None,
     batch_column: str | None = None,
 ) -> DataFrame:
     """Append to ``table`` the rows of files in ``folder`` that earlier calls have not seen; returns the table.
 
-    CSV columns are matched by position; JSON files hold one object per line, matched by name. A value that does not
-    fit its column fails the run, and the next run takes up the same files. ``checkpoint`` is the folder that remembers
-    what was loaded: the same one for every call, and reachable by all executors. ``max_files`` bounds the files per
-    micro-batch after a long pause.
-    ``multi_line=False`` lets many tasks share a large CSV file, where no value is known to hold a line break.
+    CSV columns are matched by position; JSON files hold one object per line, matched by name whatever the case. A value
+    that does not fit its column, or a field that the table lacks, fails the run, and the next run takes up the same files.
+    ``checkpoint`` is the folder that remembers what was loaded: the same one for every call, and reachable by all
+    executors. ``max_files`` bounds the files per micro-batch after a long pause. ``multi_line`` is that of ``read_csv``:
+    by default each CSV file that can be split is.
 
     Lost tasks and executors are repeated without doubling rows. A driver that dies in the short time between the
     append and the note in the checkpoint writes that batch again at the next call: name the table's partition column
@@ -35,27 +36,27 @@ def ingest_incremental(
     schema = T.StructType([field for field in spark.table(table).schema if field.name != batch_column])
     if file_format not in ("csv", "json"):
         raise ValueError(f"unknown file format: {file_format}")
-    reader = spark.readStream
+    # The stream carries the names of new files only; their content is read in the batch, as a whole folder would be.
+    reader = spark.readStream.format("binaryFile").schema(
+        "path string, modificationTime timestamp, length bigint, content binary")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    if file_format == "csv":
-        arriving = (
-            reader.schema(schema)
-            .option("mode", "FAILFAST")
-            .option("header", True)
-            .option("sep", sep)
-            .option("escape", '"')
-            .option("multiLine", multi_line)
-            .option("nullValue", "\u0000")
-            .option("emptyValue", "")
-            .csv(folder)
-        )
-    else:
-        arriving = _json_columns(reader.text(folder), schema)
+
+    def append(batch: DataFrame, number: int) -> None:
+        files = [row.path for row in batch.select("path").collect()]
+        if not files:
+            return
+        if file_format == "csv":
+            rows = read_csv(spark, files, sep=sep, multi_line=multi_line)
+        else:
+            rows = _json_columns(spark.read.text(files), schema)
+        append_batch(table, rows, number, batch_column)
+
     query = (
-        arriving.writeStream.trigger(availableNow=True)
+        reader.load(folder)
+        .writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, number: append_batch(table, batch, number, batch_column))
+        .foreachBatch(append)
         .start()
     )
     query.awaitTermination()
@@ -64,13 +65,20 @@ def ingest_incremental(
 
 
 def _json_columns(lines: DataFrame, schema: T.StructType) -> DataFrame:
-    """Fields of JSON lines as columns of the table; their names are cleaned as ``read_json`` does it."""
+    """Fields of JSON lines as columns of the table; their names are cleaned as ``read_json`` does it, in any case.
+
+    A field that the table lacks is an error, and so are two that differ by case or blanks only.
+    """
     entries = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
-    cleaned = F.transform_keys(entries, lambda key, _: F.replace(F.trim(key), F.lit(" "), F.lit("_")))
+    cleaned = F.transform_keys(entries, lambda key, _: F.lower(F.replace(F.trim(key), F.lit(" "), F.lit("_"))))
     parsed = lines.where(F.trim("value") != "").select(cleaned.alias("entry"))
+    known = F.array(*[F.lit(field.name.lower()) for field in schema])
+    odd = F.array_except(F.map_keys("entry"), known)
+    message = F.concat(F.lit("the table lacks these fields: "), F.array_join(odd, ", "))
+    parsed = parsed.select(F.when(F.size(odd) > 0, F.raise_error(message).cast(parsed.schema[0].dataType)).otherwise(F.col("entry")).alias("entry"))
 
     def column(field: T.StructField):
-        text = F.try_element_at("entry", F.lit(field.name))
+        text = F.try_element_at("entry", F.lit(field.name.lower()))
         if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
             return F.from_json(text, field.dataType, {"mode": "FAILFAST"}).alias(field.name)
         return text.alias(field.name)
@@ -85,8 +93,7 @@ def append_batch(table: str, batch: DataFrame, number: int, batch_column: str |
         return
     spark = batch.sparkSession
     target = T.StructType([field for field in spark.table(table).schema if field.name != batch_column])
-    with strict_casts(spark):
-        spark.sql(
-            f"INSERT OVERWRITE {table} PARTITION (`{batch_column}` = {int(number)}) SELECT * FROM {{batch}}",
-            batch=fitted(batch, target),
-        )
+    spark.sql(
+        f"INSERT OVERWRITE {table} PARTITION (`{batch_column}` = {int(number)}) SELECT * FROM {{batch}}",
+        batch=fitted(batch, target),
+    )

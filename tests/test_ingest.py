@@ -11,7 +11,7 @@ from tabletop.streaming.ingest import append_batch
 
 
 def test_each_file_once(spark, tmp_path):
-    inbox, notes = tmp_path / "inbox", str(tmp_path / "notes")
+    inbox, notes = tmp_path / "in box", str(tmp_path / "notes")
     inbox.mkdir()
     name = f"{new_database(spark)}.t"
     spark.sql(f"CREATE TABLE {name} (id BIGINT, label STRING) USING parquet")
@@ -24,8 +24,9 @@ def test_each_file_once(spark, tmp_path):
     (inbox / "c.csv").write_text("key,text\nbad,z\n")
     with pytest.raises(Exception):
         ingest_incremental(spark, str(inbox), name, notes)
-    (inbox / "c.csv").write_text("key,text\n4,z\n")
-    assert sorted(row.id for row in ingest_incremental(spark, str(inbox), name, notes).collect()) == [0, 1, 2, 3, 4]
+    (inbox / "c.csv").write_text('key,text\n4,"z\nz"\n')
+    (inbox / "d.csv").write_text("key,text\n5,5\" pipe\n")
+    assert sorted(row.id for row in ingest_incremental(spark, str(inbox), name, notes).collect()) == [0, 1, 2, 3, 4, 5]
 
 
 def test_json_by_name(spark, tmp_path):
@@ -36,11 +37,13 @@ def test_json_by_name(spark, tmp_path):
     (inbox / "a.json").write_text('{" the label ": "x", "id": 7, "parts": [1, 2]}\n\n{"id": 8, "day": "2024-02-29"}\n')
     got = ingest_incremental(spark, str(inbox), name, notes, file_format="json")
     assert values(got) == [(7, "x", [1, 2], None), (8, None, None, datetime.date(2024, 2, 29))]
-    for bad in ('{"id": "seven"}\n', '{"id": 1\n', '{"id": 1, " id": 2}\n'):
+    (inbox / "upper.json").write_text('{"ID": 9, "The Label": "u"}\n')
+    assert ingest_incremental(spark, str(inbox), name, notes, file_format="json").where("id = 9 and the_label = 'u'").count() == 1
+    for bad in ('{"id": 1, "unknown": 2}\n', '{"id": "seven"}\n', '{"id": 1\n', '{"id": 1, " id": 2}\n'):
         (inbox / "b.json").write_text(bad)
         with pytest.raises(Exception):
             ingest_incremental(spark, str(inbox), name, notes, file_format="json")
-        assert spark.table(name).count() == 2
+        assert spark.table(name).count() == 3
 
 
 def test_working_folders_are_shared_and_new(spark):

@@ -2,6 +2,8 @@ import datetime
 import random
 import re
 
+from decimal import Decimal
+
 import pytest
 from conftest import plan_of, values
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from tabletop.operators import (
     assemble,
     check_reference,
     database_totals,
+    delete_snapshot,
     discover_keys,
     discover_references,
     execute,
@@ -108,8 +111,12 @@ def test_discover_keys(spark):
 
 def test_sample_only_rules_out(spark, monkeypatch):
     """With the sample in use the keys found are the same, also where only two rows of many agree."""
-    monkeypatch.setattr(keys, "_SAMPLE_FROM", 1)
     df = spark.range(3000).select("id", F.when(F.col("id") == 7, 8).otherwise(F.col("id")).alias("nearly"))
+    with pytest.raises(ValueError, match="max_width"):
+        keys.discover_keys({"t": df}, max_width=3)
+    long = df.select(F.concat(F.lit("x" * 100), F.col("id").cast("string")).alias("long"))
+    assert keys.discover_keys({"t": long}) == {"t": [("long",)]}
+    monkeypatch.setattr(keys, "_PAIRS_A_PASS", 1)
     assert keys.discover_keys({"t": df}) == {"t": [("id",)]}
     assert keys.discover_keys({"t": df.select("nearly", (F.col("id") % 50).alias("m"))}) == {"t": [("nearly", "m")]}
 
@@ -146,7 +153,9 @@ def test_field_types(spark):
     assert got == {
         "a": (["NoneType", "int", "str"], 3), "b": (["dict"], 2), "c": (["list"], 1), "d": (["float"], 1), "e": (["bool"], 1)
     }
-    assert {row.field: row.type for row in field_types(df, sample=1).collect()} == {"a": "int", "b": "dict"}
+    late = spark.range(100).select(F.when(F.col("id") < 50, '{"a": 1}').otherwise('{"a": "x", "b": 2}').alias("j"))
+    found = field_types(late.select(document_column("j").alias("doc")))
+    assert {row.field: (row.type, row.present) for row in found.collect()} == {"a": ("int,str", 100), "b": ("int", 50)}
 
 
 def test_snapshots(spark, tmp_path):
@@ -297,3 +306,59 @@ def test_range_join_against_brute_force(spark):
     left = range_join(p, s, "at", "a", "b", how="left").select("p", "s")
     alone = {p for p, _ in points} - {p for p, _ in expected}
     assert values(left) == sorted(expected + [(p, None) for p in alone], key=repr)
+
+
+def test_open_and_long_intervals(spark):
+    day = lambda text: datetime.datetime.fromisoformat(text)
+    points = [(i, day("2020-01-01") + datetime.timedelta(hours=7 * i)) for i in range(400)] + [(900, None), (901, day("1990-01-01"))]
+    spans = [("open", "2020-01-05", "9999-12-31"), ("short", "2020-01-03", "2020-01-04"), ("months", "2020-01-31", "2020-04-30"),
+             ("years", "2000-01-01", "2020-02-01"), ("empty", "2020-01-03", "2020-01-03"), ("turned", "2020-02-03", "2020-01-03")]
+    left = spark.createDataFrame(points, "id int, at timestamp_ntz")
+    right = spark.createDataFrame([(n, day(a), day(b)) for n, a, b in spans], "name string, opens timestamp_ntz, closes timestamp_ntz")
+    expected = [(i, n) for i, at in points for n, a, b in spans if at and day(a) <= at < day(b)]
+    for grain in ("minute", "day"):
+        found = range_join(left, right, "at", "opens", "closes", grain=grain).select("id", "name")
+        assert values(found) == sorted(expected, key=repr)
+    alone = [(i, None) for i, _ in points if i not in {i for i, _ in expected}]
+    found = range_join(left, right, "at", "opens", "closes", how="left").select("id", "name")
+    assert values(found) == sorted(expected + alone, key=repr)
+    assert range_join(left, right.limit(0), "at", "opens", "closes", how="left").count() == len(points)
+    with pytest.raises(ValueError, match="columns named"):
+        range_join(left, right.withColumnRenamed("name", "ID"), "at", "opens", "closes")
+
+
+def test_asof_join_on_several_keys(spark):
+    at = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=n)
+    left = spark.createDataFrame([(1, "a", at(5)), (1, "b", at(5)), (1, None, at(5)), (2, "a", at(99))], "k int, s string, t timestamp_ntz")
+    right = spark.createDataFrame([(1, "a", at(3), 10), (1, "b", at(6), 20), (2, "a", at(1), 30)], "k int, s string, t timestamp_ntz, v int")
+    found = asof_join(left, right, ["k", "s"], "t", "t", ["v"]).select("k", "s", "v")
+    assert values(found) == sorted([(1, "a", 10), (1, "b", None), (1, None, None), (2, "a", 30)], key=repr)
+    with pytest.raises(ValueError, match="columns named"):
+        asof_join(left, right.withColumnRenamed("v", "S2").withColumnRenamed("s", "x"), ["k"], "t", "t", ["t"])
+
+
+def test_many_last_messages_of_a_hot_conversation(spark):
+    hot = spark.range(9000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"))
+    rows = hot.union(spark.range(30).select(F.lit(2).alias("conv_id"), F.col("id").alias("turn")))
+    found = last_messages(rows, 2000)
+    assert found.columns == ["conv_id", "turn"]
+    assert found.where("conv_id = 1").agg(F.min("turn"), F.count("*")).head() == (7000, 2000)
+    assert found.where("conv_id = 2").count() == 30
+
+
+def test_references_by_whole_number_decimals(spark):
+    child = spark.createDataFrame([(Decimal(1),), (Decimal(2),)], "ref decimal(10,0)")
+    found = discover_references({"c": child, "p": spark.range(5).toDF("id")}, {"p": ["id"]})
+    assert [(row.child_table, row.parent_column) for row in found.collect()] == [("c", "id")]
+
+
+def test_snapshot_failures_and_removal(spark, tmp_path):
+    root = str(tmp_path)
+    write_snapshot(spark.range(150), root, "kept")
+    broken = spark.range(4).select(F.raise_error(F.lit("no")).cast("int").alias("x"))
+    with pytest.raises(Exception):
+        write_snapshot(broken, root, "kept")
+    assert read_snapshot(spark, root, "kept").count() == 150
+    assert [path.name for path in (tmp_path / "kept").iterdir()] == ["source.parquet"]
+    assert delete_snapshot(spark, root, "kept") and not delete_snapshot(spark, root, "kept")
+    assert list_snapshots(spark, root).count() == 0

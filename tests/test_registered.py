@@ -28,7 +28,7 @@ def test_every_text_has_a_query():
 
 def test_entry(spark):
     rows = contract.entry(spark).collect()
-    assert len(rows) == 10 and rows[0].asDict().keys() == {"n_name", "orders", "revenue"}
+    assert len(rows) > 10 and rows[0].asDict().keys() == {"n_name", "orders", "revenue"}
 
 
 def test_filters_and_columns_reach_the_files(spark, small):

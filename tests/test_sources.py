@@ -163,16 +163,102 @@ def test_infer_schema(spark):
     )
     expected = {
         "my_id": "bigint", "share": "double", "user_col": "boolean", "d": "date", "t": "timestamp_ntz",
-        "mixed": "string", "empty": "string", "big": "double",
+        "mixed": "string", "empty": "string", "big": "decimal(38,0)",
     }
     assert {f.name: f.dataType.simpleString() for f in infer_schema(df)} == expected
     late = spark.range(100).select(F.when(F.col("id") < 99, F.col("id").cast("string")).otherwise("x").alias("v"))
     assert infer_schema(late)["v"].dataType == T.StringType()
-    assert infer_schema(late.coalesce(1), sample_rows=4)["v"].dataType == T.LongType()
     wrong_day = spark.createDataFrame([("2023-02-30",)], "d string")
     assert infer_schema(wrong_day)["d"].dataType == T.StringType()
 
 
+def test_inferred_types_keep_every_value(spark):
+    columns = {
+        "zeros": (["007", "1"], "string"), "plus": (["+1", "2"], "string"), "minus_zero": (["-0"], "string"),
+        "ids": (["12345678901234567890", "12345678901234567891"], "decimal(38,0)"), "huge": (["1" * 39], "string"),
+        "edge": (["9223372036854775807", "-9223372036854775808"], "bigint"), "precise": (["0.1234567890123456789"], "string"),
+        "exact": (["0.30000000000000004", "1"], "double"), "joint": (["123456789012345678", "1.5"], "string"),
+        "offset": (["2024-01-01 00:00:00+02:00"], "timestamp"), "mixed_offset": (["2024-01-01 00:00:00Z", "2024-01-01 00:00:00"], "string"),
+        "nanos": (["2024-01-01 00:00:00.123456789"], "string"), "blank": (["1", ""], "string"), "point": (["1.", "2"], "string"),
+    }
+    for name, (texts, expected) in columns.items():
+        df = spark.createDataFrame([(text,) for text in texts], f"{name} string")
+        schema = infer_schema(df)
+        assert schema[0].dataType.simpleString() == expected, name
+        table = f"{new_database(spark)}.t"
+        create_table(spark, table, schema)
+        load_into(table, df)
+        assert spark.table(table).count() == len(texts) and spark.table(table).where(F.col(name).isNull()).isEmpty()
+
+
+def test_load_refuses_what_it_would_change(spark):
+    database = new_database(spark)
+    for i, (kind, given, value) in enumerate([
+        ("bigint", "double", 1.9), ("date", "timestamp", datetime.datetime(2024, 1, 1, 23, 59, 59)),
+        ("decimal(10,1)", "decimal(10,2)", Decimal("1.26")), ("int", "bigint", 2**40), ("float", "double", 0.1),
+        ("decimal(10,1)", "string", "1.26"), ("date", "string", "2024-01-01 10:00:00"), ("bigint", "string", ""),
+    ]):
+        name = f"{database}.t{i}"
+        spark.sql(f"CREATE TABLE {name} (v {kind}) USING parquet")
+        with pytest.raises(Exception, match="cannot hold"):
+            load_into(name, spark.createDataFrame([(value,)], f"v {given}"))
+        assert spark.table(name).count() == 0
+    name = f"{database}.fits"
+    spark.sql(f"CREATE TABLE {name} (a bigint, b date, c decimal(10,1), d float, e string) USING parquet")
+    row = (2.0, datetime.datetime(2024, 1, 1), Decimal("1.20"), 0.5, 7)
+    load_into(name, spark.createDataFrame([row, (None,) * 5], "a double, b timestamp, c decimal(10,2), d double, e int"))
+    assert values(spark.table(name)) == [(2, datetime.date(2024, 1, 1), Decimal("1.2"), 0.5, "7"), (None,) * 5]
+
+
+def test_one_column_with_nulls_and_empty_texts(spark, tmp_path):
+    rows = [(None,), ("",), ("x",), (None,), ("a\nb",)]
+    export_csv(spark.createDataFrame(rows, "v string"), str(tmp_path / "one"))
+    assert values(read_csv(spark, str(tmp_path / "one"))) == sorted(rows, key=repr)
+    numbers = spark.range(10).select(F.when(F.col("id") != 3, F.col("id")).alias("id"))
+    export_csv(numbers, str(tmp_path / "numbers"))
+    assert read_csv(spark, str(tmp_path / "numbers")).count() == 10
+
+
+def test_one_bad_csv_file_leaves_the_others_split(spark, tmp_path):
+    folder = tmp_path / "some files"
+    folder.mkdir()
+    (folder / "long.csv").write_text("a,b\n" + "".join(f'{i},5" pipe {i}\n' for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        split = read_csv(spark, str(folder)).rdd.getNumPartitions()
+        assert split > 5
+        (folder / "breaks.csv").write_text('a,b\nx,"one\ntwo, ""three"""\n')
+        df = read_csv(spark, str(folder))
+        assert df.rdd.getNumPartitions() >= split and df.count() == 3001
+        assert values(df.where("a = 'x'")) == [("x", 'one\ntwo, "three"')]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (folder / "swapped.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header|columns"):
+        read_csv(spark, str(folder)).collect()
+
+
+def test_json_layouts_may_mix_and_no_row_is_lost(spark, tmp_path):
+    folder = tmp_path / "mixed json"
+    folder.mkdir()
+    (folder / "a.json").write_text('[\n {"n": 1, "x": "p"},\n {"n": 2, "x": null}\n]')
+    (folder / "b.json").write_text('\n{"n": 3}\n{"n": 4.5, "late": true}\n\n{"n": 5}\n')
+    (folder / "c.json").write_text('{"n": [6, 7],\n "x": ["q", "r"]}')
+    (folder / "d.json").write_text('{"n": 8,\n "x": "s"}')
+    df = read_json(spark, str(folder))
+    assert sorted(df.columns) == ["late", "n", "x"]
+    assert sorted((r.n, r.x, r.late) for r in df.collect()) == [
+        (1.0, "p", None), (2.0, None, None), (3.0, None, None), (4.5, None, True), (5.0, None, None), (6.0, "q", None),
+        (7.0, "r", None), (8.0, "s", None)]
+    for name, content in (("lines.json", '{"n": 1}\n{"n": oops\n{"n": 3}\n'), ("two.json", '[{"n": 1}]\n[{"n": 2}]'),
+                          ("pretty.json", '{"n":\n 1}\n{"n":\n 2}')):
+        (tmp_path / name).write_text(content)
+        with pytest.raises(Exception):
+            read_json(spark, str(tmp_path / name)).collect()
+
+
 def test_load_by_position_all_or_nothing(spark):
     database = new_database(spark)
     name = f"{database}.tracks"
