@@ -144,6 +144,8 @@ def spans(placed: DataFrame, dealt: DataFrame, block_words: int = BLOCK_WORDS) -
     """
     parts = pieces(placed, block_words)
     inside = F.greatest(F.lit(0), F.least("words", F.col("takes") - F.col("offset")))
+    # Spark takes what explodes from a few rows for small; the slots grow with the input and must not be broadcast.
+    dealt = dealt.hint("merge")
     used = F.when(F.col("takes").isNotNull() & F.col("words").isNotNull(), inside).otherwise(0)
     return parts.join(dealt, ["source_no", "block"], "left").withColumn("words", used.cast("bigint"))
 
