@@ -156,8 +156,10 @@ def links(docs: DataFrame, families: DataFrame, width: int, threshold: float, bl
             while end < len(rows) and rows[end][0] == rows[start][0]:
                 end += 1
             own = end - start
-            split = own if x < 0 or x == y else sum(row[1] == x for row in rows[start:end])
-            if own > 1 and split:
+            alone = x < 0 or x == y
+            split = own if alone else sum(row[1] == x for row in rows[start:end])
+            # Of two blocks one may be empty; the other is compared with itself elsewhere.
+            if alone and own > 1 or 0 < split < own:
                 copies = np.array([row[3] for row in rows[start:end]])
                 for row, others in verified(sets[start:end], split, exact):
                     if len(others):

@@ -1,5 +1,6 @@
 import hashlib
 import re
+from itertools import islice
 
 import numpy as np
 import odd
@@ -14,7 +15,8 @@ def spots(text):
     common, found = set(P.ANCHORS), set()
     for i, word in enumerate(words):
         if word in common:
-            chain = [w for w in words[i:] if w not in common][:P.CHAIN]
+            after = (words[j] for j in range(i, len(words)) if words[j] not in common)
+            chain = islice(after, P.CHAIN)
             found.add((word, *chain))
     return found or {(word,) for word in words} or ({text} if text else set())
 
