@@ -1,8 +1,9 @@
+from tabletop.operators.collections import profile_collections
 from tabletop.operators.export import export_csv, export_json, json_rows, read_export
 from tabletop.operators.fields import field_types
 from tabletop.operators.joins import asof_join, range_join
 from tabletop.operators.keys import candidate_keys, check_reference, discover_keys, discover_references
-from tabletop.operators.load import load_into
+from tabletop.operators.load import load_file, load_into
 from tabletop.operators.profile import (
     database_totals,
     declared_keys,
@@ -49,10 +50,12 @@ __all__ = [
     "last_messages",
     "list_snapshots",
     "list_tables",
+    "load_file",
     "load_into",
     "preview",
     "preview_frame",
     "profile_remote",
+    "profile_collections",
     "profile_tables",
     "range_join",
     "read_export",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabletop.sources.files import read_csv, read_json
+from tabletop.sources.schema import create_table, infer_schema
+
 _NESTED = (T.ArrayType, T.StructType, T.MapType, T.VariantType)
 
 
@@ -48,3 +51,23 @@ def load_into(table: str, df: DataFrame) -> None:
     later.
     """
     fitted(df, df.sparkSession.table(table).schema).write.insertInto(table)
+
+
+def load_file(spark: SparkSession, path: str, table: str, sep: str | None = None) -> DataFrame:
+    """Load a file or folder into ``table`` in one step and return the table.
+
+    The ending of ``path`` picks the reader: ``.json`` and ``.jsonl`` JSON, ``.tsv`` and ``.txt`` tab-separated, ``.csv``
+    comma-separated, unless ``sep`` says otherwise. A table that does not exist yet is made with the names and types found
+    in the data. Either all rows are loaded or none.
+    """
+    ending = path.rstrip("/").rpartition(".")[2].lower()
+    if ending in ("json", "jsonl"):
+        rows = read_json(spark, path)
+    elif sep or ending in ("csv", "tsv", "txt"):
+        rows = read_csv(spark, path, sep=sep or ("," if ending == "csv" else "\t"))
+    else:
+        raise ValueError(f"no reader for files that end in .{ending}")
+    if not spark.catalog.tableExists(table):
+        create_table(spark, table, infer_schema(rows))
+    load_into(table, rows)
+    return spark.table(table)

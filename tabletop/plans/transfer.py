@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabletop.operators.export import export_csv, export_json, read_export
-from tabletop.operators.load import load_into
+from tabletop.operators.collections import profile_collections
+from tabletop.operators.load import load_file, load_into
 from tabletop.operators.snapshots import (
     delete_snapshot,
     list_snapshots,
@@ -191,6 +192,34 @@ def loaded_table(spark: SparkSession, folder: str) -> DataFrame:
     return spark.table(f"{database}.orders")
 
 
+@registered("s9_load_file", "SELECT * FROM customer UNION ALL SELECT * FROM customer")
+def loaded_file(spark: SparkSession, folder: str) -> DataFrame:
+    """From files to a table in one step, twice: the first call makes the table."""
+    path = working_folder(spark, "load") + ".csv"
+    export_csv(table(spark, folder, "customer"), path)
+    name = f"{new_database(spark)}.people"
+    load_file(spark, path, name)
+    return load_file(spark, path, name)
+
+
+@registered(
+    "p6_collection_profile",
+    """SELECT 'events' AS "table", COUNT(*) AS row_count, CAST(MIN(event_id) AS VARCHAR) AS first_pk,
+              CAST(MAX(event_id) AS VARCHAR) AS last_pk, '_id:int,event_type:str,props:dict,user_id:int' AS fields,
+              '_id' AS primary_key FROM events""",
+)
+def collection_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as exported documents."""
+    path = working_folder(spark, "documents")
+    body = F.struct(F.col("event_id").alias("_id"), "user_id", "event_type", F.from_json("props", "k BIGINT").alias("props"))
+    table(spark, folder, "events").select(F.to_json(body).alias("value")).write.text(path)
+    profile = profile_collections({"events": read_documents(spark, path)})
+    entries = F.transform("columns", lambda name: F.concat(name, F.lit(":"), F.element_at("column_types", name)))
+    return profile.select(
+        "table", "row_count", "first_pk", "last_pk", F.array_join(entries, ",").alias("fields"),
+        F.array_join("primary_keys", ",").alias("primary_key"))
+
+
 @registered(
     "s10_export_csv",
     """SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, props,
