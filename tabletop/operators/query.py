@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -18,9 +19,15 @@ DONE = "Query executed successfully"
 def sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
     """The result of SQL ``text``; ``{name}`` in it stands for the DataFrame ``frames[name]``.
 
-    Text without frames is passed on as it is, braces included.
+    Other braces, those of a JSON literal for instance, are text like any other.
     """
-    return spark.sql(text, **frames) if frames else spark.sql(text)
+    if not frames:
+        return spark.sql(text)
+    named = "|".join(re.escape(f"{{{name}}}") for name in frames)
+    parts = re.split(f"({named})", text)
+    # Every second part is one of the names; doubled braces stand for themselves.
+    plain = [part if i % 2 else part.replace("{", "{{").replace("}", "}}") for i, part in enumerate(parts)]
+    return spark.sql("".join(plain), **frames)
 
 
 def execute(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ from tabletop.operators import (
     restore_working,
     rows_as_json,
     split_reply,
+    sql,
     table_sizes,
     token_rate,
     total_storage,
@@ -362,3 +363,8 @@ def test_snapshot_failures_and_removal(spark, tmp_path):
     assert [path.name for path in (tmp_path / "kept").iterdir()] == ["source.parquet"]
     assert delete_snapshot(spark, root, "kept") and not delete_snapshot(spark, root, "kept")
     assert list_snapshots(spark, root).count() == 0
+
+
+def test_braces_that_name_no_frame(spark):
+    text = """SELECT id, GET_JSON_OBJECT('{"a": {"b": 1}}', '$.a.b') AS b FROM {rows} WHERE id < 2"""
+    assert values(sql(spark, text, rows=spark.range(5))) == [(0, "1"), (1, "1")]
