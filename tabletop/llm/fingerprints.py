@@ -2,8 +2,10 @@
 
 A spot is a common word (an anchor) with the chain of content words that follow it; anchors inside the chain are passed
 over. The set of a text's hashed spots is its fingerprint: it depends on the prose around common words and not on layout.
-Fingerprints are compared by the Jaccard similarity of their sets, which two sets whose lengths differ too much cannot
-reach: ``similar_pairs`` deals them to partitions by set length, and a comparison ends as soon as the bound is lost.
+Fingerprints are compared by the Jaccard similarity of their sets. ``similar`` finds all similar documents: sets are dealt to
+partitions by length, so that two similar ones share a partition. Within it, the rarest spots of a set, as many as two
+similar sets cannot both lack, list it; sets that share a list are compared, in blocks of bounded size, after lengths and
+the places of the shared spot have pruned pairs that cannot reach the threshold.
 
 ``with_next`` walks documents by descending id. Rows are dealt to ranges of ids, each sorted by Spark and read as a stream;
 the first row of a range is also sent to the end of the range before it, so that no row lacks its successor. Only the ends
@@ -27,7 +29,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabletop.llm.common import portions
+from tabletop.llm.common import connected_components, portions, stored
 from tabletop.llm.shingles import mixed, word_hashes
 
 # Common words of English, German, French and Spanish.
@@ -119,6 +121,100 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _pairs(rows: list[tuple], split: int, part: int, spot: int, least: float) -> Iterator[tuple[int, int]]:
+    """Places of similar sets: the first ``split`` rows with the others or, if these are all, with later ones.
+
+    A row has its bin, its prefix (rarest spots first) and its spots. A pair that shares several lists counts in the list of
+    its first shared prefix spot, and of two partitions in that of the longer set.
+    """
+    for a in range(split):
+        bin_a, prefix_a, spots_a = rows[a]
+        for b in range(a + 1 if split == len(rows) else split, len(rows)):
+            bin_b, prefix_b, spots_b = rows[b]
+            if max(bin_a, bin_b) != part or min(len(spots_a), len(spots_b)) < least * max(len(spots_a), len(spots_b)) - 1e-9:
+                continue
+            common = set(prefix_b)
+            if next(s for s in prefix_a if s in common) != spot:
+                continue
+            # Rarer spots than the shared one are not shared: what is left bounds the intersection.
+            left = min(len(spots_a) - prefix_a.index(spot), len(spots_b) - prefix_b.index(spot))
+            if left < least * (len(spots_a) + len(spots_b) - left) - 1e-9:
+                continue
+            if likeness(spots_a, spots_b) >= least - 1e-12:
+                yield a, b
+
+
+def similar(docs: DataFrame, least: float = 0.8, block_rows: int = 1000) -> DataFrame:
+    """One row a document: ``doc_id``, ``class_id`` (the smallest id reached by links) and ``n_links``.
+
+    Documents whose fingerprints are at least that similar are linked, those with equal ones always. Documents with the
+    empty text, or a null id, link with nothing; the class of a null id is null.
+    """
+    rows = fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).drop("text")
+    rows = stored(rows, "prints")
+    unique = stored(rows.where("n_spots > 0 and doc_id is not null").groupBy("fingerprint").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("n_spots").alias("size")), "prints")
+    spot = F.explode(F.transform(
+        F.sequence(F.lit(0), (F.col("size") - 1).cast("int")),
+        lambda i: F.conv(F.substring(F.col("fingerprint"), i * 8 + 1, F.lit(8)), 16, 10).cast("bigint")))
+    listed = stored(unique.select("rep", "size", spot.alias("spot")), "spots")
+    often = stored(listed.groupBy("spot").agg(F.count("*").alias("often")), "spots")
+    needed = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1
+    prefix = listed.join(often.where("often > 1"), "spot", "right").groupBy("rep", "size").agg(
+        F.array_sort(F.collect_list(F.struct("often", "spot"))).alias("shared"))
+    # Spots that no other set has come first and list nothing.
+    alone = F.col("size") - F.size("shared")
+    prefix = prefix.select("rep", "size", F.transform(
+        F.slice("shared", 1, F.greatest(F.lit(0), needed - alone).cast("int")), lambda s: s["spot"]).alias("prefix"))
+    bin_ = F.floor(F.log("size") / F.log(F.lit(1 / least)) + 1e-9)
+    keyed = prefix.where(F.size("prefix") > 0).select(
+        "rep", "prefix", bin_.alias("bin"), F.explode(F.array(bin_, bin_ + 1)).alias("part"))
+    keyed = stored(keyed.select("*", F.explode("prefix").alias("spot")), "keyed")
+    counts = keyed.groupBy("part", "spot").agg(F.count("*").alias("rows")).where("rows > 1")
+    counts = stored(counts.select("part", "spot", F.ceil(F.col("rows") / block_rows).alias("blocks")), "keyed")
+    held = keyed.join(counts, ["part", "spot"]).join(unique.select("rep", "n", "fingerprint"), "rep")
+    held = held.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    held = held.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    held = held.select("part", "spot", "rep", "n", "bin", "prefix", "fingerprint", "block",
+                       F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        names = ("block", "rep", "n", "bin", "prefix", "fingerprint")
+        members = sorted(zip(*(group.column(name).to_pylist() for name in names)))
+        part, spot, x, y = (group.column(name)[0].as_py() for name in ("part", "spot", "x", "y"))
+        sets = [(m[3], m[4], np.frombuffer(bytes.fromhex(m[5]), ">u4").astype(np.uint32)) for m in members]
+        split = len(members) if x == y else sum(m[0] == x for m in members)
+        links, roots = [0] * len(members), list(range(len(members)))
+
+        def root(node: int) -> int:
+            while roots[node] != node:
+                roots[node] = roots[roots[node]]
+                node = roots[node]
+            return node
+
+        for a, b in _pairs(sets, split, part, spot, least) if x == y or split < len(members) else ():
+            links[a], links[b] = links[a] + members[b][2], links[b] + members[a][2]
+            low, high = sorted((root(a), root(b)), key=lambda i: members[i][1])
+            roots[high] = low
+        linked = [i for i, count in enumerate(links) if count]
+        return pa.table({
+            "rep": pa.array([members[i][1] for i in linked], pa.int64()),
+            "root": pa.array([members[root(i)][1] for i in linked], pa.int64()),
+            "links": pa.array([links[i] for i in linked], pa.int64())})
+
+    found = stored(held.groupBy("part", "spot", "x", "y").applyInArrow(compare, "rep bigint, root bigint, links bigint"), "links")
+    groups = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    facts = unique.join(counted, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    facts = stored(facts.select(
+        F.col("fingerprint").alias("same"), F.coalesce("component", "rep").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "facts")
+    able = F.col("doc_id").isNotNull() & (F.col("n_spots") > 0)
+    joined = rows.join(facts, able & (rows.fingerprint == facts.same), "left")
+    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
+                         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 def edited(text: str, following: str) -> str:
     """``text`` with its last half replaced by the start of ``following``."""
     half = len(text) // 2

@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 from itertools import islice
 
 import numpy as np
 import odd
+import pytest
 
 from tabletop.llm import fingerprints as P
 from tabletop.llm.queries import op9_fingerprints
@@ -69,3 +71,38 @@ def test_equal_texts_and_likeness(spark):
     a, b = np.arange(10, dtype=np.uint32), np.arange(5, 15, dtype=np.uint32)
     assert P.likeness(a, b) == 5 / 15 and P.likeness(a, a) == 1 and P.likeness(a, b[:0]) == 0 and P.likeness(a[:0], b[:0]) == 1
     assert P.likeness(a, a[:3], least=0.5) == 0
+
+
+def brute(docs, least):
+    """Classes and links by comparing all pairs of fingerprints."""
+    sets = [spots(text or "") for _, text in docs]
+    links, groups = [0] * len(docs), [{i} for i in range(len(docs))]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and None not in (docs[i][0], docs[j][0]) and share(a, b) >= least - 1e-12:
+                links[i], links[j] = links[i] + 1, links[j] + 1
+                joined = groups[i] | groups[j]
+                for k in joined:
+                    groups[k] = joined
+    least_id = lambda group: min((docs[k][0] for k in group), key=lambda x: (x is None, x))
+    return sorted(((d[0], least_id(groups[i]), links[i]) for i, d in enumerate(docs)), key=repr)
+
+
+@pytest.mark.parametrize(("least", "block_rows"), [(0.8, 1000), (0.5, 3)])
+def test_similar_against_brute_force(spark, least, block_rows):
+    source = random.Random(6)
+    docs = []
+    for _ in range(25):
+        text = [source.choice(["the", "of", "is"] + [f"w{i}" for i in range(40)]) for _ in range(source.randint(5, 90))]
+        for _ in range(source.randint(1, 6)):
+            copy = [word if source.random() > 0.02 else "new" for word in text] + ["end"] * source.randint(0, 2)
+            docs.append((len(docs), " ".join(copy)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = sorted(map(tuple, P.similar(df, least, block_rows).collect()), key=repr)
+    assert found == brute(docs, least)
+
+
+def test_similar_odd_rows(spark):
+    docs = [(row[0], row[1]) for row in odd.ROWS]
+    assert sorted(map(tuple, P.similar(odd.documents(spark)).collect()), key=repr) == brute(docs, 0.8)
+    assert P.similar(odd.nothing(spark)).count() == 0
