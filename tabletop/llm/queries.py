@@ -123,4 +123,48 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_token_counts": op10_token_counts,
 }
-CHECKS: dict[str, str] = {}
+# SQL for those whose rows it can tell, by comparing all pairs; the others are tested against plain code.
+CHECKS: dict[str, str] = {
+    "op3_embedding_dedup": """
+        WITH RECURSIVE sound AS (
+          SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+          WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+          SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+        reach(node, other) AS (
+          SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.y FROM reach r JOIN links l ON l.x = r.other)
+        SELECT e.vec_id, (SELECT COUNT(*) FROM links l WHERE l.x = e.vec_id) AS n_links, c.component_id,
+               e.vec_id = c.component_id AS kept
+        FROM embeddings e JOIN (SELECT node, MIN(other) AS component_id FROM reach GROUP BY node) c ON c.node = e.vec_id""",
+    "op6_warc": """
+        WITH raw AS (
+          SELECT page_id, COALESCE(html, '') AS html, MAX(page_id) OVER (PARTITION BY COALESCE(html, '')) AS first FROM pages),
+        hashed AS (SELECT *, sha1(html) AS h FROM raw)
+        SELECT page_id, strlen(html) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+                 (CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> (15 - 5 * CAST(i % 4 AS INT))) & 31 AS INT), 1)), '')
+                 AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM hashed""",
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(COALESCE(text, ''), '[\x09-\x0D ]+'), lambda x: x <> '') AS w FROM documents),
+        grams AS (
+          SELECT DISTINCT doc_id, unnest(list_transform(
+            range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 4, 1) + 1 END), lambda i: array_to_string(w[i:i + 4], ' '))) AS g
+          FROM words),
+        sizes AS (SELECT doc_id, COUNT(*) AS n FROM grams GROUP BY doc_id),
+        common AS (
+          SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+          GROUP BY 1, 2),
+        links AS (
+          SELECT x, y FROM common c JOIN sizes a ON a.doc_id = c.x JOIN sizes b ON b.doc_id = c.y
+          WHERE 5 * c.n >= 4 * (a.n + b.n - c.n)),
+        reach(node, other) AS (
+          SELECT doc_id, doc_id FROM documents UNION SELECT r.node, l.y FROM reach r JOIN links l ON l.x = r.other)
+        SELECT d.doc_id, c.class_id, (SELECT COUNT(*) FROM links l WHERE l.x = d.doc_id) AS n_links
+        FROM documents d JOIN (SELECT node, MIN(other) AS class_id FROM reach GROUP BY node) c ON c.node = d.doc_id""",
+}
