@@ -25,7 +25,7 @@ from tabletop.llm.common import stored
 BLOCK_WORDS = 1024
 SHARD_SLOTS = 1024
 WEIGHTS = (5, 2, 1)
-_ROWS_A_BUCKET = 20_000
+_ROWS_A_BUCKET = 2000
 _SLOTS_A_CHUNK = 4096
 # Primes from which the multiplier of a permutation is taken; at least one of them does not divide the number of blocks.
 _PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
