@@ -29,8 +29,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a probability of at least one half; those without a letter go."""
     model = language_id.train(docs)
-    found = language_id.identify(docs, model)
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_score") >= 0.5)).select(*docs.columns)
+    found = language_id.identify(docs, model, lang="_lang", score="_score")
+    return found.where((F.col("_lang") != language_id.UNDETERMINED) & (F.col("_score") >= 0.5)).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

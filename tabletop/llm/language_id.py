@@ -160,16 +160,18 @@ def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str
     return [model.languages[b] if n else UNDETERMINED for b, n in zip(best, grams)], np.where(grams > 0, score, 0.0)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with the columns ``lang_pred`` and ``lang_score``; every other column passes, earlier ones of these names go."""
+def identify(
+    docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang_pred", score: str = "lang_score"
+) -> DataFrame:
+    """``docs`` with the columns ``lang`` and ``score``; every other column passes, earlier ones of these names go."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "lang_score")
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema
+    docs = docs.drop(lang, score)
+    schema = docs.select("*", F.lit("").alias(lang), F.lit(0.0).alias(score)).schema
 
     def predict(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames, text):
             langs, scores = score_texts(frame.column(text).to_pylist(), held.value)
             columns = [*frame.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*frame.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return docs.mapInArrow(predict, schema)

@@ -167,17 +167,19 @@ def taken_words(taken: DataFrame) -> DataFrame:
 def mixed_texts(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """The texts of the mix with the columns of ``docs``: one row for each pass in which a document is taken.
 
-    A document that a pass takes in full keeps its text; of others the words taken are joined by blanks.
+    A document that a pass takes in full keeps its text; of others the words taken are joined by blanks. Repeated rows are
+    taken each on its own, with the other columns of one of them.
     """
     parts = taken.where("words > 0").groupBy("doc_id", "text_hash", "size", "bucket", "row_no", "source_no", "pass").agg(
-        F.sum("words").alias("sum_words"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"))
-    parts = parts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "size", "sum_words", "parts")
+        F.sum("words").alias("_taken"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_parts"))
+    parts = parts.select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), "_taken", "_parts")
     unique = docs.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"])
     rows = unique.join(parts, unique.doc_id.eqNullSafe(parts._id) & (unique._text_hash == parts._hash))
     words = F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
     some = F.array_join(F.flatten(F.transform(
-        "parts", lambda part: F.slice(words, (part["first"] + 1).cast("int"), part["words"].cast("int")))), " ")
-    rows = rows.withColumn("text", F.when(F.col("sum_words") == F.col("size"), F.col("text")).otherwise(some))
+        "_parts", lambda part: F.slice(words, (part["first"] + 1).cast("int"), part["words"].cast("int")))), " ")
+    rows = rows.withColumn("text", F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
