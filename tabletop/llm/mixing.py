@@ -174,8 +174,14 @@ def mixed_texts(docs: DataFrame, taken: DataFrame) -> DataFrame:
         F.sum("words").alias("_taken"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_parts"))
     parts = parts.select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), "_taken", "_parts")
-    unique = docs.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"])
-    rows = unique.join(parts, unique.doc_id.eqNullSafe(parts._id) & (unique._text_hash == parts._hash))
+    # One shuffle of the texts, by one key, serves both the removal of repeated rows and the join.
+    parts = parts.withColumn("_key", F.xxhash64("_id", "_hash"))
+    unique = docs.withColumn("_text_hash", F.xxhash64("text")).withColumn("_row_key", F.xxhash64("doc_id", "_text_hash"))
+    unique = unique.repartition("_row_key").dropDuplicates(["_row_key", "doc_id", "_text_hash"])
+    # Not as equalities: the join would ask for a shuffle by all of them.
+    same = (unique._row_key == parts._key) & (unique._text_hash.bitwiseXOR(parts._hash) == 0)
+    same &= F.coalesce(F.try_subtract(unique.doc_id, parts._id), F.lit(0)) == 0
+    rows = unique.join(parts.hint("merge"), same)
     words = F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
     some = F.array_join(F.flatten(F.transform(
         "_parts", lambda part: F.slice(words, (part["first"] + 1).cast("int"), part["words"].cast("int")))), " ")
