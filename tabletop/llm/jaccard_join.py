@@ -212,8 +212,15 @@ def near_duplicates(
 
 
 def first_of_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """One document of each class: the rows of ``docs`` whose id is the class, each once; rows with a null id all stay."""
-    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    same = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    chosen = same.join(kept, same.doc_id == kept["_kept"]).dropDuplicates(["doc_id", "_digest"])
-    return chosen.select(*docs.columns).union(docs.where("doc_id is null"))
+    """One document of each class: the rows of ``docs`` whose id is the class, each once; rows with a null id all stay.
+
+    What goes and what is there more than once is told by ids alone; the texts meet only those ids.
+    """
+    told = stored(classes.where("doc_id is not null").groupBy("doc_id").agg(
+        F.max(F.col("class_id") == F.col("doc_id")).alias("first"), F.count("*").alias("rows")), "classes")
+    odd = stored(told.where("not first or rows > 1").select(F.col("doc_id").alias("_odd")), "classes")
+    again = stored(told.where("first and rows > 1").select(F.col("doc_id").alias("_again")), "classes")
+    once = docs.join(odd, docs.doc_id == odd["_odd"], "left_anti")
+    repeated = docs.join(again, docs.doc_id == again["_again"], "left_semi")
+    repeated = repeated.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return once.union(repeated.dropDuplicates(["doc_id", "_digest"]).drop("_digest"))
