@@ -30,7 +30,7 @@ from tabletop.llm.common import batches
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _NOT_SPACE = regex.compile(r"\S+")
 _PORTION = 1_000_000
-_CACHED = 400_000
+_CACHED = 150_000
 
 
 def byte_symbols() -> list[str]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tabletop.llm import bpe
 from tabletop.llm.common import batches
 
-_CACHED = 400_000
+_CACHED = 150_000
 # Added to a byte that closes a word: with its end mark, it is a symbol of its own.
 _CLOSED = 256
 
