@@ -134,7 +134,8 @@ def links(docs: DataFrame, families: DataFrame, width: int, threshold: float, bl
         "rep", "digest", "n", "family", "blocks", F.pmod(F.xxhash64("rep"), "blocks").alias("block"))
     members = stored(members, "families")
     texts = docs.select(F.col("doc_id").alias("rep"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "text")
-    held = members.join(texts, ["rep", "digest"])
+    # Nothing bounds the members, so they are never broadcast: one way at every size.
+    held = members.hint("merge").join(texts, ["rep", "digest"])
     held = held.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     groups = held.select(
         "rep", "n", "family", "block", "text",
