@@ -5,9 +5,10 @@ predicts a class of words; the word within its class has its share of the corpus
 about equal mass, others to one class for each bucket of their endings, in which all words met are equally likely.
 
 Counts of all words of the corpus are summed by Spark. Training runs in rounds: every task starts from the same weights,
-learns from an even part of the positions of every document in its rows (each ``stride``-th, another phase each round) by
-stochastic gradient steps in numpy, and the weights of all tasks are averaged by Spark, by the number of positions, in two
-levels of groups. So what is gathered from the corpus, counts and weights, grows with it, while the driver only holds the
+learns from the positions of every document in its rows (each ``stride``-th, another phase each round, so that after
+``stride`` rounds every position of the corpus was a target once) by stochastic gradient steps in numpy, and the weights of
+all tasks are averaged by Spark, by the number of positions, in two levels of groups. Small partitions are put together
+before, so that a task takes many steps from the weights it starts with. So what is gathered from the corpus, counts and weights, grows with it, while the driver only holds the
 frequent words and one set of weights, both of fixed size.
 
 Defined results: words are lower-cased and end at white space. Null and empty texts have no words, a log-probability of 0
@@ -39,6 +40,8 @@ _COUNTED_WORDS = 300_000
 _BLOCK = 8192
 _STEP = 128
 _FAN_IN = 32
+_TASK_WORDS = 500_000
+ROUNDS = 2
 
 
 def ending(word: str) -> int:
@@ -164,7 +167,7 @@ def _learn(layers: list[np.ndarray], context: np.ndarray, target: np.ndarray, pa
     np.subtract.at(embedding, context.ravel(), below.reshape(-1, EMBEDDING))
 
 
-def learn_round(docs: DataFrame, model: WindowModel, number: int, stride: int = 16, text: str = "text", pace: float = 1.0) -> WindowModel:
+def learn_round(docs: DataFrame, model: WindowModel, number: int, stride: int = ROUNDS, text: str = "text", pace: float = 1.0) -> WindowModel:
     """One round: all tasks learn from ``model``; their weights are averaged by the number of positions."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
@@ -177,7 +180,7 @@ def learn_round(docs: DataFrame, model: WindowModel, number: int, stride: int =
         for frame in batches(frames, text, 1_000_000):
             row, places, counts = _windows(frame.column(text).to_pylist(), ids, mark)
             inner = np.arange(len(places)) - np.repeat(np.cumsum(counts) - counts, counts)
-            places = places[inner % stride == (number * 7) % stride]
+            places = places[inner % stride == number % stride]
             places = np.random.default_rng(number).permutation(places)
             for start in range(0, len(places), _STEP):
                 some = places[start:start + _STEP]
@@ -208,11 +211,14 @@ def learn_round(docs: DataFrame, model: WindowModel, number: int, stride: int =
     return replace(model, weights=np.concatenate([np.array(row.summed) / row.seen for row in rows]).astype(np.float32))
 
 
-def train(docs: DataFrame, rounds: int = 2, stride: int = 16, text: str = "text") -> WindowModel:
-    """A model of the whole corpus."""
-    model = initial(stored(word_counts(docs, text), "words"))
+def train(docs: DataFrame, rounds: int = ROUNDS, stride: int | None = None, text: str = "text") -> WindowModel:
+    """A model of the whole corpus; by default every position is a target in one of the rounds."""
+    counts = stored(word_counts(docs, text), "words")
+    model = initial(counts)
+    words = counts.agg(F.sum("n")).first()[0] or 0
+    docs = docs.coalesce(max(1, words // _TASK_WORDS))
     for number in range(rounds):
-        model = learn_round(docs, model, number, stride, text)
+        model = learn_round(docs, model, number, stride or rounds, text)
     return model
 
 

@@ -56,3 +56,21 @@ def test_gradient():
         low = loss(layers)
         layer[at] = before
         assert np.isclose((before - after[at]) / 1e-6, (high - low) / 2e-5, atol=1e-5)
+
+
+def test_every_position_is_a_target_once(spark, monkeypatch):
+    """Also in texts of a few words and in many small partitions, with what the registered query trains by."""
+    texts = ["a b c", "d", "e f g h i j k l m n o p q r s t u v w x", "", None]
+    docs = spark.createDataFrame([(text,) for text in texts * 6], "text string").repartition(9)
+    words, seen = sum(len((text or "").split()) for text in texts) * 6, []
+    collect = type(docs).collect
+
+    def watched(df):
+        rows = collect(df)
+        if "seen" in df.columns:
+            seen.append(rows[0].seen)
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", watched)
+    L.train(docs)
+    assert sum(seen) == words and len(seen) == L.ROUNDS
