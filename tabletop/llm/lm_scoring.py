@@ -1,15 +1,17 @@
 """Scores of documents by masked pseudo-likelihood under a bidirectional window network.
 
-Every word is predicted from the words on both sides of it. The network (embeddings of the window, one hidden layer)
-predicts a class of words; the word within its class has its share of the corpus. Frequent words are dealt to classes of
-about equal mass, others to one class for each bucket of their endings, in which all words met are equally likely.
+Every word is predicted from the words on both sides of it, in two levels. The network (embeddings of the window, one
+hidden layer) predicts a class of words by a softmax and the word in its class by a binary tree, at each node of which the
+hidden layer says how likely each branch is. Frequent words are dealt to classes of about equal mass. All others stand in
+the tree as buckets of their endings; in its bucket each word has its exact share of the corpus, for which scores are joined
+with the counts of all words. A bucket counts one word more than it has, which is what words not met in training share.
 
 Counts of all words of the corpus are summed by Spark. Training runs in rounds: every task starts from the same weights,
 learns from the positions of every document in its rows (each ``stride``-th, another phase each round, so that after
 ``stride`` rounds every position of the corpus was a target once) by stochastic gradient steps in numpy, and the weights of
 all tasks are averaged by Spark, by the number of positions, in two levels of groups. Small partitions are put together
 before, so that a task takes many steps from the weights it starts with. So what is gathered from the corpus, counts and weights, grows with it, while the driver only holds the
-frequent words and one set of weights, both of fixed size.
+frequent words and one set of weights, both of fixed size; counts of the other words stay in files.
 
 Defined results: words are lower-cased and end at white space. Null and empty texts have no words, a log-probability of 0
 and a mean of 0. Texts are read whole. Repeated rows count and are scored each. No rows give no rows.
@@ -17,6 +19,7 @@ and a mean of 0. Texts are read whole. Repeated rows count and are scored each.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,13 +35,15 @@ from tabletop.llm.common import batches, stored
 
 VOCABULARY = 8192
 CLASSES = 64
-ENDINGS = 16
+ENDINGS = 1024
+ENDING_CLASSES = 16
 SIDE = 2
 EMBEDDING = 8
 HIDDEN = 32
 _COUNTED_WORDS = 300_000
 _BLOCK = 8192
 _STEP = 128
+_LARGEST_STEP = 512
 _FAN_IN = 32
 _TASK_WORDS = 500_000
 ROUNDS = 2
@@ -58,19 +63,28 @@ class _Ids(dict):
 
 @dataclass(frozen=True)
 class WindowModel:
-    """``ids`` of frequent words, ``word_class`` and ``log_share`` in its class by id, and the network's weights.
+    """``ids`` of frequent words, ``word_class`` by id, the trees of the classes, and the network's weights.
 
-    Ids: endings first, then frequent words, then the mark for what lies beyond the ends of a text.
+    Ids: endings first, then frequent words, then the mark for what lies beyond the ends of a text. The way to an id in the
+    tree of its class takes ``lengths`` steps from ``starts`` in ``nodes`` and ``signs`` (1 for the first branch). ``log_share``
+    is that of a word met once in the bucket of an ending, and 0 for frequent words. ``rest`` has the counts of all others.
     """
 
     ids: dict[str, int]
     word_class: np.ndarray
     log_share: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    nodes: np.ndarray
+    signs: np.ndarray
     weights: np.ndarray
+    rest: DataFrame | None = None
 
     def shapes(self) -> list[tuple[int, ...]]:
         outputs = int(self.word_class.max()) + 1
-        return [(len(self.word_class) + 1, EMBEDDING), (2 * SIDE * EMBEDDING, HIDDEN), (HIDDEN,), (HIDDEN, outputs), (outputs,)]
+        branches = int(self.nodes.max()) + 1
+        return [(len(self.word_class) + 1, EMBEDDING), (2 * SIDE * EMBEDDING, HIDDEN), (HIDDEN,), (HIDDEN, outputs), (outputs,),
+                (branches, HIDDEN), (branches,)]
 
     def layers(self, weights: np.ndarray) -> list[np.ndarray]:
         """Views of one flat array."""
@@ -81,6 +95,12 @@ class WindowModel:
             start += size
         return found
 
+    def ways(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Steps through the trees to all of ``ids``: place in ``ids``, node and sign."""
+        lengths = self.lengths[ids]
+        step = np.arange(lengths.sum()) + np.repeat(self.starts[ids] - (np.cumsum(lengths) - lengths), lengths)
+        return np.repeat(np.arange(len(ids)), lengths), self.nodes[step], self.signs[step]
+
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word``, its ``ending`` and count ``n`` over all documents; every task sums up before the shuffle."""
@@ -104,25 +124,51 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return counted.groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
+def _trees(word_class: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A Huffman tree for each class: starts, lengths, nodes and signs of the ways to all ids, and the log-odds of nodes."""
+    ways: list[list[tuple[int, int]]] = [[] for _ in n]
+    odds: list[float] = []
+    for group in range(int(word_class.max()) + 1):
+        heap = [(float(n[i]), int(i), [int(i)]) for i in np.flatnonzero(word_class == group)]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (low, _, right), (high, first, left) = heapq.heappop(heap), heapq.heappop(heap)
+            for members, sign in ((left, 1), (right, -1)):
+                for i in members:
+                    ways[i].append((len(odds), sign))
+            odds.append(float(np.log(high / low)))
+            heapq.heappush(heap, (low + high, first, left + right))
+    lengths = np.array([len(way) for way in ways], np.int64)
+    steps = np.array([step for way in ways for step in way], np.int32)
+    return np.cumsum(lengths) - lengths, lengths, steps[:, 0], steps[:, 1].astype(np.float32), np.array(odds)
+
+
 def initial(counts: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES, seed: int = 5) -> WindowModel:
-    """Words, classes and shares from the counts of the corpus, and untrained weights."""
+    """Words, classes, trees and shares from the counts of the corpus, and untrained weights, by which words have their shares."""
     frequent = counts.orderBy(F.col("n").desc(), "word").limit(vocabulary).collect()
-    sizes = {row.ending: (row.words, row.n) for row in counts.groupBy("ending").agg(
-        F.count("*").alias("words"), F.sum("n").alias("n")).collect()}
-    n = np.array([row.n for row in frequent], np.float64)
-    distinct = np.array([sizes.get(e, (0, 0))[0] for e in range(ENDINGS)], np.float64)
+    held = np.ones(ENDINGS)
+    for row in counts.groupBy("ending").agg(F.sum("n").alias("n")).collect():
+        held[row.ending] += row.n
     for row in frequent:
-        distinct[row.ending] -= 1
+        held[row.ending] -= row.n
+    n = np.array([row.n for row in frequent], np.float64)
     place = np.minimum((np.cumsum(n) - n / 2) / max(n.sum(), 1) * classes, classes - 1).astype(np.int64)
-    mass = np.bincount(place, n, classes)
-    share = np.concatenate([-np.log(np.maximum(distinct, 1)), np.log(n / mass[place]) if len(n) else n])
-    word_class = np.concatenate([np.arange(ENDINGS), ENDINGS + place])
-    model = WindowModel({row.word: ENDINGS + i for i, row in enumerate(frequent)}, word_class, share, np.zeros(0))
+    word_class = np.concatenate([np.arange(ENDINGS) % ENDING_CLASSES, ENDING_CLASSES + place])
+    mass = np.concatenate([held, n])
+    *trees, odds = _trees(word_class, mass)
+    rest = counts.where(F.lit(False))
+    if frequent:
+        last = frequent[-1]
+        rest = counts.where((F.col("n") < last.n) | ((F.col("n") == last.n) & (F.col("word") > last.word)))
+    share = np.concatenate([-np.log(held), np.zeros(len(n))])
+    model = WindowModel({row.word: ENDINGS + i for i, row in enumerate(frequent)}, word_class, share, *trees, np.zeros(0), rest)
     random = np.random.default_rng(seed)
+    *shapes, branches, _ = model.shapes()
     layers = [
         random.normal(0, 1 / np.sqrt(shape[0]) if i else 0.3, shape) if len(shape) > 1 else np.zeros(shape)
-        for i, shape in enumerate(model.shapes())
+        for i, shape in enumerate(shapes)
     ]
+    layers += [np.zeros(branches), odds]
     return replace(model, weights=np.concatenate([layer.ravel() for layer in layers]).astype(np.float32))
 
 
@@ -143,7 +189,7 @@ def _context(row: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 def _forward(layers: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Input, hidden layer and log-probabilities of the classes."""
-    embedding, inner, inner_shift, outer, outer_shift = layers
+    embedding, inner, inner_shift, outer, outer_shift = layers[:5]
     given = embedding[context].reshape(len(context), -1)
     hidden = np.maximum(given @ inner + inner_shift, 0)
     logits = hidden @ outer + outer_shift
@@ -151,26 +197,49 @@ def _forward(layers: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray,
     return given, hidden, logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
-def _learn(layers: list[np.ndarray], context: np.ndarray, target: np.ndarray, pace: float) -> None:
-    """One gradient step in place."""
-    embedding, inner, inner_shift, outer, outer_shift = layers
+def _lean(layers: list[np.ndarray], hidden: np.ndarray, ways: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log-odds of the branch that is taken at each step."""
+    place, node, sign = ways
+    return sign * (np.einsum("ij,ij->i", layers[5][node], hidden[place]) + layers[6][node])
+
+
+def _subtract(array: np.ndarray, index: np.ndarray, values: np.ndarray) -> None:
+    """``np.subtract.at`` over rows, faster."""
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        index = index[order]
+        first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+        array[index[first]] -= np.add.reduceat(values[order], first, axis=0)
+
+
+def _learn(layers: list[np.ndarray], context: np.ndarray, target: np.ndarray, pace: float,
+           ways: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
+    """One gradient step in place, on the classes ``target`` and the ``ways`` in them."""
+    embedding, inner, inner_shift, outer, outer_shift = layers[:5]
     given, hidden, log_prob = _forward(layers, context)
     slope = np.exp(log_prob)
     slope[np.arange(len(target)), target] -= 1
     slope *= pace / len(target)
-    back = slope @ outer.T * (hidden > 0)
+    back = slope @ outer.T
+    if ways is not None:
+        place, node, sign = ways
+        pull = -sign / (1 + np.exp(np.clip(_lean(layers, hidden, ways), -60, 60))) * hidden.dtype.type(pace / len(target))
+        _subtract(back, place, -pull[:, None] * layers[5][node])
+        _subtract(layers[5], node, pull[:, None] * hidden[place])
+        _subtract(layers[6], node, pull)
+    back *= hidden > 0
     below = back @ inner.T
     outer -= hidden.T @ slope
     outer_shift -= slope.sum(axis=0)
     inner -= given.T @ back
     inner_shift -= back.sum(axis=0)
-    np.subtract.at(embedding, context.ravel(), below.reshape(-1, EMBEDDING))
+    _subtract(embedding, context.ravel(), below.reshape(-1, EMBEDDING))
 
 
 def learn_round(docs: DataFrame, model: WindowModel, number: int, stride: int = ROUNDS, text: str = "text", pace: float = 1.0) -> WindowModel:
     """One round: all tasks learn from ``model``; their weights are averaged by the number of positions."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(replace(model, rest=None))
 
     def learn(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -182,39 +251,44 @@ def learn_round(docs: DataFrame, model: WindowModel, number: int, stride: int =
             inner = np.arange(len(places)) - np.repeat(np.cumsum(counts) - counts, counts)
             places = places[inner % stride == number % stride]
             places = np.random.default_rng(number).permutation(places)
-            for start in range(0, len(places), _STEP):
-                some = places[start:start + _STEP]
-                _learn(layers, _context(row, some), model.word_class[row[some]], pace / np.sqrt(1 + step / 200))
+            start = 0
+            while start < len(places):
+                some = places[start:start + min(_LARGEST_STEP, _STEP * (1 + step // 100))]
+                word = row[some]
+                _learn(layers, _context(row, some), model.word_class[word], pace / np.sqrt(1 + step / 200), model.ways(word))
                 step += 1
+                start += len(some)
             seen += len(places)
         if seen:
             blocks = range(0, len(flat), _BLOCK)
-            values = [(flat[start:start + _BLOCK].astype(np.float64) * seen).tolist() for start in blocks]
+            values = [flat[start:start + _BLOCK] for start in blocks]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(len(values)), pa.int32()), pa.array([TaskContext.get().partitionId() % _FAN_IN] * len(values), pa.int32()),
-                 pa.array([seen] * len(values), pa.int64()), pa.array(values, pa.list_(pa.float64()))], ["block", "part", "seen", "summed"])
+                 pa.array([seen] * len(values), pa.int64()), pa.array(values, pa.list_(pa.float32()))], ["block", "part", "seen", "mean"])
 
     def add(table: pa.Table) -> pa.Table:
-        width = len(table.column("summed")[0])
-        rows = table.column("summed").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        width = len(table.column("mean")[0])
+        rows = table.column("mean").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        seen = table.column("seen").to_numpy()
+        mean = (seen / seen.sum()) @ rows.astype(np.float64)
         return pa.table({
             "block": table.column("block").slice(0, 1), "part": table.column("part").slice(0, 1),
-            "seen": pa.array([int(table.column("seen").to_numpy().sum())], pa.int64()),
-            "summed": pa.array([rows.sum(axis=0).tolist()], pa.list_(pa.float64()))})
+            "seen": pa.array([int(seen.sum())], pa.int64()), "mean": pa.array([mean.astype(np.float32)], pa.list_(pa.float32()))})
 
-    schema = "block int, part int, seen bigint, summed array<double>"
+    schema = "block int, part int, seen bigint, mean array<float>"
     learned = docs.select(text).mapInArrow(learn, schema)
     once = learned.groupBy("block", "part").applyInArrow(add, schema)
     rows = once.groupBy("block").applyInArrow(add, schema).orderBy("block").collect()
     if not rows:
         return model
-    return replace(model, weights=np.concatenate([np.array(row.summed) / row.seen for row in rows]).astype(np.float32))
+    return replace(model, weights=np.concatenate([np.array(row.mean, np.float32) for row in rows]))
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, stride: int | None = None, text: str = "text") -> WindowModel:
+def train(docs: DataFrame, rounds: int = ROUNDS, stride: int | None = None, text: str = "text",
+          vocabulary: int = VOCABULARY) -> WindowModel:
     """A model of the whole corpus; by default every position is a target in one of the rounds."""
     counts = stored(word_counts(docs, text), "words")
-    model = initial(counts)
+    model = initial(counts, vocabulary)
     words = counts.agg(F.sum("n")).first()[0] or 0
     docs = docs.coalesce(max(1, words // _TASK_WORDS))
     for number in range(rounds):
@@ -223,28 +297,48 @@ def train(docs: DataFrame, rounds: int = ROUNDS, stride: int | None = None, text
 
 
 def score_texts(texts: list[str | None], model: WindowModel) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words and summed conditional log-probability of each text."""
+    """Number of words and summed conditional log-probability of each text, with words that are not frequent taken as met once."""
     row, places, counts = _windows(texts, _Ids(model.ids), len(model.word_class))
     layers, found = model.layers(model.weights), np.zeros(len(places))
     for start in range(0, len(places), 8192):
         some = places[start:start + 8192]
-        _, _, log_prob = _forward(layers, _context(row, some))
+        _, hidden, log_prob = _forward(layers, _context(row, some))
         word = row[some]
-        found[start:start + 8192] = log_prob[np.arange(len(some)), model.word_class[word]] + model.log_share[word]
+        ways = model.ways(word)
+        inside = np.bincount(ways[0], np.logaddexp(0, -_lean(layers, hidden, ways)), len(some))
+        found[start:start + 8192] = log_prob[np.arange(len(some)), model.word_class[word]] - inside + model.log_share[word]
     owner = np.repeat(np.arange(len(texts)), counts)
     return counts, np.bincount(owner, found, len(texts)) if len(found) else np.zeros(len(texts))
 
 
-def score(docs: DataFrame, model: WindowModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_words``, ``log_prob`` and ``mean_log_prob``; every other column passes."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def _rest(texts: list[str | None], ids: dict[str, int]) -> pa.Array:
+    """Words of each text that are not frequent, with how often they occur."""
+    each = [Counter([word for word in (text or "").lower().split() if word not in ids]) for text in texts]
+    words = pa.array([word for counts in each for word in counts], pa.string())
+    times = pa.array([n for counts in each for n in counts.values()], pa.int64())
+    ends = np.cumsum([0, *map(len, each)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, times], ["word", "times"]))
+
+
+def score(docs: DataFrame, model: WindowModel, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``n_words``, ``log_prob`` and ``mean_log_prob``; every other column passes, ``text`` only if asked for."""
+    held = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
     docs = docs.drop("n_words", "log_prob", "mean_log_prob")
-    schema = docs.select("*", F.lit(0).cast("bigint").alias("n_words"), F.lit(0.0).alias("log_prob"), F.lit(0.0).alias("mean_log_prob")).schema
+    names = [name for name in docs.columns if keep_text or name != text]
+    schema = docs.select(*names, F.lit(0).cast("bigint").alias("n_words"), F.lit(0.0).alias("log_prob"), F.expr(
+        "cast(array() as array<struct<word string, times bigint>>)").alias("_rest")).schema
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames, text, 1_000_000):
-            counts, sums = score_texts(frame.column(text).to_pylist(), held.value)
-            more = [pa.array(counts, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(counts, 1))]
-            yield pa.RecordBatch.from_arrays([*frame.columns, *more], schema.names)
-
-    return docs.mapInArrow(run, schema)
+            texts = frame.column(text).to_pylist()
+            counts, sums = score_texts(texts, held.value)
+            more = [pa.array(counts, pa.int64()), pa.array(sums), _rest(texts, held.value.ids)]
+            yield pa.RecordBatch.from_arrays([*[frame.column(name) for name in names], *more], schema.names)
+
+    # Rows are numbered once, in files: the words that are not frequent meet their counts apart from the other columns.
+    scored = stored(docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scores")
+    words = scored.select("_row", F.inline("_rest")).join(model.rest.select("word", "n"), "word")
+    known = words.groupBy("_row").agg(F.sum(F.col("times") * F.log("n")).alias("_known"))
+    total = F.col("log_prob") + F.coalesce("_known", F.lit(0.0))
+    return scored.join(known, "_row", "left").select(
+        *names, "n_words", total.alias("log_prob"), (total / F.greatest("n_words", F.lit(1))).alias("mean_log_prob"))

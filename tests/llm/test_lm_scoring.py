@@ -74,3 +74,60 @@ def test_every_position_is_a_target_once(spark, monkeypatch):
     monkeypatch.setattr(type(docs), "collect", watched)
     L.train(docs)
     assert sum(seen) == words and len(seen) == L.ROUNDS
+
+
+def test_words_that_are_not_frequent_have_their_shares(spark):
+    """Of two such words of one ending the commoner scores higher by the ratio of counts; all words and one not met sum up to 1."""
+    words = {"the": 50, "xqing": 12, "yqing": 3, "zqing": 1, "of": 40, "a": 30}
+    docs = spark.createDataFrame([(" ".join([word] * n),) for word, n in words.items()], "text string")
+    model = L.initial(L.word_counts(docs), vocabulary=3)
+    assert set(model.ids) == {"the", "of", "a"}
+    every = [*words, "neverqing"]
+    rows = {row.text: row.log_prob for row in L.score(spark.createDataFrame([(word,) for word in every], "text string"), model).collect()}
+    assert np.isclose(rows["xqing"] - rows["zqing"], np.log(12)) and np.isclose(rows["yqing"] - rows["zqing"], np.log(3))
+    assert np.isclose(rows["neverqing"], rows["zqing"])
+    layers = model.layers(model.weights)
+    mark = len(model.word_class)
+    _, hidden, log_prob = L._forward(layers, np.full((1, 2 * L.SIDE), mark))
+    ids = np.arange(mark)
+    ways = model.ways(ids)
+    lean = L._lean(layers, np.repeat(hidden, mark, 0), ways)
+    each = log_prob[0, model.word_class] - np.bincount(ways[0], np.logaddexp(0, -lean), mark)
+    assert np.isclose(np.exp(each).sum(), np.exp(log_prob[0, np.unique(model.word_class)]).sum(), atol=1e-4)
+    assert np.isclose(sum(np.exp(rows[word]) for word in every if word.endswith("qing")), np.exp(each[L.ending("xqing")]), rtol=1e-4)
+
+
+def test_word_in_its_class_follows_from_the_context(spark):
+    """One class holds all frequent words, so only the way inside it can tell them apart."""
+    text = " ".join(["red", "fox", "sees", "old", "house", "near", "green", "hill"] * 200)
+    docs = spark.createDataFrame([(i, text) for i in range(24)], "doc_id bigint, text string").repartition(4)
+    plain = model = L.initial(L.word_counts(docs), classes=1)
+    for number in range(2):
+        model = L.learn_round(docs, model, number, 1)
+    (_, before), (_, after) = L.score_texts([text], plain), L.score_texts([text], model)
+    assert after[0] > before[0] / 2
+
+
+def test_gradient_of_ways():
+    random = np.random.default_rng(1)
+    shapes = [(12, L.EMBEDDING), (2 * L.SIDE * L.EMBEDDING, L.HIDDEN), (L.HIDDEN,), (L.HIDDEN, 7), (7,), (9, L.HIDDEN), (9,)]
+    layers = [random.normal(0, 0.3, shape) for shape in shapes]
+    context, target = random.integers(0, 12, (30, 2 * L.SIDE)), random.integers(0, 7, 30)
+    ways = (np.sort(random.integers(0, 30, 80)), random.integers(0, 9, 80), random.choice([-1.0, 1.0], 80))
+
+    def loss(given):
+        _, hidden, log_prob = L._forward(given, context)
+        return (np.logaddexp(0, -L._lean(given, hidden, ways)).sum() - log_prob[np.arange(30), target].sum()) / 30
+
+    moved = [layer.copy() for layer in layers]
+    L._learn(moved, context, target, 1e-6, ways)
+    for layer, after in zip(layers, moved):
+        for _ in range(5):
+            at = tuple(random.integers(0, n) for n in layer.shape)
+            before = layer[at]
+            layer[at] = before + 1e-5
+            high = loss(layers)
+            layer[at] = before - 1e-5
+            low = loss(layers)
+            layer[at] = before
+            assert np.isclose((before - after[at]) / 1e-6, (high - low) / 2e-5, atol=1e-5)
