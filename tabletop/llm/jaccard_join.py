@@ -123,7 +123,7 @@ def _root(parents: list[int], node: int) -> int:
 def links(docs: DataFrame, families: DataFrame, width: int, threshold: float, block_shingles: int) -> DataFrame:
     """``rep``, ``root`` and ``links``, a row for each text that has links in a group.
 
-    ``families`` has ``rep``, ``digest``, ``n`` copies, ``shingles`` and ``family``.
+    ``families`` has ``rep``, the ``first`` id and ``digest`` of its text, ``n`` copies, ``shingles`` and ``family``.
     """
     weights = families.groupBy("family").agg(F.sum("shingles").alias("weight"))
     weights = stored(weights.select(
@@ -131,11 +131,11 @@ def links(docs: DataFrame, families: DataFrame, width: int, threshold: float, bl
     total = weights.where("blocks = 1").agg(F.sum("weight")).first()[0] or 0
     bundles = max(1, -(-total // block_shingles))
     members = families.join(weights, "family").select(
-        "rep", "digest", "n", "family", "blocks", F.pmod(F.xxhash64("rep"), "blocks").alias("block"))
+        "rep", "first", "digest", "n", "family", "blocks", F.pmod(F.xxhash64("rep"), "blocks").alias("block"))
     members = stored(members, "families")
-    texts = docs.select(F.col("doc_id").alias("rep"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "text")
+    texts = docs.select(F.col("doc_id").alias("first"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "text")
     # Nothing bounds the members, so they are never broadcast: one way at every size.
-    held = members.hint("merge").join(texts, ["rep", "digest"])
+    held = members.hint("merge").join(texts, ["first", "digest"])
     held = held.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     groups = held.select(
         "rep", "n", "family", "block", "text",
@@ -188,9 +188,10 @@ def near_duplicates(
     prefix = prefix_length(threshold, trees, depth, recall)
     rows = stored(signed(docs, width, trees, prefix), "signed")
     worded = rows.where("shingles > 0 and doc_id is not null")
+    # Different texts may have one id, so a text is known by a number of its own, given once in files.
     unique = stored(worded.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("shingles").alias("shingles"),
-        F.max("nodes").alias("nodes")), "unique")
+        F.min("doc_id").alias("first"), F.count("*").alias("n"), F.max("shingles").alias("shingles"),
+        F.max("nodes").alias("nodes")).withColumn("rep", F.monotonically_increasing_id()), "unique")
     listed = unique.select("rep", F.explode("nodes").alias("node"))
     met = stored(listed.groupBy("node").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "nodes")
     edges = listed.join(met, "node").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
@@ -200,10 +201,14 @@ def near_duplicates(
     members = unique.drop("nodes").join(families, "rep")
     found = stored(links(docs, members, width, threshold, block_shingles), "links")
     groups = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "classes")
+    groups = groups.union(groups.select(F.col("component").alias("node"), "component").distinct())
+    groups = stored(groups.withColumnRenamed("node", "rep").join(unique.select("rep", "first"), "rep"), "classes")
+    lowest = stored(groups.groupBy("component").agg(F.min("first").alias("class_id")), "classes")
+    groups = stored(groups.join(lowest, "component").select("rep", "class_id"), "classes")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    facts = unique.drop("nodes").join(counted, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    facts = unique.drop("nodes").join(counted, "rep", "left").join(groups, "rep", "left")
     facts = stored(facts.select(
-        F.col("digest").alias("same"), F.coalesce("component", "rep").alias("class_id"),
+        F.col("digest").alias("same"), F.coalesce("class_id", "first").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "facts")
     able = (F.col("shingles") > 0) & F.col("doc_id").isNotNull()
     joined = rows.select("doc_id", "digest", "shingles").join(facts, able & (F.col("digest") == F.col("same")), "left")

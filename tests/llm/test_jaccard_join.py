@@ -55,6 +55,14 @@ def test_against_brute_force(spark, block_shingles):
     assert found(spark, docs, block_shingles=block_shingles) == brute(docs)
 
 
+@pytest.mark.parametrize("block_shingles", [60, 300_000])
+def test_different_texts_of_one_id(spark, block_shingles):
+    """Each text keeps its links; ids say only what the class is called."""
+    docs = [(i // 3, text) for i, (_, text) in enumerate(corpus())]
+    assert len(set(docs)) > len({i for i, _ in docs})
+    assert found(spark, docs, block_shingles=block_shingles) == brute(docs)
+
+
 def test_odd_rows(spark):
     docs = odd.documents(spark)
     rows = J.near_duplicates(docs)
