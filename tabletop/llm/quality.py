@@ -4,8 +4,8 @@ The statistics of a whole text are taken by Arrow batches. On a sample of labell
 grown; every path from a root to a node is a rule, a conjunction of conditions on statistics. A logistic regression with
 an L1 penalty keeps few of them, and those are compiled into one Spark column expression, which scores all rows.
 
-Only the fit sees a sample: at most ``max_rows`` labelled rows, those with the smallest hash of their statistics, which
-is even over the rows and the same in every run. Statistics and scores cover all rows and all of every text.
+Only the fit sees a sample: at most ``max_rows`` different pairs of statistics and label, those with the smallest hash of
+the statistics, each weighted by its number of rows. The sample is even over different statistics and the same in every run. Statistics and scores cover all rows and all of every text.
 
 Defined results: a null text has the statistics of the empty text. Without labelled rows every score is 0.5; with one
 label only, every score is that label's rate. Null labels, and labels other than 0 and 1, teach nothing.
@@ -138,7 +138,7 @@ class RuleEnsemble:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def _grow(binned: np.ndarray, cuts: list[np.ndarray], slope: np.ndarray, curve: np.ndarray, depth: int) -> tuple:
+def _grow(binned: np.ndarray, cuts: list[np.ndarray], slope: np.ndarray, curve: np.ndarray, depth: int, copies: np.ndarray) -> tuple:
     """One tree on gradients: the rule of every node but the root, and the step of every row."""
     rules: list[Rule] = []
     step = np.zeros(len(binned))
@@ -149,7 +149,7 @@ def _grow(binned: np.ndarray, cuts: list[np.ndarray], slope: np.ndarray, curve:
             rules.append(Rule(tuple(named)))
         total, weight = slope[rows].sum(), curve[rows].sum()
         best = (1e-3, -1, 0)
-        if level < depth and len(rows) >= 20:
+        if level < depth and copies[rows].sum() >= 20:
             for feature, edges in enumerate(cuts):
                 if not len(edges):
                     continue
@@ -175,11 +175,19 @@ def _grow(binned: np.ndarray, cuts: list[np.ndarray], slope: np.ndarray, curve:
     return rules, step
 
 
-def fit_rules(rows: np.ndarray, labels: np.ndarray, trees: int = 30, depth: int = 3, penalty: float = 0.002) -> RuleEnsemble:
-    """Rules from boosted trees, weighted by a logistic regression with an L1 penalty on rules of equal spread."""
+def fit_rules(rows: np.ndarray, labels: np.ndarray, trees: int = 30, depth: int = 3, penalty: float = 0.002,
+              copies: np.ndarray | None = None) -> RuleEnsemble:
+    """Rules from boosted trees, weighted by a logistic regression with an L1 penalty on rules of equal spread.
+
+    A row with a number of ``copies`` counts like so many rows.
+    """
     if not len(labels):
         return RuleEnsemble(0.0, (), ())
-    rate = labels.mean()
+    copies = np.ones(len(labels)) if copies is None else copies
+    share = copies / copies.sum()
+    rate = float(share @ labels)
+    if len(np.unique(labels)) == 1:
+        rate = float(labels[0])
     if rate in (0.0, 1.0):
         return RuleEnsemble(float(np.log((rate + 1e-9) / (1 - rate + 1e-9))), (), ())
     cuts = []
@@ -191,25 +199,26 @@ def fit_rules(rows: np.ndarray, labels: np.ndarray, trees: int = 30, depth: int
     odds, found = np.full(len(labels), np.log(rate / (1 - rate))), {}
     for _ in range(trees):
         chance = 1 / (1 + np.exp(-odds))
-        rules, step = _grow(binned, cuts, labels - chance, chance * (1 - chance), depth)
+        rules, step = _grow(binned, cuts, copies * (labels - chance), copies * chance * (1 - chance), depth, copies)
         odds = odds + 0.3 * step
         found.update(dict.fromkeys(rules))
     rules = list(found)
     if not rules:
         return RuleEnsemble(float(np.log(rate / (1 - rate))), (), ())
     table = np.stack([rule.holds(rows) for rule in rules], axis=1).astype(np.float64)
-    mean, spread = table.mean(axis=0), np.maximum(table.std(axis=0), 1e-3)
+    mean = share @ table
+    spread = np.maximum(np.sqrt(share @ (table - mean)**2), 1e-3)
     table = (table - mean) / spread
     # Accelerated proximal gradient; the step is set by the largest eigenvalue of the curvature.
-    stride = 4 * len(labels) / max(float(np.linalg.eigvalsh(table.T @ table)[-1]), 1e-9)
+    stride = 4 / max(float(np.linalg.eigvalsh(table.T @ (share[:, None] * table))[-1]), 1e-9)
     weights = ahead = np.zeros(len(rules))
     start = ahead_start = float(np.log(rate / (1 - rate)))
     pace = 1.0
     for _ in range(400):
-        error = 1 / (1 + np.exp(-(table @ ahead + ahead_start))) - labels
-        moved = ahead - stride * (table.T @ error) / len(labels)
+        error = share * (1 / (1 + np.exp(-(table @ ahead + ahead_start))) - labels)
+        moved = ahead - stride * (table.T @ error)
         moved = np.sign(moved) * np.maximum(np.abs(moved) - stride * penalty, 0)
-        moved_start = ahead_start - 4 * error.mean() / 2
+        moved_start = ahead_start - 4 * error.sum() / 2
         next_pace = (1 + np.sqrt(1 + 4 * pace**2)) / 2
         ahead = moved + (pace - 1) / next_pace * (moved - weights)
         ahead_start = moved_start + (pace - 1) / next_pace * (moved_start - start)
@@ -221,12 +230,13 @@ def fit_rules(rows: np.ndarray, labels: np.ndarray, trees: int = 30, depth: int
 
 
 def train(labelled: DataFrame, label: str = "label", statistics: str = "statistics", max_rows: int = 20_000) -> RuleEnsemble:
-    """Fit on at most ``max_rows`` rows of ``labelled`` (struct ``statistics``, integer ``label``)."""
+    """Fit on at most ``max_rows`` different rows of ``labelled`` (struct ``statistics``, integer ``label``) and their numbers."""
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).alias("label"), F.col(statistics).alias("s"))
     names = [F.col("s")[name].alias(name) for name in STATISTICS]
-    taken = rows.select("label", *names).orderBy(F.xxhash64(*[F.col("s")[name] for name in STATISTICS])).limit(max_rows)
+    counted = rows.select("label", *names).groupBy("label", *STATISTICS).agg(F.count("*").alias("copies"))
+    taken = counted.orderBy(F.xxhash64(*STATISTICS), "label", *STATISTICS).limit(max_rows)
     taken = taken.toArrow()
     table = np.stack([taken.column(name).to_numpy() for name in STATISTICS], axis=1).reshape(-1, len(STATISTICS))
     labels = taken.column("label").to_numpy().astype(np.float64)
     order = np.lexsort((labels, *table.T))
-    return fit_rules(table[order], labels[order])
+    return fit_rules(table[order], labels[order], copies=taken.column("copies").to_numpy().astype(np.float64)[order])

@@ -43,3 +43,20 @@ def test_held_out(spark, small):
     known = rows.join(labels, "doc_id").where("held_out").collect()
     assert known and sum(row.predicted == row.quality for row in known) >= 0.85 * len(known)
     assert all(row.predicted == (row.score >= 0.5) for row in known)
+
+
+def test_copies_take_one_place_and_count_by_number(spark, monkeypatch):
+    random = np.random.default_rng(4)
+    rows = random.random((60, len(Q.STATISTICS)))
+    labels = (rows[:, 3] > 0.5).astype(float)
+    copies = random.integers(1, 9, 60)
+    whole = Q.fit_rules(np.repeat(rows, copies, 0), np.repeat(labels, copies))
+    short = Q.fit_rules(rows, labels, copies=copies.astype(float))
+    assert short.rules == whole.rules and np.allclose(short.weights, whole.weights) and np.isclose(short.intercept, whole.intercept)
+    seen = []
+    monkeypatch.setattr(Q, "fit_rules", lambda *given, **more: seen.append((given, more)))
+    table = [(i % 2, *map(float, row)) for i, row in enumerate(rows[:12]) for _ in range(40)]
+    df = spark.createDataFrame(table, ["label", *Q.STATISTICS]).select("label", F.struct(*Q.STATISTICS).alias("statistics"))
+    Q.train(df, max_rows=12)
+    (given, more), = seen
+    assert len(np.unique(given[0], axis=0)) == 12 and set(more["copies"]) == {40.0}
