@@ -15,6 +15,7 @@ from tabletop.llm import (
     lm_scoring,
     mixing,
     quality,
+    repeats,
     token_counts,
     warc,
 )
@@ -111,6 +112,29 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, VOCABULARY).select("doc_id", "n_words", "n_tokens")
 
 
+def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of words of every document, one in ten of which is made periodic before; a null id leaves its text as it is."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    words = F.filter(F.split("text", r"[ \t-\r]+"), lambda word: word != "")
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    docs = docs.withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    docs = docs.withColumn("a", F.expr("if(n > 0, g % n, 0)"))
+    docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    periodic = F.expr(
+        "concat(slice(words, 1, int(a)), slice(flatten(array_repeat(slice(words, int(a) + 1, int(p)), int(ceil((n - a) / p)))), 1, int(n - a)))")
+    edited = F.when(F.col("n") > 0, F.array_join(periodic, " ")).otherwise(F.col("text"))
+    found = repeats.collapse(docs.select("doc_id", edited.alias("text")), keep_text=False)
+    run = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    listed = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    found = found.select("doc_id", "runs", "collapsed", run.alias("run"), F.array_join(listed, "").alias("listed"))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("run.col2")).alias("start"),
+        F.col("run.length").alias("length"), (-F.col("run.col3")).alias("period"),
+        F.expr("1000 * run.length div -run.col3").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -122,6 +146,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_fingerprints": op9_fingerprints,
     "op10_token_counts": op10_token_counts,
+    "op12_runs": op12_runs,
 }
 # SQL for those whose rows it can tell, by comparing all pairs; the others are tested against plain code.
 CHECKS: dict[str, str] = {
@@ -167,4 +192,41 @@ CHECKS: dict[str, str] = {
           SELECT doc_id, doc_id FROM documents UNION SELECT r.node, l.y FROM reach r JOIN links l ON l.x = r.other)
         SELECT d.doc_id, c.class_id, (SELECT COUNT(*) FROM links l WHERE l.x = d.doc_id) AS n_links
         FROM documents d JOIN (SELECT node, MIN(other) AS class_id FROM reach GROUP BY node) c ON c.node = d.doc_id""",
+    "op12_runs": r"""
+        WITH raw AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(COALESCE(text, ''), '[\x09-\x0D ]+'), lambda x: x <> '') AS w,
+                 CAST(doc_id AS VARCHAR) AS s FROM documents),
+        -- crc32 of the decimal id: byte by byte, bit by bit.
+        hashed AS (
+          SELECT *, len(w) AS n, xor(list_reduce(
+            list_prepend(4294967295, list_transform(range(1, len(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))),
+            lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))),
+            4294967295) AS h FROM raw),
+        shaped AS (
+          SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM hashed),
+        cut AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM shaped),
+        edited AS (
+          SELECT doc_id, n, CASE WHEN a IS NULL THEN w
+            ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM cut),
+        words AS (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM edited),
+        equal AS (
+          SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word
+          WHERE y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal),
+        stretches AS (
+          SELECT doc_id, q, MIN(i) AS start, COUNT(*) + q AS length FROM islands GROUP BY doc_id, q, island),
+        runs AS (
+          SELECT doc_id, start, length, MIN(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY ALL),
+        best AS (
+          SELECT doc_id, COUNT(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS listed,
+                 first({'start': start, 'length': length, 'period': period} ORDER BY length DESC, start, period) AS run
+          FROM runs GROUP BY doc_id),
+        kept AS (
+          SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words
+          WHERE NOT EXISTS (
+            SELECT 1 FROM runs WHERE runs.doc_id = words.doc_id AND i >= start + period AND i < start + length) GROUP BY doc_id)
+        SELECT e.doc_id, COALESCE(n_runs, 0) AS n_runs, run.start AS start, run.length AS length, run.period AS period,
+               1000 * run.length // run.period AS exponent_milli, sha256(COALESCE(listed, '')) AS runs_sha256,
+               sha256(COALESCE(k.text, '')) AS collapsed_sha256
+        FROM edited e LEFT JOIN best b ON b.doc_id = e.doc_id LEFT JOIN kept k ON k.doc_id = e.doc_id""",
 }
