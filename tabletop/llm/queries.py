@@ -14,6 +14,7 @@ from tabletop.llm import (
     language_id,
     lm_scoring,
     mixing,
+    phrase_index,
     quality,
     repeats,
     token_counts,
@@ -112,6 +113,16 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, VOCABULARY).select("doc_id", "n_words", "n_tokens")
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that stand in windows of test items, and the items whose windows occur."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = phrase_index.contamination(docs, table(spark, folder, "benchmark").select("item_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("bigint").alias("n_near_items"))
+
+
 def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of words of every document, one in ten of which is made periodic before; a null id leaves its text as it is."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -146,6 +157,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_fingerprints": op9_fingerprints,
     "op10_token_counts": op10_token_counts,
+    "op11_decontamination": op11_decontamination,
     "op12_runs": op12_runs,
 }
 # SQL for those whose rows it can tell, by comparing all pairs; the others are tested against plain code.
@@ -192,6 +204,43 @@ CHECKS: dict[str, str] = {
           SELECT doc_id, doc_id FROM documents UNION SELECT r.node, l.y FROM reach r JOIN links l ON l.x = r.other)
         SELECT d.doc_id, c.class_id, (SELECT COUNT(*) FROM links l WHERE l.x = d.doc_id) AS n_links
         FROM documents d JOIN (SELECT node, MIN(other) AS class_id FROM reach GROUP BY node) c ON c.node = d.doc_id""",
+    # A proximity match is looked for where the rarest word of its window stands: it must be there whatever word one starts from.
+    "op11_decontamination": r"""
+        WITH doc_lists AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        item_lists AS (
+          SELECT COALESCE(CAST(item_id AS VARCHAR), '') AS item, list_filter(regexp_split_to_array(translate(COALESCE(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+          FROM benchmark),
+        doc_words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM doc_lists),
+        counts AS (SELECT word, COUNT(*) AS n FROM doc_words GROUP BY word),
+        windows AS (
+          SELECT item, pos, list_slice(w, pos, pos + least(len(w), 10) - 1) AS words
+          FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS pos FROM item_lists WHERE len(w) > 0)),
+        places AS (
+          SELECT item, pos, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS k, len(words) AS size FROM windows),
+        ranked AS (
+          SELECT p.*, c.n, row_number() OVER (PARTITION BY item, pos ORDER BY c.n, p.word, k) AS rank,
+                 COUNT(c.n) OVER (PARTITION BY item, pos) AS known FROM places p LEFT JOIN counts c ON c.word = p.word),
+        starts AS (
+          SELECT DISTINCT r.item, r.pos, r.size, d.doc_id, d.i - r.k + s.step AS start
+          FROM ranked r JOIN doc_words d ON d.word = r.word, (SELECT unnest(range(-2, 3)) AS step) s WHERE r.rank = 1 AND r.known = r.size),
+        met AS (
+          SELECT s.item, s.pos, s.size, s.doc_id, s.start, COUNT(DISTINCT p.k) AS near, COUNT(DISTINCT p.k) FILTER (d.i = s.start + p.k) AS exact
+          FROM starts s JOIN places p ON p.item = s.item AND p.pos = s.pos
+          JOIN doc_words d ON d.doc_id = s.doc_id AND d.word = p.word AND d.i BETWEEN s.start + p.k - 2 AND s.start + p.k + 2
+          GROUP BY ALL),
+        hits AS (
+          SELECT doc_id, COUNT(DISTINCT i) AS n_hit
+          FROM (SELECT doc_id, unnest(range(start, start + size)) AS i FROM met WHERE exact = size) GROUP BY doc_id),
+        near AS (SELECT doc_id, COUNT(DISTINCT item) AS n FROM met WHERE near = size GROUP BY doc_id),
+        named AS (
+          SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, item FROM met WHERE exact = size) GROUP BY doc_id)
+        SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items,
+               sha256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated, COALESCE(n.n, 0) AS n_near_items
+        FROM doc_lists l LEFT JOIN hits h ON h.doc_id = l.doc_id LEFT JOIN named i ON i.doc_id = l.doc_id LEFT JOIN near n ON n.doc_id = l.doc_id""",
     "op12_runs": r"""
         WITH raw AS (
           SELECT doc_id, list_filter(regexp_split_to_array(COALESCE(text, ''), '[\x09-\x0D ]+'), lambda x: x <> '') AS w,
