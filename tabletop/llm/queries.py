@@ -10,6 +10,7 @@ from tabletop.llm import (
     bpe,
     embedding_dedup,
     fingerprints,
+    hard_negatives,
     jaccard_join,
     language_id,
     lm_scoring,
@@ -146,6 +147,16 @@ def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every anchor and its positives; one row in seven has another label."""
+    rows = table(spark, folder, "embeddings")
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
+    whole = F.transform("embedding", lambda x: F.when(finite(x), F.floor(x.cast("double") * 256)))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select(
+        "vec_id", label.alias("label"), whole.alias("vector"), (F.col("vec_id") % 50 == 0).alias("anchor")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -159,6 +170,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_decontamination": op11_decontamination,
     "op12_runs": op12_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 # SQL for those whose rows it can tell, by comparing all pairs; the others are tested against plain code.
 CHECKS: dict[str, str] = {
@@ -278,4 +290,23 @@ CHECKS: dict[str, str] = {
                1000 * run.length // run.period AS exponent_milli, sha256(COALESCE(listed, '')) AS runs_sha256,
                sha256(COALESCE(k.text, '')) AS collapsed_sha256
         FROM edited e LEFT JOIN best b ON b.doc_id = e.doc_id LEFT JOIN kept k ON k.doc_id = e.doc_id""",
+    "op13_hard_negatives": """
+        WITH sound AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+          SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+          FROM sound a JOIN sound b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+        positives AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        ranked AS (
+          SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+                 row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+          FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+          WHERE 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM ranked WHERE rank <= 3""",
 }
