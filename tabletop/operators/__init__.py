@@ -2,6 +2,7 @@ from tabletop.operators.collections import profile_collections
 from tabletop.operators.export import export_csv, export_json, json_rows, read_export
 from tabletop.operators.fields import field_types
 from tabletop.operators.joins import asof_join, range_join
+from tabletop.operators.composite import check_composite_reference, discover_composite_references, minimal_keys
 from tabletop.operators.keys import candidate_keys, check_reference, discover_keys, discover_references
 from tabletop.operators.load import load_file, load_into
 from tabletop.operators.profile import (
@@ -33,11 +34,13 @@ __all__ = [
     "asof_join",
     "assemble",
     "candidate_keys",
+    "check_composite_reference",
     "check_reference",
     "database_totals",
-    "delete_snapshot",
     "declared_keys",
     "declared_sizes",
+    "delete_snapshot",
+    "discover_composite_references",
     "discover_keys",
     "discover_references",
     "execute",
@@ -52,10 +55,11 @@ __all__ = [
     "list_tables",
     "load_file",
     "load_into",
+    "minimal_keys",
     "preview",
     "preview_frame",
-    "profile_remote",
     "profile_collections",
+    "profile_remote",
     "profile_tables",
     "range_join",
     "read_export",

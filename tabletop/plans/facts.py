@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations, permutations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabletop.functions.text import size_text
+from tabletop.operators.composite import check_composite_reference, discover_composite_references, minimal_keys
 from tabletop.operators.fields import field_types
 from tabletop.operators.keys import candidate_keys, check_reference, discover_keys, discover_references
 from tabletop.operators.profile import (
@@ -26,16 +29,6 @@ from tabletop.plans.transfer import new_database
 from tabletop.session import open_tables
 from tabletop.sources.documents import document_column
 
-# Key columns of the given tables; lineitem has none of width 1.
-KEYS = {
-    "region": ["r_regionkey", "r_name"],
-    "nation": ["n_nationkey", "n_name"],
-    "customer": ["c_custkey", "c_name"],
-    "supplier": ["s_suppkey", "s_name"],
-    "part": ["p_partkey"],
-    "orders": ["o_orderkey"],
-}
-
 _TYPES = """CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
             WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE 'string' END"""
 
@@ -111,27 +104,68 @@ def _found_keys(spark: SparkSession, folder: str, names: list[str]) -> DataFrame
     return spark.createDataFrame(rows, KEY_SCHEMA)
 
 
-_PROFILE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "documents", "pages"]
-_FIRST_KEYS = {
-    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
-    "part": "p_partkey", "orders": "o_orderkey", "documents": "doc_id", "pages": "page_id",
+# Columns of the given tables by kind; "embedding" has no order and is in no key.
+_COLUMNS = {
+    "region": {"int": "r_regionkey", "text": "r_name"},
+    "nation": {"int": "n_nationkey n_regionkey", "text": "n_name"},
+    "customer": {"int": "c_custkey c_nationkey", "text": "c_name c_mktsegment", "double": "c_acctbal"},
+    "supplier": {"int": "s_suppkey s_nationkey", "text": "s_name", "double": "s_acctbal"},
+    "part": {"int": "p_partkey p_size", "text": "p_name p_brand p_type", "double": "p_retailprice"},
+    "orders": {
+        "int": "o_orderkey o_custkey", "text": "o_orderstatus o_orderpriority", "double": "o_totalprice", "time": "o_orderdate"},
+    "lineitem": {
+        "int": "l_orderkey l_partkey l_suppkey l_linenumber", "text": "l_returnflag l_linestatus",
+        "double": "l_quantity l_extendedprice l_discount l_tax", "time": "l_shipdate"},
+    "events": {"int": "event_id user_id", "text": "event_type props", "double": "value", "time": "ts"},
+    "documents": {"int": "doc_id n_chars", "text": "text lang source"},
+    "embeddings": {"int": "vec_id label"},
+    "pages": {"int": "page_id", "text": "url html"},
+    "benchmark": {"int": "item_id", "text": "text"},
+    "labels": {"int": "doc_id quality toxic"},
+    "conversations": {"int": "conv_id turn", "text": "role text"},
 }
 
 
-@registered(
-    "p6_table_profile",
-    " UNION ALL ".join(
-        f"""SELECT '{name}' AS "table", COUNT(*) AS row_count, MIN({key})::VARCHAR AS first_pk,
-                   MAX({key})::VARCHAR AS last_pk, '{key}' AS primary_key,
-                   (SELECT COUNT(*) FROM (DESCRIBE {name}))::INT AS column_count, true AS has_size FROM {name}"""
-        for name, key in _FIRST_KEYS.items()
-    ),
-)
+def _columns(name: str, kinds: str = "int text double time") -> list[str]:
+    return [column for kind in kinds.split() for column in _COLUMNS[name].get(kind, "").split()]
+
+
+# The order of columns in the files, where it is not that of their kinds.
+_ORDERS = {
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": (
+        "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"),
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+}
+
+
+def _schema_order(name: str) -> list[str]:
+    return _ORDERS[name].split() if name in _ORDERS else _columns(name)
+
+
+def _profile_check(name: str) -> str:
+    """The first column of a table that is a key, if any, and its bounds."""
+    columns = _schema_order(name)
+    facts = ", ".join(
+        f"COUNT(*) = COUNT(DISTINCT {c}) AS u{i}, MIN({c})::VARCHAR AS low{i}, MAX({c})::VARCHAR AS high{i}" for i, c in enumerate(columns))
+    first = lambda what: "CASE " + " ".join(f"WHEN u{i} THEN {what(i, c)}" for i, c in enumerate(columns)) + " END"
+    return f"""SELECT '{name}' AS "table", n AS row_count, {first(lambda i, c: f"low{i}")} AS first_pk, {first(lambda i, c: f"high{i}")} AS last_pk,
+                      COALESCE({first(lambda i, c: f"'{c}'")}, '') AS primary_key,
+                      (SELECT COUNT(*) FROM (DESCRIBE {name}))::INT AS column_count, true AS has_size
+               FROM (SELECT COUNT(*) AS n, {facts} FROM {name})"""
+
+
+@registered("p6_table_profile", " UNION ALL ".join(map(_profile_check, ALL)))
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
     """The whole profile of lake tables; its nested columns are shown as plain values here."""
-    keys = _found_keys(spark, folder, _PROFILE_TABLES)
-    sizes = table_sizes(spark, {name: f"{folder}/{name}.parquet" for name in _PROFILE_TABLES})
-    profile = profile_tables(open_tables(spark, folder, _PROFILE_TABLES), keys, sizes)
+    keys = _found_keys(spark, folder, ALL)
+    sizes = table_sizes(spark, {name: f"{folder}/{name}.parquet" for name in ALL})
+    profile = profile_tables(open_tables(spark, folder, ALL), keys, sizes)
     return profile.select(
         "table",
         "row_count",
@@ -143,41 +177,25 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _single_keys(columns: dict[str, list[str]]) -> str:
+def _single_keys() -> str:
     return " UNION ALL ".join(
         f"""SELECT * FROM (SELECT '{name}' AS "table", '{column}' AS "column")
             WHERE (SELECT COUNT(*) = COUNT(DISTINCT {column}) FROM {name})"""
-        for name, names in columns.items()
-        for column in names
+        for name in ALL
+        for column in _columns(name)
     )
 
 
-_NATION = ["n_nationkey", "n_name", "n_regionkey"]
-_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
-
-
-@registered(
-    "p7_unique_columns",
-    _single_keys(
-        {
-            "customer": _CUSTOMER,
-            "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
-            "pages": ["page_id", "url", "html"],
-            "labels": ["doc_id", "quality", "toxic"],
-            "documents": ["doc_id", "text", "lang", "source", "n_chars"],
-            "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
-        }
-    ),
-)
+@registered("p7_unique_columns", _single_keys())
 def unique_columns(spark: SparkSession, folder: str) -> DataFrame:
-    tables = open_tables(spark, folder, ["customer", "part", "pages", "labels", "documents", "events"])
+    tables = open_tables(spark, folder, ALL)
     rows = [(name, column) for name, keys in discover_keys(tables, 1).items() for column, in keys]
     return spark.createDataFrame(rows, "`table` string, column string")
 
 
-@registered("p9_candidate_keys", _single_keys({"nation": _NATION, "customer": _CUSTOMER}))
+@registered("p9_candidate_keys", _single_keys())
 def keys_of_tables(spark: SparkSession, folder: str) -> DataFrame:
-    keys = _found_keys(spark, folder, ["nation", "customer"])
+    keys = _found_keys(spark, folder, ALL)
     merged = candidate_keys(F.col("primary_keys"), F.array_union("unique_keys", "primary_keys"))
     return keys.select("table", F.explode(merged).alias("column"))
 
@@ -226,6 +244,30 @@ def found_keys(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "`table` string, columns string, width int")
 
 
+def _minimal_keys(width: int) -> str:
+    """Unique combinations of columns no part of which is unique, in the order of ``ALL`` and its columns."""
+    texts = []
+    for name in ALL:
+        some = [some for k in range(1, width + 1) for some in combinations(_schema_order(name), k)]
+        number = {columns: i for i, columns in enumerate(some)}
+        counts = ", ".join(f"COUNT(DISTINCT ({', '.join(columns)})) = COUNT(*) AS u{i}" for columns, i in number.items())
+        listed = ", ".join(
+            f"CASE WHEN u{i}" + "".join(
+                f" AND NOT u{number[part]}" for k in range(1, len(columns)) for part in combinations(columns, k))
+            + f" THEN '{','.join(columns)}' END" for columns, i in number.items())
+        texts.append(f"""SELECT '{name}' AS "table", unnest(list_filter([{listed}], lambda x: x IS NOT NULL)) AS columns
+                         FROM (SELECT {counts} FROM {name})""")
+    return f"""SELECT "table", columns, CAST(len(string_split(columns, ',')) AS INTEGER) AS width FROM ({" UNION ALL ".join(texts)})"""
+
+
+@registered("p11_minimal_keys", _minimal_keys(4))
+def all_minimal_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Every combination of up to four columns that tells rows apart while no part of it does, of all tables."""
+    found = minimal_keys(open_tables(spark, folder, ALL))
+    rows = [(name, ",".join(columns), len(columns)) for name, keys in found.items() for columns in keys]
+    return spark.createDataFrame(rows, "`table` string, columns string, width int")
+
+
 _REFERENCES = [
     ("nation", "n_regionkey", "region", "r_regionkey"),
     ("customer", "c_nationkey", "nation", "n_nationkey"),
@@ -260,50 +302,92 @@ def checked_references(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_INTEGERS = {
-    "region": ["r_regionkey"],
-    "nation": ["n_nationkey", "n_regionkey"],
-    "customer": ["c_custkey", "c_nationkey"],
-    "supplier": ["s_suppkey", "s_nationkey"],
-    "part": ["p_partkey", "p_size"],
-    "orders": ["o_orderkey", "o_custkey"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
-}
-_TEXTS = {
-    "region": ["r_name"],
-    "nation": ["n_name"],
-    "customer": ["c_name", "c_mktsegment"],
-    "supplier": ["s_name"],
-    "part": ["p_name", "p_brand", "p_type"],
-    "orders": ["o_orderstatus", "o_orderpriority"],
-    "lineitem": ["l_returnflag", "l_linestatus"],
-}
-
-
 def _reference_check() -> str:
-    parts = []
-    for columns in (_INTEGERS, _TEXTS):
-        for parent, keys in KEYS.items():
-            for key in keys:
-                if key not in columns[parent]:
-                    continue
-                for child, names in columns.items():
-                    for name in names:
-                        if child != parent:
-                            parts.append(
-                                f"""SELECT * FROM (SELECT '{child}' AS child_table, '{name}' AS child_column,
-                                      '{parent}' AS parent_table, '{key}' AS parent_column,
-                                      (SELECT COUNT({name}) FROM {child}) AS child_rows)
-                                    WHERE NOT EXISTS (SELECT 1 FROM {child}
-                                                      WHERE {name} NOT IN (SELECT {key} FROM {parent}))"""
-                            )
-    return " UNION ALL ".join(parts)
+    """Columns of one kind whose values all occur in a column of another table that is a key; long values by digest."""
+    values, keys = [], []
+    for kind in ("int", "text", "double", "time"):
+        for name in ALL:
+            for column in _columns(name, kind):
+                values.append(f"""SELECT '{kind}' AS kind, '{name}' AS t, '{column}' AS c, md5({column}::VARCHAR) AS v, COUNT(*) AS n
+                                  FROM {name} WHERE {column} IS NOT NULL GROUP BY {column}""")
+                keys.append(f"SELECT '{name}' AS t, '{column}' AS c, COUNT(*) = COUNT(DISTINCT {column}) AS is_key FROM {name}")
+    return f"""
+        WITH vals AS MATERIALIZED ({" UNION ALL ".join(values)}),
+        keys AS ({" UNION ALL ".join(keys)}),
+        parents AS (SELECT kind, t, c, v FROM vals JOIN keys USING (t, c) WHERE is_key),
+        sizes AS (SELECT t, c, COUNT(*) AS different, SUM(n)::BIGINT AS child_rows FROM vals GROUP BY t, c),
+        common AS (
+          SELECT x.t, x.c, p.t AS parent_table, p.c AS parent_column, COUNT(*) AS n
+          FROM vals x JOIN parents p ON x.kind = p.kind AND x.v = p.v AND x.t <> p.t GROUP BY ALL)
+        SELECT t AS child_table, c AS child_column, parent_table, parent_column, child_rows
+        FROM common JOIN sizes USING (t, c) WHERE n = different"""
 
 
 @registered("p8_discover_references", _reference_check())
 def found_references(spark: SparkSession, folder: str) -> DataFrame:
-    """What could be a foreign key in tables that declare none."""
-    return discover_references(open_tables(spark, folder, SALES), KEYS)
+    """What could be a foreign key in tables that declare none: between all columns and the keys that are found."""
+    tables = open_tables(spark, folder, ALL)
+    keys = {name: [column for column, in some] for name, some in discover_keys(tables, 1).items()}
+    return discover_references(tables, keys)
+
+
+def _composite_check() -> str:
+    """Pairs of whole numbers contained in a pair that is a key of another table while no column of it is."""
+    values, keys = [], []
+    for name in ALL:
+        for a, b in permutations(_columns(name, "int"), 2):
+            values.append(f"SELECT '{name}' AS t, '{a},{b}' AS c, {a}::BIGINT AS x, {b}::BIGINT AS y, COUNT(*) AS n FROM {name} GROUP BY ALL")
+        for a, b in combinations(_columns(name, "int"), 2):
+            keys.append(f"""SELECT '{name}' AS t, '{a},{b}' AS c, COUNT(*) = COUNT(DISTINCT ({a}, {b})) AND COUNT(*) > COUNT(DISTINCT {a})
+                            AND COUNT(*) > COUNT(DISTINCT {b}) AS is_key FROM {name}""")
+    return f"""
+        WITH vals AS MATERIALIZED ({" UNION ALL ".join(values)}),
+        keys AS ({" UNION ALL ".join(keys)}),
+        parents AS (SELECT t, c, x, y FROM vals JOIN keys USING (t, c) WHERE is_key),
+        sizes AS (SELECT t, c, COUNT(*) AS different, SUM(n)::BIGINT AS child_rows FROM vals GROUP BY t, c),
+        common AS (
+          SELECT v.t, v.c, p.t AS parent_table, p.c AS parent_columns, COUNT(*) AS n
+          FROM vals v JOIN parents p ON v.x = p.x AND v.y = p.y AND v.t <> p.t GROUP BY ALL)
+        SELECT t AS child_table, c AS child_columns, parent_table, parent_columns, child_rows
+        FROM common JOIN sizes USING (t, c) WHERE n = different"""
+
+
+@registered("p8_composite_references", _composite_check())
+def found_composite_references(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of whole-number columns of all tables that could refer to a key of two columns."""
+    tables = {name: df.select(*_columns(name, "int")) for name, df in open_tables(spark, folder, ALL).items()}
+    found = discover_composite_references(tables, minimal_keys(tables, 2))
+    return found.select(
+        "child_table", F.array_join("child_columns", ",").alias("child_columns"), "parent_table",
+        F.array_join("parent_columns", ",").alias("parent_columns"), "child_rows")
+
+
+_PAIRS = [
+    ("lineitem", "l_orderkey l_linenumber", "conversations", "conv_id turn"),
+    ("lineitem", "l_partkey l_suppkey", "lineitem", "l_partkey l_suppkey"),
+    ("conversations", "conv_id turn", "lineitem", "l_orderkey l_linenumber"),
+    ("nation", "n_nationkey n_regionkey", "customer", "c_custkey c_nationkey"),
+]
+
+
+@registered(
+    "p12_check_composite_reference",
+    " UNION ALL ".join(
+        f"""SELECT '{child}({columns})' AS child, '{parent}({keys})' AS parent, COUNT(*) AS child_rows,
+                   COUNT(*) FILTER (known IS NULL) AS orphan_rows, COUNT(DISTINCT (x, y)) FILTER (known IS NULL) AS orphan_values
+            FROM (SELECT {columns.split()[0]} AS x, {columns.split()[1]} AS y FROM {child}) c
+            LEFT JOIN (SELECT DISTINCT {keys.split()[0]} AS a, {keys.split()[1]} AS b, 1 AS known FROM {parent}) p
+              ON c.x = p.a AND c.y = p.b"""
+        for child, columns, parent, keys in _PAIRS
+    ),
+)
+def checked_composite_references(spark: SparkSession, folder: str) -> DataFrame:
+    tables = open_tables(spark, folder, ALL)
+    return union_all(
+        check_composite_reference(tables[child], columns.split(), tables[parent], keys.split()).select(
+            F.lit(f"{child}({columns})").alias("child"), F.lit(f"{parent}({keys})").alias("parent"), "*")
+        for child, columns, parent, keys in _PAIRS
+    )
 
 
 @registered(
