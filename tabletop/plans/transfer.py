@@ -23,6 +23,7 @@ from tabletop.operators.snapshots import (
     write_snapshot,
     write_working,
 )
+from tabletop.operators.state import described, read_state
 from tabletop.plans.register import registered
 from tabletop.plans.tables import table
 from tabletop.session import working_folder
@@ -277,6 +278,51 @@ def ingested_files(spark: SparkSession, folder: str) -> DataFrame:
     return ingest_incremental(spark, inbox, f"{database}.orders", notes)
 
 
+@registered("s13_ingest_json_layouts", "SELECT * FROM events")
+def ingested_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of lines, then files that are one array each, into one table."""
+    events = table(spark, folder, "events")
+    database, inbox, notes = new_database(spark), working_folder(spark, "inbox"), working_folder(spark, "notes")
+    create_table(spark, f"{database}.events", events.schema)
+    line = F.to_json(F.struct(*[F.col(name).cast("string").alias(name) for name in events.columns]))
+    some = events.where("event_id % 3 = 0").select(line.alias("value"))
+    some.write.mode("append").text(inbox)
+    ingest_incremental(spark, inbox, f"{database}.events", notes, file_format="json")
+    # One array for each thousand ids, every array a file.
+    others = events.where("event_id % 3 <> 0").groupBy(F.floor(F.col("event_id") / 1000).alias("part")).agg(F.collect_list(line).alias("lines"))
+    arrays = others.select(F.concat(F.lit("["), F.array_join("lines", ",\n"), F.lit("]")).alias("value"), F.col("part"))
+    arrays.write.mode("append").option("maxRecordsPerFile", 1).partitionBy("part").text(f"{inbox}-arrays")
+    return ingest_incremental(spark, f"{inbox}-arrays", f"{database}.events", f"{notes}-arrays", file_format="json")
+
+
+_REFRESHED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@registered(
+    "s13_refreshed_profile",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS "column", COUNT(*) AS row_count, COUNT(*) - COUNT({name}) AS null_count,
+                   CASE WHEN COUNT(DISTINCT {name}) < 50 THEN COUNT(DISTINCT {name}) END AS few_distinct,
+                   MIN({name})::VARCHAR AS low, MAX({name})::VARCHAR AS high FROM orders"""
+        for name in _REFRESHED
+    ),
+)
+def refreshed_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts of the columns of a table after two portions of files, of which each call read only its own."""
+    orders = table(spark, folder, "orders")
+    database, inbox, notes = new_database(spark), working_folder(spark, "inbox"), working_folder(spark, "notes")
+    known = working_folder(spark, "profile")
+    create_table(spark, f"{database}.orders", orders.schema)
+    is_old = F.col("o_orderdate") < F.to_timestamp_ntz(F.lit("1998-01-01"))
+    for portion in (orders.where(is_old), orders.where(~is_old)):
+        lines = portion.select([F.col(name).cast("string").alias(name) for name in orders.columns])
+        lines.write.mode("append").option("header", True).csv(inbox)
+        ingest_incremental(spark, inbox, f"{database}.orders", notes, profile=known)
+    facts = described(read_state(spark, known), orders.schema)
+    few = F.when(F.col("distinct") < 50, F.col("distinct")).alias("few_distinct")
+    return facts.select("column", "row_count", "null_count", few, "low", "high")
+
+
 def _stored(spark: SparkSession, folder: str) -> str:
     root = working_folder(spark, "snapshots")
     for name in ("orders", "events", "documents"):

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabletop.operators.load import fitted, load_into
-from tabletop.sources.files import read_csv
+from tabletop.operators.state import add_state, has_state
+from tabletop.sources.files import _json_objects, _layouts, read_csv
+
+# The number under which the state of what a table held before its first batch is kept.
+_BEFORE = -1
 
 
 def ingest_incremental(
@@ -20,10 +24,12 @@ def ingest_incremental(
     multi_line: bool | None = None,
     max_files: int | None = None,
     batch_column: str | None = None,
+    profile: str | None = None,
 ) -> DataFrame:
     """Append to ``table`` the rows of files in ``folder`` that earlier calls have not seen; returns the table.
 
-    CSV columns are matched by position; JSON files hold one object per line, matched by name whatever the case. A value
+    CSV columns are matched by position; JSON files hold one object per line, an array of objects, one object or one object of
+    arrays, told file by file as ``read_json`` does it; their fields are matched by name whatever the case. A value
     that does not fit its column, or a field that the table lacks, fails the run, and the next run takes up the same files.
     ``checkpoint`` is the folder that remembers what was loaded: the same one for every call, and reachable by all
     executors. ``max_files`` bounds the files per micro-batch after a long pause. ``multi_line`` is that of ``read_csv``:
@@ -32,10 +38,15 @@ def ingest_incremental(
     Lost tasks and executors are repeated without doubling rows. A driver that dies in the short time between the
     append and the note in the checkpoint writes that batch again at the next call: name the table's partition column
     in ``batch_column`` to have every batch replace its own partition, so that a repeated batch changes nothing.
+
+    ``profile`` is a folder for the facts of the table's columns (see ``operators.state``): the first call reads what the table
+    holds, after that each batch adds the state of its own rows, and only new files are read. ``read_state`` merges them.
     """
     schema = T.StructType([field for field in spark.table(table).schema if field.name != batch_column])
     if file_format not in ("csv", "json"):
         raise ValueError(f"unknown file format: {file_format}")
+    if profile and not has_state(spark, profile):
+        add_state(spark.table(table).drop(*([batch_column] if batch_column else [])), profile, _BEFORE)
     # The stream carries the names of new files only; their content is read in the batch, as a whole folder would be.
     reader = spark.readStream.format("binaryFile").schema(
         "path string, modificationTime timestamp, length bigint, content binary")
@@ -49,8 +60,10 @@ def ingest_incremental(
         if file_format == "csv":
             rows = read_csv(spark, files, sep=sep, multi_line=multi_line)
         else:
-            rows = _json_columns(spark.read.text(files), schema)
+            rows = _json_columns(_json_lines(spark, files), schema)
         append_batch(table, rows, number, batch_column)
+        if profile:
+            add_state(fitted(rows, schema), profile, number)
 
     query = (
         reader.load(folder)
@@ -64,6 +77,24 @@ def ingest_incremental(
     return spark.table(table)
 
 
+def _json_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """One JSON object a row in ``value``, whatever the layout of each file is."""
+    lines, wholes, by_column = _layouts(spark, files, "utf-8")
+    found = spark.createDataFrame([], "value string")
+    if lines:
+        found = found.union(spark.read.text(lines))
+    if wholes:
+        found = found.union(spark.read.text(wholes, wholetext=True).select(F.explode(_json_objects("value")).alias("value")))
+    if by_column:
+        entries = F.from_json("value", "map<string,array<string>>", {"mode": "FAILFAST"})
+        rows = spark.read.text(by_column, wholetext=True).select(entries.alias("entries"))
+        rows = rows.select("entries", F.explode(F.sequence(
+            F.lit(1), F.array_max(F.transform(F.map_values("entries"), F.size)))).alias("row"))
+        found = found.union(rows.select(
+            F.to_json(F.transform_values("entries", lambda _, values: F.try_element_at(values, F.col("row")))).alias("value")))
+    return found
+
+
 def _json_columns(lines: DataFrame, schema: T.StructType) -> DataFrame:
     """Fields of JSON lines as columns of the table; their names are cleaned as ``read_json`` does it, in any case.
 

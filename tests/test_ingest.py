@@ -2,8 +2,10 @@ import datetime
 
 import pytest
 from conftest import values
+from pyspark.sql import functions as F
 
 from tabletop.operators.load import load_into
+from tabletop.operators.state import add_state, column_state, described, read_state
 from tabletop.plans.transfer import new_database
 from tabletop.session import shared_folder, working_folder
 from tabletop.streaming import ingest_incremental
@@ -63,3 +65,63 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     assert values(spark.table(name)) == expected
     append_batch(name, spark.createDataFrame([(3, "c")], "id bigint, label string"), 1, "batch")
     assert values(spark.table(name)) == expected
+
+
+def test_json_layouts(spark, tmp_path):
+    inbox, notes = tmp_path / "inbox", str(tmp_path / "notes")
+    inbox.mkdir()
+    name = f"{new_database(spark)}.t"
+    spark.sql(f"CREATE TABLE {name} (id BIGINT, label STRING, parts ARRAY<INT>) USING parquet")
+    (inbox / "a.json").write_text('[{"id": 1, "label": "x"},\n {"Label": null, "id": 2, "parts": [3]}]')
+    (inbox / "b.json").write_text('{\n "id": 3,\n "label": "one\\nobject"}')
+    (inbox / "c.json").write_text('{\n"id": [4, 5],\n"label": ["p", "q"], "parts": [[1, 2], null]}')
+    (inbox / "d.json").write_text('{"id": 6}\n{"id": 7}\n')
+    (inbox / "e.json").write_text("[]")
+    got = ingest_incremental(spark, str(inbox), name, notes, file_format="json")
+    assert values(got) == [(1, "x", None), (2, None, [3]), (3, "one\nobject", None), (4, "p", [1, 2]), (5, "q", None), (6, None, None), (7, None, None)]
+    (inbox / "f.json").write_text('[{"id": 8, "unknown": 1}]')
+    with pytest.raises(Exception):
+        ingest_incremental(spark, str(inbox), name, notes, file_format="json")
+
+
+def facts(state, schema):
+    rows = described(state, schema).collect()
+    return [row[:4] + row[5:7] for row in map(tuple, rows)], {row.column: (row.distinct, row.quantiles) for row in rows}
+
+
+def test_profile_grows_with_each_file(spark, tmp_path):
+    inbox, notes, state = tmp_path / "inbox", str(tmp_path / "notes"), str(tmp_path / "state")
+    inbox.mkdir()
+    name = f"{new_database(spark)}.t"
+    spark.sql(f"CREATE TABLE {name} (id BIGINT, price DECIMAL(20,2), day DATE, label STRING) USING parquet")
+    load_into(name, spark.range(3000).select("id", (F.col("id") % 7).cast("decimal(20,2)"), F.lit(datetime.date(2024, 1, 1)), F.lit("a")))
+    schema = spark.table(name).schema
+    for i in range(3):
+        lines = [f"{j},{j % 50 + 0.25},2024-02-{i + 1:02},{'b' if j % 3 else ''}" for j in range(2000 * i, 2000 * i + 2500)]
+        (inbox / f"{i}.csv").write_text("\n".join(["id,price,day,label", *lines]))
+        ingest_incremental(spark, str(inbox), name, notes, profile=state)
+        exact, estimates = facts(read_state(spark, state), schema)
+        scratch, others = facts(column_state(spark.table(name)), schema)
+        assert exact == scratch and exact[0][2] == 3000 + 2500 * (i + 1) and exact[3][3] > 0
+        for column, (distinct, quantiles) in estimates.items():
+            real = spark.table(name).select(column).distinct().where(f"{column} IS NOT NULL").count()
+            assert abs(distinct - real) <= 0.04 * real and abs(others[column][0] - real) <= 0.04 * real
+            if column == "id":
+                ids = sorted(row.id for row in spark.table(name).select("id").collect())
+                assert all(abs(value - ids[int(len(ids) * q)]) < 300 for value, q in zip(quantiles, (0.25, 0.5, 0.75)))
+    assert ingest_incremental(spark, str(inbox), name, notes, profile=state).count() == 10500
+    assert facts(read_state(spark, state), schema)[0] == exact
+    # A batch that is repeated leaves its state once, and only states are read.
+    add_state(spark.table(name).where("day = '2024-02-03'"), state, 2)
+    assert facts(read_state(spark, state), schema)[0] == exact
+    assert all(state in name for name in read_state(spark, state).inputFiles())
+
+
+def test_state_of_nothing_and_of_nested_columns(spark, tmp_path):
+    df = spark.createDataFrame([], "id int, list array<int>, pairs map<string,int>, flag boolean")
+    add_state(df, str(tmp_path / "state"), -1)
+    rows = described(read_state(spark, str(tmp_path / "state")), df.schema).collect()
+    assert [(r.row_count, r.null_count, r.distinct, r.low, r.quantiles) for r in rows] == [(0, 0, 0, None, None)] * 4
+    some = spark.createDataFrame([(1, [1], {"a": 1}, True), (None, [2], None, None)], df.schema)
+    row = {r.column: r for r in described(column_state(some), df.schema).collect()}
+    assert row["list"].distinct == 2 and row["pairs"].null_count == 1 and row["flag"].high == "true" and row["id"].quantiles == [1.0] * 3
