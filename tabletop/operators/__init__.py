@@ -5,6 +5,7 @@ from tabletop.operators.joins import asof_join, range_join
 from tabletop.operators.composite import check_composite_reference, discover_composite_references, minimal_keys
 from tabletop.operators.keys import candidate_keys, check_reference, discover_keys, discover_references
 from tabletop.operators.load import load_file, load_into
+from tabletop.operators.overlaps import overlap_join
 from tabletop.operators.profile import (
     database_totals,
     declared_keys,
@@ -56,6 +57,7 @@ __all__ = [
     "load_file",
     "load_into",
     "minimal_keys",
+    "overlap_join",
     "preview",
     "preview_frame",
     "profile_collections",

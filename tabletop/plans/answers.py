@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabletop.operators.export import export_csv
 from tabletop.operators.joins import asof_join, range_join
+from tabletop.operators.overlaps import overlap_join
 from tabletop.operators.query import execute, preview, preview_frame, rows_as_json, sql
 from tabletop.operators.snapshots import read_snapshot, write_snapshot
 from tabletop.operators.transcripts import assemble, last_messages, split_reply, token_rate
@@ -170,6 +171,40 @@ def items_in_sales(spark: SparkSession, folder: str) -> DataFrame:
     return joined.groupBy("month").agg(F.count("*").alias("items"), F.sum("l_quantity").alias("quantity"))
 
 
+@registered(
+    "d7_overlap_join",
+    """WITH spans AS (
+         SELECT l_orderkey, MIN(l_shipdate) AS opens, MAX(l_shipdate) + INTERVAL '1' DAY AS closes FROM lineitem GROUP BY 1),
+       held AS (SELECT o_custkey, o_orderkey, opens, closes FROM spans JOIN orders ON o_orderkey = l_orderkey)
+       SELECT a.o_custkey AS customer, COUNT(*) AS pairs, MIN(GREATEST(a.opens, b.opens)) AS first_met
+       FROM held a JOIN held b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.opens < b.closes AND b.opens < a.closes
+       GROUP BY 1""",
+)
+def orders_under_way_together(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of orders of one customer that are shipped in overlapping spans of days, for each customer."""
+    spans = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.min("l_shipdate").alias("opens"), (F.max("l_shipdate") + F.expr("INTERVAL '1' DAY")).alias("closes"))
+    held = spans.join(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    other = held.select([F.col(name).alias(f"other_{name}") for name in held.columns])
+    met = overlap_join(held, other, ("opens", "closes"), ("other_opens", "other_closes"), 30 * 86400, [("o_custkey", "other_o_custkey")])
+    met = met.where("o_orderkey < other_o_orderkey")
+    return met.groupBy(F.col("o_custkey").alias("customer")).agg(
+        F.count("*").alias("pairs"), F.min(F.greatest("opens", "other_opens")).alias("first_met"))
+
+
+@registered(
+    "d7_overlap_join_numbers",
+    """SELECT p_brand, COUNT(*) AS pairs, COUNT(DISTINCT s_suppkey) AS suppliers
+       FROM part JOIN supplier ON p_retailprice < s_acctbal + 250 AND s_acctbal < p_retailprice + p_size GROUP BY 1""",
+)
+def parts_in_reach(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranges of prices that meet ranges of balances: intervals of numbers on both sides."""
+    parts = table(spark, folder, "part").select("p_brand", "p_retailprice", (F.col("p_retailprice") + F.col("p_size")).alias("p_most"))
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_acctbal") + 250).alias("s_most"))
+    met = overlap_join(parts, suppliers, ("p_retailprice", "p_most"), ("s_acctbal", "s_most"), 100)
+    return met.groupBy("p_brand").agg(F.count("*").alias("pairs"), F.countDistinct("s_suppkey").alias("suppliers"))
+
+
 @registered(
     "d8_asof_join",
     """WITH bought AS (
