@@ -5,6 +5,7 @@ from tabletop.operators.joins import asof_join, range_join
 from tabletop.operators.composite import check_composite_reference, discover_composite_references, minimal_keys
 from tabletop.operators.keys import candidate_keys, check_reference, discover_keys, discover_references
 from tabletop.operators.load import load_file, load_into
+from tabletop.operators.ordered import group_sample, with_global_ranks
 from tabletop.operators.overlaps import overlap_join
 from tabletop.operators.profile import (
     database_totals,
@@ -49,6 +50,7 @@ __all__ = [
     "export_json",
     "field_types",
     "first_rows",
+    "group_sample",
     "json_rows",
     "keys_from_catalog",
     "last_messages",
@@ -76,6 +78,7 @@ __all__ = [
     "table_sizes",
     "token_rate",
     "total_storage",
+    "with_global_ranks",
     "write_snapshot",
     "write_working",
 ]

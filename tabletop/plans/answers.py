@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabletop.operators.export import export_csv
 from tabletop.operators.joins import asof_join, range_join
+from tabletop.operators.ordered import group_sample, with_global_ranks
 from tabletop.operators.overlaps import overlap_join
 from tabletop.operators.query import execute, preview, preview_frame, rows_as_json, sql
 from tabletop.operators.snapshots import read_snapshot, write_snapshot
@@ -282,3 +283,26 @@ def assembled(spark: SparkSession, folder: str) -> DataFrame:
 )
 def rates(spark: SparkSession, folder: str) -> DataFrame:
     return token_rate(table(spark, folder, "events"), ["user_id"])
+
+
+@registered(
+    "d15_global_ranks",
+    """SELECT l_orderkey, l_partkey, l_extendedprice, RANK() OVER w AS rank, DENSE_RANK() OVER w AS dense_rank,
+              PERCENT_RANK() OVER w AS percent_rank, CUME_DIST() OVER w AS cume_dist,
+              SUM(l_quantity) OVER (ORDER BY l_extendedprice) AS running_total
+       FROM lineitem WINDOW w AS (ORDER BY l_extendedprice)""",
+)
+def ranks_of_all_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every raw item among all items by price, and the quantity sold up to that price."""
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_quantity")
+    return with_global_ranks(items, "l_extendedprice", "l_quantity").drop("l_quantity")
+
+
+@registered(
+    "p15_group_sample",
+    """SELECT source, doc_id, n_chars FROM documents
+       QUALIFY ROW_NUMBER() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) <= 20""",
+)
+def sample_of_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Twenty documents of every source, the same ones in every run."""
+    return group_sample(table(spark, folder, "documents").select("source", "doc_id", "n_chars"), ["source"], 20, "doc_id")
