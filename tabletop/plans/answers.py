@@ -196,12 +196,12 @@ def orders_under_way_together(spark: SparkSession, folder: str) -> DataFrame:
 @registered(
     "d7_overlap_join_numbers",
     """SELECT p_brand, COUNT(*) AS pairs, COUNT(DISTINCT s_suppkey) AS suppliers
-       FROM part JOIN supplier ON p_retailprice < s_acctbal + 250 AND s_acctbal < p_retailprice + p_size GROUP BY 1""",
+       FROM part JOIN supplier ON p_retailprice < s_acctbal + 2000 AND s_acctbal < p_retailprice + p_size GROUP BY 1""",
 )
 def parts_in_reach(spark: SparkSession, folder: str) -> DataFrame:
     """Ranges of prices that meet ranges of balances: intervals of numbers on both sides."""
     parts = table(spark, folder, "part").select("p_brand", "p_retailprice", (F.col("p_retailprice") + F.col("p_size")).alias("p_most"))
-    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_acctbal") + 250).alias("s_most"))
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_acctbal") + 2000).alias("s_most"))
     met = overlap_join(parts, suppliers, ("p_retailprice", "p_most"), ("s_acctbal", "s_most"), 100)
     return met.groupBy("p_brand").agg(F.count("*").alias("pairs"), F.countDistinct("s_suppkey").alias("suppliers"))
 
