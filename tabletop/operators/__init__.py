@@ -21,6 +21,8 @@ from tabletop.operators.profile import (
     table_sizes,
 )
 from tabletop.operators.query import execute, first_rows, preview, preview_frame, rows_as_json, sql
+from tabletop.operators.reach import reachable
+from tabletop.operators.selection import exact_percentiles
 from tabletop.operators.snapshots import (
     delete_snapshot,
     list_snapshots,
@@ -31,6 +33,7 @@ from tabletop.operators.snapshots import (
     write_working,
 )
 from tabletop.operators.transcripts import assemble, last_messages, split_reply, token_rate
+from tabletop.operators.upserts import delete_keys, upsert
 
 __all__ = [
     "asof_join",
@@ -41,10 +44,12 @@ __all__ = [
     "database_totals",
     "declared_keys",
     "declared_sizes",
+    "delete_keys",
     "delete_snapshot",
     "discover_composite_references",
     "discover_keys",
     "discover_references",
+    "exact_percentiles",
     "execute",
     "export_csv",
     "export_json",
@@ -66,6 +71,7 @@ __all__ = [
     "profile_remote",
     "profile_tables",
     "range_join",
+    "reachable",
     "read_export",
     "read_snapshot",
     "restore_working",
@@ -78,6 +84,7 @@ __all__ = [
     "table_sizes",
     "token_rate",
     "total_storage",
+    "upsert",
     "with_global_ranks",
     "write_snapshot",
     "write_working",

@@ -10,8 +10,11 @@ from tabletop.operators.joins import asof_join, range_join
 from tabletop.operators.ordered import group_sample, with_global_ranks
 from tabletop.operators.overlaps import overlap_join
 from tabletop.operators.query import execute, preview, preview_frame, rows_as_json, sql
+from tabletop.operators.reach import reachable
+from tabletop.operators.selection import exact_percentiles
 from tabletop.operators.snapshots import read_snapshot, write_snapshot
 from tabletop.operators.transcripts import assemble, last_messages, split_reply, token_rate
+from tabletop.operators.upserts import delete_keys, upsert
 from tabletop.plans.register import registered
 from tabletop.plans.tables import table
 from tabletop.plans.transfer import new_database
@@ -306,3 +309,64 @@ def ranks_of_all_items(spark: SparkSession, folder: str) -> DataFrame:
 def sample_of_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Twenty documents of every source, the same ones in every run."""
     return group_sample(table(spark, folder, "documents").select("source", "doc_id", "n_chars"), ["source"], 20, "doc_id")
+
+
+@registered(
+    "d13_exact_percentiles",
+    """SELECT l_returnflag, fraction, COUNT(*) AS rows,
+              ROUND(CASE fraction WHEN 0.01 THEN QUANTILE_CONT(l_extendedprice, 0.01)
+                                  WHEN 0.25 THEN QUANTILE_CONT(l_extendedprice, 0.25)
+                                  WHEN 0.5 THEN QUANTILE_CONT(l_extendedprice, 0.5)
+                                  ELSE QUANTILE_CONT(l_extendedprice, 0.99) END, 4) AS percentile
+       FROM lineitem, (VALUES (0.01::DOUBLE), (0.25), (0.5), (0.99)) AS f(fraction) GROUP BY l_returnflag, fraction""",
+)
+def price_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices take almost as many values as there are items."""
+    items = table(spark, folder, "lineitem").select("l_returnflag", "l_extendedprice")
+    found = exact_percentiles(items, ["l_returnflag"], "l_extendedprice", [0.01, 0.25, 0.5, 0.99])
+    return found.withColumn("percentile", F.round("percentile", 4))
+
+
+@registered(
+    "d21_reachability",
+    """WITH RECURSIVE ways AS (
+         SELECT DISTINCT a.l_partkey AS part, b.l_partkey AS next
+         FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+         WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R'),
+       starts AS (SELECT MIN(p_partkey) AS start FROM part GROUP BY p_brand),
+       met AS (
+         SELECT start, start AS node FROM starts
+         UNION
+         SELECT met.start, ways.next FROM met JOIN ways ON met.node = ways.part)
+       SELECT start, node FROM met""",
+)
+def parts_returned_after(spark: SparkSession, folder: str) -> DataFrame:
+    """Returned parts that follow one another in orders, in any number of steps, from the first part of every brand."""
+    items = table(spark, folder, "lineitem").where("l_returnflag = 'R'")
+    former = items.select("l_orderkey", F.col("l_linenumber") + 1, F.col("l_partkey").alias("part"))
+    former = former.toDF("l_orderkey", "l_linenumber", "part")
+    ways = former.join(items.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("next")), ["l_orderkey", "l_linenumber"])
+    starts = table(spark, folder, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("start")).select("start")
+    return reachable(ways, "part", "next", starts).select("start", "node")
+
+
+@registered(
+    "d32_upsert_delete",
+    """SELECT o_orderkey, o_custkey, CASE WHEN o_orderdate >= DATE '1998-01-01' AND o_orderstatus = 'O' THEN 'P' ELSE o_orderstatus END
+                AS o_orderstatus,
+              CASE WHEN o_orderdate >= DATE '1998-01-01' AND o_orderstatus = 'O' THEN o_totalprice * 2 ELSE o_totalprice END
+                AS o_totalprice,
+              o_orderdate, o_orderpriority, CAST(YEAR(o_orderdate) AS INT) AS y
+       FROM orders WHERE NOT (o_orderdate < DATE '1993-01-01' AND o_orderpriority = '5-LOW')""",
+)
+def changed_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders by year: those of the last year that are open are changed, cheap ones of the first year are deleted."""
+    path = working_folder(spark, "orders")
+    orders = table(spark, folder, "orders").withColumn("y", F.year("o_orderdate"))
+    upsert(orders, path, ["o_orderkey"], ["y"])
+    open_ones = orders.where("o_orderdate >= DATE '1998-01-01' AND o_orderstatus = 'O'")
+    raised = open_ones.withColumns({"o_orderstatus": F.lit("P"), "o_totalprice": F.col("o_totalprice") * 2})
+    upsert(raised, path, ["o_orderkey"], ["y"])
+    low = orders.where("o_orderdate < DATE '1993-01-01' AND o_orderpriority = '5-LOW'")
+    delete_keys(spark, low.select("o_orderkey"), path, ["o_orderkey"], ["y"])
+    return spark.read.parquet(path)
