@@ -10,7 +10,7 @@ spanning set of edges, and components are found from these by Spark.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do rows
 with a null id; they are components of their own. Vectors of different lengths do not link. Repeated rows count as
-separate vectors. The cosine at the threshold counts as a link.
+separate vectors, and so do different vectors of one id: each has its own links and component. The cosine at the threshold counts as a link.
 """
 
 from __future__ import annotations
@@ -166,10 +166,12 @@ def near_duplicates(
         F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("embedding", lambda x: x != 0), F.lit(False))
     usable = rows.where(sound)
-    unique = stored(usable.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
+    # A number of its own for every different vector: ids may repeat on different ones.
+    unique = usable.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    unique = stored(unique.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     found = None
     for (width,) in unique.select(F.size("embedding")).distinct().sort(F.size("embedding")).collect():
-        some = links(unique.where(F.size("embedding") == width), width, threshold, block_rows, sample_rows)
+        some = links(unique.where(F.size("embedding") == width).drop("least"), width, threshold, block_rows, sample_rows)
         found = some if found is None else found.union(some)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"),
@@ -180,7 +182,8 @@ def near_duplicates(
     facts = unique.join(counted, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     facts = stored(facts.select(
         F.col("embedding").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id")), "vectors")
+        F.coalesce("component", "rep").alias("root"), "least"), "vectors")
+    facts = facts.drop("least").join(facts.groupBy("root").agg(F.min("least").alias("component_id")), "root").drop("root")
     joined = rows.join(facts, sound & (rows.embedding == facts.same), "left")
     return joined.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),

@@ -50,6 +50,16 @@ def test_against_brute_force(spark, block_rows):
     assert found(spark, vectors, block_rows=block_rows) == brute(vectors, 0.95)
 
 
+def test_different_vectors_of_one_id(spark):
+    few = [(1, [1.0, 0, 0]), (1, [0.0, 1, 0]), (2, [1.0, 0.01, 0])]
+    assert found(spark, few) == brute(few, 0.95) and (1, 0, 1, True) in found(spark, few)
+    random = np.random.default_rng(8)
+    centres = random.normal(size=(30, 12))
+    rows = centres[random.integers(0, 30, 150)] + random.normal(size=(150, 12)) * random.choice([0.0, 0.1, 0.2], (150, 1))
+    vectors = [(int(i) // 3, list(map(float, row))) for i, row in enumerate(rows)]
+    assert found(spark, vectors, block_rows=40) == brute(vectors, 0.95)
+
+
 def test_pruned_tiles_lose_nothing():
     random = np.random.default_rng(1)
     rows = random.normal(size=(3000, 64)) * np.linspace(2, 0.1, 64)
