@@ -34,6 +34,7 @@ from tabletop.llm.common import batches, stored
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 8 * 1024 * 1024
+MOST_TASKS = 100_000
 _CHUNK = 256 * 1024
 _STEP = 8 * 1024
 # Fixed values of the format.
@@ -192,12 +193,16 @@ def write(pages: DataFrame, folder: str, least: int = 0, date: str = "2024-01-01
 def read(spark: SparkSession, folder: str, archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Records of ``archives`` (``path``, ``bytes``): ``path``, ``place``, ``headers``, ``block``.
 
-    ``folder`` names the file system; the paths are those that ``write`` returns.
+    ``folder`` names the file system; the paths are those that ``write`` returns. There are as many tasks as ranges, up to
+    ``MOST_TASKS``; beyond that a task reads several ranges, one after another.
     """
     step = F.lit(range_bytes).cast("bigint")
     starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), step)
     ranges = archives.where("bytes > 0").select("path", "bytes", F.explode(starts).alias("start"))
-    ranges = ranges.repartition("path", "start")
+    # A stated number of partitions: adaptive execution would merge these short rows into one task, whatever they stand for.
+    count = F.ceil(F.col("bytes") / F.lit(range_bytes))
+    tasks = archives.where("bytes > 0").agg(F.sum(count)).first()[0] or 1
+    ranges = ranges.repartition(min(int(tasks), MOST_TASKS), "path", "start")
 
     def scan(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(folder)

@@ -7,6 +7,7 @@ import zlib
 import odd  # noqa: F401 - its folder is on the path
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from tabletop.llm import warc as W
 from tabletop.llm.queries import op6_warc
@@ -82,6 +83,9 @@ def test_small_ranges_on_spark(spark, small):
     records = W.read(spark, folder, archives, range_bytes=3000)
     places = records.select("path", "place").collect()
     assert len(places) == len(set(places)) == pages.count()
+    ranges = sum(-(-row["bytes"] // 3000) for row in archives.collect())
+    tasks = records.groupBy(F.spark_partition_id()).count().count()
+    assert ranges > 8 and tasks > ranges / 3
     system, base = fs.FileSystem.from_uri(folder)
     files = system.get_file_info(fs.FileSelector(base))
     assert sum(file.size for file in files) == archives.agg({"bytes": "sum"}).first()[0]
