@@ -27,6 +27,7 @@ SHARD_SLOTS = 1024
 WEIGHTS = (5, 2, 1)
 _ROWS_A_BUCKET = 2000
 _SLOTS_A_CHUNK = 4096
+_CHUNKS_A_TASK = 64
 # Primes from which the multiplier of a permutation is taken; at least one of them does not divide the number of blocks.
 _PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
 
@@ -36,11 +37,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns but maps and variants, which Spark cannot hash."""
+    kept = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.xxhash64(*[F.col(f"`{name}`") for name in kept])
+
+
 def measured(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """One row a document: ``doc_id``, ``source``, ``size`` in words and a hash of the text; the texts are read once."""
+    """One row a document: ``doc_id``, ``source``, ``size`` in words, hashes of the text and of the row; texts are read once."""
     return stored(docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-        F.xxhash64(F.col(text)).alias("text_hash")), "mix")
+        F.xxhash64(F.col(text)).alias("text_hash"), row_hash(docs).alias("row_hash")), "mix")
 
 
 def targets(sizes: DataFrame, share: float = 1.5, max_repeats: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -72,7 +79,7 @@ def positions(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """``sizes`` with what is known of the source, a row number ``row_no`` within bucket and the ``start`` in the stream."""
     buckets = max(1, sizes.count() // _ROWS_A_BUCKET)
     rows = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)))
-    within = Window.partitionBy("source", "bucket").orderBy("doc_id", "text_hash", "size")
+    within = Window.partitionBy("source", "bucket").orderBy("doc_id", "text_hash", "size", "row_hash")
     rows = rows.withColumns({
         "row_no": F.row_number().over(within),
         "start": F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"),
@@ -119,7 +126,10 @@ def slots(sources: DataFrame, seed: int = 7, block_words: int = BLOCK_WORDS, sha
     })
     chunk = F.lit(_SLOTS_A_CHUNK).cast("bigint")
     chunks = passes.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / chunk))).alias("chunk"))
-    chunks = chunks.repartition("source_no", "pass", "chunk")
+    # A stated number of partitions: small rows that grow in the next step would else be merged into one task.
+    words = sources.agg(F.sum("target")).first()[0] or 0
+    tasks = 1 + int(words / block_words / (_SLOTS_A_CHUNK * _CHUNKS_A_TASK))
+    chunks = chunks.repartition(tasks, "source_no", "pass", "chunk")
     last = F.least(F.col("slots"), (F.col("chunk") + 1) * chunk) - 1
     dealt = chunks.select("*", F.explode(F.sequence(F.col("chunk") * chunk, last)).alias("slot"))
     mapped = (F.col("factor").cast("decimal(19,0)") * F.col("slot") + F.col("shift")) % F.col("full")
@@ -168,19 +178,22 @@ def mixed_texts(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """The texts of the mix with the columns of ``docs``: one row for each pass in which a document is taken.
 
     A document that a pass takes in full keeps its text; of others the words taken are joined by blanks. Repeated rows are
-    taken each on its own, with the other columns of one of them.
+    taken each on its own. Rows of one id and text that differ in other columns (maps and variants aside) keep their own.
     """
-    parts = taken.where("words > 0").groupBy("doc_id", "text_hash", "size", "bucket", "row_no", "source_no", "pass").agg(
+    key = ["doc_id", "text_hash", "row_hash"]
+    parts = taken.where("words > 0").groupBy(*key, "size", "bucket", "row_no", "source_no", "pass").agg(
         F.sum("words").alias("_taken"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_parts"))
     parts = parts.select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), "_taken", "_parts")
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("row_hash").alias("_row"),
+        F.col("size").alias("_size"), "_taken", "_parts")
     # One shuffle of the texts, by one key, serves both the removal of repeated rows and the join.
-    parts = parts.withColumn("_key", F.xxhash64("_id", "_hash"))
-    unique = docs.withColumn("_text_hash", F.xxhash64("text")).withColumn("_row_key", F.xxhash64("doc_id", "_text_hash"))
-    unique = unique.repartition("_row_key").dropDuplicates(["_row_key", "doc_id", "_text_hash"])
+    parts = parts.withColumn("_key", F.xxhash64("_id", "_hash", "_row"))
+    unique = docs.withColumns({"_text_hash": F.xxhash64("text"), "_row_hash": row_hash(docs)})
+    unique = unique.withColumn("_row_key", F.xxhash64("doc_id", "_text_hash", "_row_hash"))
+    unique = unique.repartition("_row_key").dropDuplicates(["_row_key", "doc_id", "_text_hash", "_row_hash"])
     # Not as equalities: the join would ask for a shuffle by all of them.
     same = (unique._row_key == parts._key) & (unique._text_hash.bitwiseXOR(parts._hash) == 0)
-    same &= F.coalesce(F.try_subtract(unique.doc_id, parts._id), F.lit(0)) == 0
+    same &= (unique._row_hash.bitwiseXOR(parts._row) == 0) & (F.coalesce(F.try_subtract(unique.doc_id, parts._id), F.lit(0)) == 0)
     rows = unique.join(parts.hint("merge"), same)
     words = F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
     some = F.array_join(F.flatten(F.transform(

@@ -58,6 +58,29 @@ def test_odd_rows(spark):
     assert M.taken_words(M.mix(odd.nothing(spark))[1]).count() == 0
 
 
+def test_rows_of_one_id_and_text_keep_their_columns(spark):
+    """Also where one source is taken twice and rows are repeated as a whole."""
+    rows = [(1, "a b c", "x", "en"), (1, "a b c", "y", "de"), (1, "a b c", "y", "fr"), (2, "d e", "x", "en"), (2, "d e", "x", "en"),
+            (None, "f g h", "y", None), (3, None, "y", "en"), (4, "", None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    _, taken = M.mix(docs)
+    mixed = M.mixed_texts(docs, taken).collect()
+    assert mixed and {(r.doc_id, r.source, r.lang) for r in mixed} <= {(i, s, lang) for i, _, s, lang in rows}
+    by_source = {r.source: r.target for r in M.targets(M.measured(docs)).collect() if r.source}
+    for source, target in by_source.items():
+        assert abs(sum(len(r.text.split()) for r in mixed if r.source == source) - target) <= 0.5
+    again = M.mixed_texts(docs.repartition(5), M.mix(docs.repartition(3, "lang"))[1]).collect()
+    assert sorted(map(str, mixed)) == sorted(map(str, again))
+
+
+def test_slots_of_large_targets_are_dealt_to_tasks(spark):
+    sources = spark.createDataFrame(
+        [("a", 10**9, 2e9, 1), ("b", 10**9, 1e9, 2)], "source string, source_size bigint, target double, source_no bigint")
+    dealt = M.slots(sources)
+    each = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(row[1] for row in each) == 3 * 976_563 and len(each) >= 8
+
+
 def test_small_blocks_and_buckets(spark, monkeypatch):
     monkeypatch.setattr(M, "_ROWS_A_BUCKET", 7)
     monkeypatch.setattr(M, "_SLOTS_A_CHUNK", 5)
