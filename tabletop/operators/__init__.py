@@ -32,6 +32,7 @@ from tabletop.operators.snapshots import (
     write_snapshot,
     write_working,
 )
+from tabletop.operators.theta import theta_join
 from tabletop.operators.transcripts import assemble, last_messages, split_reply, token_rate
 from tabletop.operators.upserts import delete_keys, upsert
 
@@ -82,6 +83,7 @@ __all__ = [
     "sql",
     "table_columns",
     "table_sizes",
+    "theta_join",
     "token_rate",
     "total_storage",
     "upsert",

@@ -13,6 +13,7 @@ from tabletop.operators.query import execute, preview, preview_frame, rows_as_js
 from tabletop.operators.reach import reachable
 from tabletop.operators.selection import exact_percentiles
 from tabletop.operators.snapshots import read_snapshot, write_snapshot
+from tabletop.operators.theta import theta_join
 from tabletop.operators.transcripts import assemble, last_messages, split_reply, token_rate
 from tabletop.operators.upserts import delete_keys, upsert
 from tabletop.plans.register import registered
@@ -127,15 +128,15 @@ def definitions(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered(
     "q4_rows_as_json",
-    """SELECT TO_JSON({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus, 'o_totalprice': o_totalprice,
-                       'o_orderdate': CAST(o_orderdate AS VARCHAR),
+    """SELECT TO_JSON({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus, 'o_totalprice': o_totalprice,
+                       'o_orderdate': CAST(o_orderdate AS VARCHAR), 'o_orderpriority': o_orderpriority,
                        'urgent': NULLIF(o_orderpriority, '5-LOW')})::VARCHAR AS json
        FROM orders""",
 )
 def json_objects(spark: SparkSession, folder: str) -> DataFrame:
     urgent = F.nullif("o_orderpriority", F.lit("5-LOW")).alias("urgent")
     orders = table(spark, folder, "orders")
-    return rows_as_json(orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", urgent))
+    return rows_as_json(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", urgent))
 
 
 @registered(
@@ -158,6 +159,23 @@ def across_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered(
+    "d6_theta_rows",
+    """SELECT o_orderpriority, COUNT(*) AS pairs, COUNT(DISTINCT o_orderkey) AS orders, MAX(l_shipdate) AS last_shipped,
+              MAX(l_extendedprice - o_totalprice) AS most
+       FROM lineitem JOIN orders ON l_shipdate < o_orderdate - INTERVAL '6' YEAR AND l_extendedprice >= o_totalprice GROUP BY 1""",
+)
+def dearer_items_of_old(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw items shipped six years before an order and not cheaper than all of it, by the order's priority."""
+    items = table(spark, folder, "lineitem").select("l_shipdate", "l_extendedprice")
+    former = (F.col("o_orderdate") - F.expr("INTERVAL '6' YEAR")).alias("former")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", former)
+    met = theta_join(items, orders, ("l_shipdate", "<", "former"), ("l_extendedprice", ">=", "o_totalprice"))
+    return met.groupBy("o_orderpriority").agg(
+        F.count("*").alias("pairs"), F.countDistinct("o_orderkey").alias("orders"), F.max("l_shipdate").alias("last_shipped"),
+        F.max(F.col("l_extendedprice") - F.col("o_totalprice")).alias("most"))
+
+
 @registered(
     "d7_range_join",
     """WITH sale AS (SELECT DATE_TRUNC('month', o_orderdate) AS month, MIN(o_orderdate) AS opens,
