@@ -44,12 +44,14 @@ def new_database(spark: SparkSession) -> str:
 
 @registered(
     "s4_read_documents",
-    """SELECT event_id, CAST(JSON_EXTRACT(props, '$.k') AS BIGINT) AS k, event_type, user_id FROM events""",
+    """SELECT event_id, ts, value, CAST(JSON_EXTRACT(props, '$.k') AS BIGINT) AS k, props, event_type, user_id FROM events""",
 )
 def documents_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = working_folder(spark, "documents")
     events = table(spark, folder, "events")
-    body = F.to_json(F.struct("event_id", "user_id", "event_type", F.from_json("props", "k BIGINT").alias("props")))
+    # Every column, and props twice: as an object and as the text it was.
+    ts, parsed = F.col("ts").cast("string").alias("ts"), F.parse_json("props").alias("props")
+    body = F.to_json(F.struct("event_id", "user_id", "event_type", ts, "value", parsed, F.col("props").alias("text")))
     events.select(body.alias("value")).write.text(path)
     docs = read_documents(spark, path)
 
@@ -58,7 +60,10 @@ def documents_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
     return docs.select(
         field("$.event_id", "bigint").alias("event_id"),
+        field("$.ts", "string").cast(events.schema["ts"].dataType).alias("ts"),
+        field("$.value", "double").alias("value"),
         field("$.props.k", "bigint").alias("k"),
+        field("$.text", "string").alias("props"),
         field("$.event_type", "string").alias("event_type"),
         field("$.user_id", "bigint").alias("user_id"),
     )
@@ -206,13 +211,15 @@ def loaded_file(spark: SparkSession, folder: str) -> DataFrame:
 @registered(
     "p6_collection_profile",
     """SELECT 'events' AS "table", COUNT(*) AS row_count, CAST(MIN(event_id) AS VARCHAR) AS first_pk,
-              CAST(MAX(event_id) AS VARCHAR) AS last_pk, '_id:int,event_type:str,props:dict,user_id:int' AS fields,
+              CAST(MAX(event_id) AS VARCHAR) AS last_pk, '_id:int,event_type:str,props:dict,ts:str,user_id:int,value:float' AS fields,
               '_id' AS primary_key FROM events""",
 )
 def collection_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Events as exported documents."""
     path = working_folder(spark, "documents")
-    body = F.struct(F.col("event_id").alias("_id"), "user_id", "event_type", F.from_json("props", "k BIGINT").alias("props"))
+    body = F.struct(
+        F.col("event_id").alias("_id"), F.col("ts").cast("string").alias("ts"), "user_id", "event_type", "value",
+        F.parse_json("props").alias("props"))
     table(spark, folder, "events").select(F.to_json(body).alias("value")).write.text(path)
     profile = profile_collections({"events": read_documents(spark, path)})
     entries = F.transform("columns", lambda name: F.concat(name, F.lit(":"), F.element_at("column_types", name)))
@@ -223,7 +230,7 @@ def collection_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered(
     "s10_export_csv",
-    """SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, props,
+    """SELECT CAST(event_id AS VARCHAR) AS event_id, ts, CAST(user_id AS VARCHAR) AS user_id, event_type, value, props,
               CASE WHEN value > 10 THEN 'True' ELSE 'False' END AS is_high,
               NULLIF(event_type, 'view') AS other_type FROM events""",
 )
@@ -232,13 +239,16 @@ def csv_export(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     is_high = (F.col("value") > 10).alias("is_high")
     other = F.nullif("event_type", F.lit("view")).alias("other_type")
-    export_csv(events.select("event_id", "user_id", "event_type", "props", is_high, other), path)
-    return read_csv(spark, path)
+    export_csv(events.select("event_id", "ts", "user_id", "event_type", "value", "props", is_high, other), path)
+    # What is read back is text; moments and floats must be the same ones.
+    back = read_csv(spark, path)
+    return back.withColumns({name: F.col(name).cast(events.schema[name].dataType) for name in ("ts", "value")})
 
 
 @registered(
     "s11_export_json",
-    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, CAST(o_orderdate AS VARCHAR) AS o_orderdate,
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_totalprice,
+              CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority,
               CASE WHEN o_totalprice > 100000 THEN 'true' ELSE 'false' END AS is_large,
               NULLIF(o_orderpriority, '5-LOW') AS priority FROM orders""",
 )
@@ -247,8 +257,8 @@ def json_export(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     large = (F.col("o_totalprice") > 100000).alias("is_large")
     priority = F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority")
-    export_json(orders.select("o_orderkey", "o_orderstatus", "o_orderdate", large, priority), path)
-    return read_export(spark, path)
+    export_json(orders.select("*", large, priority), path)
+    return read_export(spark, path).withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
 
 
 @registered(
