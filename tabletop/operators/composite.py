@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletop.operators.keys import Found, _estimate, _family, _orderable, discover_references
+from tabletop.session import working_folder
 
 # Sketches of 2^14 registers have a standard error of about 0.8 percent; a candidate falls only many errors below the row count.
 _REGISTERS, _SHARE = 14, 0.9
 # One value combination in so many is looked at: repeated ones among them rule a candidate out before all rows are.
-_SHARES = (64, 8, 1)
+_SHARES = (64, 1)
+# Combinations that repeat in at most this part of the rows are worth it to look for wider keys in those rows only.
+_BASE_SHARE = 0.1
 # So many digests of a row are made in one pass over a table.
 _DIGESTS_A_PASS = 24
 
@@ -34,30 +37,154 @@ def _canonical(df: DataFrame, column: str) -> Column:
     return value.cast("bigint") if family == "integer" else value.cast("string")
 
 
-def _with_repeats(tables: Mapping[str, DataFrame], candidates: Found, share: int) -> set[tuple[str, Columns]]:
-    """Candidates of which two rows agree, looking at one combination of values in ``share``; all tables in one job.
+def _hashed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Two hashes of every column, named by its place: what digests of combinations are made of, so that a long text is read once a row."""
+    found = []
+    for i, column in enumerate(columns):
+        found += [F.xxhash64(f"`{column}`").alias(f"a{i}"), F.xxhash64(F.lit("second"), f"`{column}`").alias(f"b{i}")]
+    return df.select(*found)
+
+
+def _combined(columns: Sequence[str], some: Columns) -> tuple[Column, Column]:
+    """128 bits ``a`` and ``b`` of a combination, from rows of ``_hashed``."""
+    places = [list(columns).index(column) for column in some]
+    return F.xxhash64(*[f"a{i}" for i in places]).alias("a"), F.xxhash64(F.lit("second"), *[f"b{i}" for i in places]).alias("b")
+
+
+def _repeats(parts: Sequence[tuple[DataFrame, Sequence[str], Mapping[int, Columns], int]]) -> DataFrame | None:
+    """``candidate``, ``a``, ``b``, ``count`` of each digest that two rows of a part share, all parts in one job.
 
-    Each table is read once for some of its candidates at a time. What crosses the network is a digest for each looked-at row and candidate,
-    summed up in every task before, so that a combination that fills a third of the table is one row a task.
+    A part has hashed rows, the columns they stand for, numbered combinations, and in how many values one is looked at; it is read once
+    for some combinations at a time. What crosses the network is a digest for each looked-at row and combination, summed up in every
+    task before, so that one that fills a third of the table is one row a task.
     """
-    numbered = [(name, columns) for name, some in candidates.items() for columns in some]
-    if not numbered:
-        return set()
-    numbers = {key: i for i, key in enumerate(numbered)}
+    def entry(columns: Sequence[str], i: int, some: Columns, share: int) -> Column:
+        a, b = _combined(columns, some)
+        found = F.struct(F.lit(i).alias("candidate"), a, b)
+        return found if share == 1 else F.when(F.pmod(a, F.lit(share)) == 0, found)
+
+    listed = []
+    for rows, columns, numbered, share in parts:
+        numbers = sorted(numbered)
+        for start in range(0, len(numbers), _DIGESTS_A_PASS):
+            entries = [entry(columns, i, numbered[i], share) for i in numbers[start:start + _DIGESTS_A_PASS]]
+            listed.append(rows.select(F.inline(F.array(*entries))).where("candidate is not null"))
+    if not listed:
+        return None
+    return reduce(DataFrame.union, listed).groupBy("candidate", "a", "b").count().where("count > 1")
+
+
+def _repeated_rows(repeats: DataFrame | None) -> dict[int, int]:
+    """Number of rows that share a digest with another, by number of the combination; none for those without."""
+    if repeats is None:
+        return {}
+    return {row["candidate"]: row["n"] for row in repeats.groupBy("candidate").agg(F.sum("count").alias("n")).collect()}
+
+
+class _Lattice:
+    """Tables under search for minimal keys: which combinations are known to repeat, and in how many rows."""
+
+    def __init__(self, tables: Mapping[str, DataFrame], columns: Found, distinct: Mapping[tuple[str, str], int], totals: Mapping[str, int]):
+        self.columns, self.distinct, self.totals = columns, distinct, totals
+        self.tables = tables
+        self.hashed = {name: _hashed(tables[name], some) for name, some in columns.items() if some}
+        # Rows that repeat a combination: estimated ones, and exact ones with the folder that holds the repeated digests.
+        self.estimated: dict[tuple[str, Columns], int] = {}
+        self.exact: dict[tuple[str, Columns], tuple[int, str]] = {}
+
+    def _sampled_by(self, name: str, some: Columns, share: int) -> str | None:
+        """The column of most values, if a part of its values is an even part of the table."""
+        column = max(some, key=lambda column: (self.distinct[name, column], column))
+        return column if self.distinct[name, column] >= share * share else None
+
+    def sample(self, likely: Found, share: int) -> Found:
+        """``likely`` without what repeats among one in ``share`` of the values of a column of its own, or of its own values.
+
+        Equal rows are all in or all out either way; by a column, rows are left out before anything is made of them.
+        """
+        numbered = [(name, some) for name, wanted in likely.items() for some in wanted]
+        groups: dict[tuple[str, str | None], dict[int, Columns]] = {}
+        for i, (name, some) in enumerate(numbered):
+            groups.setdefault((name, self._sampled_by(name, some, share)), {})[i] = some
+        parts = []
+        for (name, column), some in groups.items():
+            if column is None:
+                parts.append((self.hashed[name], self.columns[name], some, share))
+            else:
+                rows = self.tables[name].where(F.pmod(F.xxhash64(f"`{column}`"), F.lit(share)) == 0)
+                parts.append((_hashed(rows, self.columns[name]), self.columns[name], some, 1))
+        seen = {numbered[i]: n * share for i, n in _repeated_rows(_repeats(parts)).items()}
+        self.estimated.update(seen)
+        return _without(likely, seen)
+
+    def _whole(self, wanted: Sequence[tuple[str, Columns]]) -> None:
+        """Checks combinations on all rows; of those that repeat, the repeated digests are kept."""
+        if not wanted:
+            return
+        parts = [
+            (self.hashed[name], self.columns[name], {i: some for i, (table, some) in enumerate(wanted) if table == name}, 1)
+            for name in dict.fromkeys(name for name, _ in wanted)
+        ]
+        spark = parts[0][0].sparkSession
+        folder = working_folder(spark, "repeats")
+        _repeats(parts).write.partitionBy("candidate").parquet(folder)
+        stored = spark.read.schema("a bigint, b bigint, count bigint, candidate int").parquet(folder)
+        for i, n in _repeated_rows(stored).items():
+            self.exact[wanted[i]] = n, f"{folder}/candidate={i}"
+
+    def _base(self, name: str, some: Columns) -> Columns | None:
+        """The part of ``some`` that repeats in the fewest rows, of those checked on all rows."""
+        known = [part for width in range(1, len(some)) for part in combinations(some, width)
+                 if (name, part) in self.exact and self.exact[name, part][0] <= _BASE_SHARE * self.totals[name]]
+        return min(known, key=lambda part: (self.exact[name, part][0], part), default=None)
+
+    def _worth_checking(self, name: str, wanted: Sequence[Columns]) -> list[Columns]:
+        """Combinations to check on all rows so that each of ``wanted`` is one or has a part among them that repeats in few rows."""
+        few = _BASE_SHARE * self.totals[name]
+        left, chosen = set(wanted), []
+        held: dict[Columns, set[Columns]] = {}
+        for some in wanted:
+            for width in range(1, len(some)):
+                for part in combinations(some, width):
+                    if self.estimated.get((name, part), few + 1) <= few and (name, part) not in self.exact:
+                        held.setdefault(part, set()).add(some)
+        while held:
+            part = max(sorted(held), key=lambda part: (len(held[part] & left), -self.estimated[name, part]))
+            if len(held[part] & left) < 2:
+                break
+            chosen.append(part)
+            left -= held.pop(part)
+        return chosen + sorted(left)
 
-    def entry(name: str, columns: Columns) -> Column:
-        values = [F.col(f"`{column}`") for column in columns]
-        found = F.struct(F.lit(numbers[name, columns]).alias("candidate"), *_digest(values))
-        return found if share == 1 else F.when(F.pmod(F.xxhash64(*values), F.lit(share)) == 0, found)
+    def keys(self, likely: Found) -> Found:
+        """Those of ``likely`` of which no two rows agree, each told on all rows that may.
 
-    def digests(name: str, some: list[Columns]) -> DataFrame:
-        return tables[name].select(F.inline(F.array(*[entry(name, columns) for columns in some]))).where("candidate is not null")
+        Rows that agree on a combination agree on all parts of it. So once the repeated rows of a part are known, only these can
+        repeat the whole, and they are few: one check of all rows serves all combinations with that part.
+        """
+        wanted = {name: [some for some in found if not self._base(name, some)] for name, found in likely.items()}
+        whole = [(name, some) for name, found in wanted.items() for some in self._worth_checking(name, found)]
+        self._whole(whole)
+        checked, parts = set(whole), {}
+        rest = [(name, some) for name, found in likely.items() for some in found if (name, some) not in checked]
+        direct = []
+        for i, (name, some) in enumerate(rest):
+            if base := self._base(name, some):
+                parts.setdefault((name, base), {})[i] = some
+            else:
+                direct.append((name, some))
+        self._whole(direct)
+        found = _repeated_rows(_repeats([
+            (self._rows_of(name, base), self.columns[name], some, 1) for (name, base), some in parts.items()]))
+        gone = set(self.exact) | {rest[i] for i in found}
+        return _without(likely, gone)
 
-    rows = reduce(DataFrame.union, [
-        digests(name, some[start:start + _DIGESTS_A_PASS])
-        for name, some in candidates.items() for start in range(0, len(some), _DIGESTS_A_PASS)])
-    repeated = rows.groupBy("candidate", "a", "b").count().where("count > 1").select("candidate").distinct()
-    return {numbered[row["candidate"]] for row in repeated.collect()}
+    def _rows_of(self, name: str, base: Columns) -> DataFrame:
+        """Hashed rows of a table that repeat a combination."""
+        rows = self.hashed[name]
+        a, b = _combined(self.columns[name], base)
+        repeated = rows.sparkSession.read.schema("a bigint, b bigint").parquet(self.exact[name, base][1])
+        return rows.withColumns({"a": a, "b": b}).join(repeated, ["a", "b"], "left_semi")
 
 
 def _without(candidates: Found, gone: Iterable[tuple[str, Columns]]) -> Found:
@@ -70,8 +197,8 @@ def minimal_keys(tables: Mapping[str, DataFrame], max_width: int = 4) -> Found:
 
     The lattice of combinations is searched by width. A candidate is made of combinations that are no keys, never of one that holds
     a key. It is ruled out if the distinct values of its columns, estimated by sketches, cannot suffice, or if two rows of a part
-    of its values agree; the rest is checked on all rows, by digests of 128 bits. Each step is one job for all tables; the driver
-    sees some numbers per column and the candidates that are ruled out.
+    of its values agree. Of the rest, a few parts that nearly are keys are checked on all rows, by digests of 128 bits; what holds such
+    a part is checked on the rows that repeat it, as no others can agree. The driver sees some numbers per column and candidate.
     Columns with nulls and those that have no order are in no key; a table without rows has none.
     """
     if max_width < 1:
@@ -93,13 +220,14 @@ def minimal_keys(tables: Mapping[str, DataFrame], max_width: int = 4) -> Found:
     }
     columns = {name: [column for column in names[name] if (name, column) in distinct] for name in facts}
     candidates: Found = {name: [(column,) for column in some] for name, some in columns.items()}
+    lattice = _Lattice(tables, columns, distinct, {name: row["total"] for name, row in facts.items()})
     for width in range(1, max_width + 1):
         likely = {
             name: [some for some in wanted if prod(distinct[name, c] for c in some) >= _SHARE * facts[name]["total"]]
             for name, wanted in candidates.items()
         }
         for share in _SHARES:
-            likely = _without(likely, _with_repeats(tables, likely, share))
+            likely = lattice.sample(likely, share) if share > 1 else lattice.keys(likely)
         for name, some in likely.items():
             found[name] += some
         candidates = {

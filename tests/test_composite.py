@@ -60,6 +60,17 @@ def test_parts_of_keys_and_columns_without_order(spark, monkeypatch):
     assert minimal_keys(frames) == expected
 
 
+def test_what_nearly_is_a_key_meets_on_all_rows_once(spark, monkeypatch):
+    """Wider combinations are told on the rows that repeat a part of them."""
+    again = F.col("id") >= 19500
+    df = spark.range(20000).select((F.col("id") % 19500).alias("a"), *[
+        F.when(~again | (F.floor(F.col("id") % 19500 / 2) == i), 0).otherwise(1).alias(f"b{i}") for i in range(5)])
+    checked, whole = [], composite._Lattice._whole
+    monkeypatch.setattr(composite._Lattice, "_whole", lambda self, wanted: (checked.extend(wanted), whole(self, wanted))[1])
+    assert minimal_keys({"t": df}) == {"t": [("a", f"b{i}", f"b{j}") for i in range(5) for j in range(i + 1, 5)]}
+    assert checked == [("t", ("a",))]
+
+
 def brute_references(data, keys):
     found = []
     for child, (names, rows) in data.items():
