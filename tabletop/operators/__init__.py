@@ -1,4 +1,5 @@
 from tabletop.operators.collections import profile_collections
+from tabletop.operators.dominance import overlap_counts, theta_sums
 from tabletop.operators.export import export_csv, export_json, json_rows, read_export
 from tabletop.operators.fields import field_types
 from tabletop.operators.joins import asof_join, range_join
@@ -65,6 +66,7 @@ __all__ = [
     "load_file",
     "load_into",
     "minimal_keys",
+    "overlap_counts",
     "overlap_join",
     "preview",
     "preview_frame",
@@ -84,6 +86,7 @@ __all__ = [
     "table_columns",
     "table_sizes",
     "theta_join",
+    "theta_sums",
     "token_rate",
     "total_storage",
     "upsert",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 _HOLDS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 _ACCURACY = 10_000
+Inequality = tuple[str, str, str]
 # Nodes of one level are told from those of the next by this distance.
 _LEVEL = 1 << 32
 
@@ -37,26 +38,17 @@ def theta_join(
     clashing = {c.lower() for c in left.columns} & {c.lower() for c in right.columns}
     if clashing:
         raise ValueError(f"both sides have columns named {', '.join(sorted(clashing))}; rename those of one side")
-    for _, sign, _ in (first, second):
-        if sign not in _HOLDS:
-            raise ValueError(f"not an inequality: {sign!r}")
     conditions = [first, second]
-    left = left.where(" AND ".join(f"`{mine}` IS NOT NULL" for mine, _, _ in conditions))
-    right = right.where(" AND ".join(f"`{other}` IS NOT NULL" for _, _, other in conditions))
-    facts = [_facts(left, [mine for mine, _, _ in conditions], ranges // 2),
-             _facts(right, [other for _, _, other in conditions], ranges // 2)]
-    if None in facts:
+    cuts: list = []
+    sides = bounded(left, right, first, second, ranges // 2, cuts)
+    if sides is None:
         return left.limit(0).join(right.limit(0), F.lit(True), "cross")
-    for place, (mine, sign, other) in enumerate(conditions):
-        (left_least, left_most, _), (right_least, right_most, _) = facts[0][place], facts[1][place]
-        limit, other_limit = (right_most, left_least) if sign[0] == "<" else (right_least, left_most)
-        left = left.where(_HOLDS[sign](F.col(f"`{mine}`"), F.lit(limit)))
-        right = right.where(_HOLDS[sign](F.lit(other_limit), F.col(f"`{other}`")))
+    left, right = sides
     # Ranges are told before anything is listed, once a row.
     levels = []
     for place, (mine, _, other) in enumerate(conditions):
         # NaN is no border: what is not told apart by borders is compared.
-        borders = sorted({b for side in (0, 1) for b in facts[side][place][2] if b == b})
+        borders = sorted({b for side in (0, 1) for b in cuts[side][place][2] if b == b})
         levels.append(max(1, (2 * len(borders)).bit_length()))
         left = left.withColumn(f"_left_{place}", _range(F.col(f"`{mine}`"), borders))
         right = right.withColumn(f"_right_{place}", _range(F.col(f"`{other}`"), borders))
@@ -70,6 +62,31 @@ def theta_join(
     return left.join(right.hint("merge"), meets).drop("_left_0", "_left_1", "_right_0", "_right_1")
 
 
+def bounded(
+    left: DataFrame, right: DataFrame, first: Inequality, second: Inequality, cuts: int = 0, facts: list | None = None,
+) -> tuple[DataFrame, DataFrame] | None:
+    """Both sides without the rows that match nothing by the bounds of the other side; None if one has no rows. ``facts`` gets what
+    was found out about both."""
+    for _, sign, _ in (first, second):
+        if sign not in _HOLDS:
+            raise ValueError(f"not an inequality: {sign!r}")
+    conditions = [first, second]
+    left = left.where(" AND ".join(f"`{mine}` IS NOT NULL" for mine, _, _ in conditions))
+    right = right.where(" AND ".join(f"`{other}` IS NOT NULL" for _, _, other in conditions))
+    found = [_facts(left, [mine for mine, _, _ in conditions], cuts),
+             _facts(right, [other for _, _, other in conditions], cuts)]
+    if None in found:
+        return None
+    for place, (mine, sign, other) in enumerate(conditions):
+        (left_least, left_most, _), (right_least, right_most, _) = found[0][place], found[1][place]
+        limit, other_limit = (right_most, left_least) if sign[0] == "<" else (right_least, left_most)
+        left = left.where(_HOLDS[sign](F.col(f"`{mine}`"), F.lit(limit)))
+        right = right.where(_HOLDS[sign](F.lit(other_limit), F.col(f"`{other}`")))
+    if facts is not None:
+        facts += found
+    return left, right
+
+
 def _facts(df: DataFrame, columns: list[str], cuts: int) -> list[tuple] | None:
     """Least and greatest value and quantiles of each of ``columns``; None if there are no rows."""
     fractions = [i / (cuts + 1) for i in range(1, cuts + 1)] or [0.5]

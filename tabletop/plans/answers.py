@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabletop.operators.dominance import overlap_counts, theta_sums
 from tabletop.operators.export import export_csv
 from tabletop.operators.joins import asof_join, range_join
 from tabletop.operators.ordered import group_sample, with_global_ranks
@@ -13,7 +14,6 @@ from tabletop.operators.query import execute, preview, preview_frame, rows_as_js
 from tabletop.operators.reach import reachable
 from tabletop.operators.selection import exact_percentiles
 from tabletop.operators.snapshots import read_snapshot, write_snapshot
-from tabletop.operators.theta import theta_join
 from tabletop.operators.transcripts import assemble, last_messages, split_reply, token_rate
 from tabletop.operators.upserts import delete_keys, upsert
 from tabletop.plans.register import registered
