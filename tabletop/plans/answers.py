@@ -170,10 +170,12 @@ def dearer_items_of_old(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "lineitem").select("l_shipdate", "l_extendedprice")
     former = (F.col("o_orderdate") - F.expr("INTERVAL '6' YEAR")).alias("former")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", former)
-    met = theta_join(items, orders, ("l_shipdate", "<", "former"), ("l_extendedprice", ">=", "o_totalprice"))
+    met = theta_sums(
+        items, orders, ("l_shipdate", "<", "former"), ("l_extendedprice", ">=", "o_totalprice"), ["l_shipdate", "l_extendedprice"])
+    # The greatest difference of an order is that with its dearest item.
     return met.groupBy("o_orderpriority").agg(
-        F.count("*").alias("pairs"), F.countDistinct("o_orderkey").alias("orders"), F.max("l_shipdate").alias("last_shipped"),
-        F.max(F.col("l_extendedprice") - F.col("o_totalprice")).alias("most"))
+        F.sum("matches").alias("pairs"), F.countDistinct("o_orderkey").alias("orders"), F.max("most_l_shipdate").alias("last_shipped"),
+        F.max(F.col("most_l_extendedprice") - F.col("o_totalprice")).alias("most"))
 
 
 @registered(
@@ -223,8 +225,8 @@ def parts_in_reach(spark: SparkSession, folder: str) -> DataFrame:
     """Ranges of prices that meet ranges of balances: intervals of numbers on both sides."""
     parts = table(spark, folder, "part").select("p_brand", "p_retailprice", (F.col("p_retailprice") + F.col("p_size")).alias("p_most"))
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_acctbal") + 2000).alias("s_most"))
-    met = overlap_join(parts, suppliers, ("p_retailprice", "p_most"), ("s_acctbal", "s_most"), 100)
-    return met.groupBy("p_brand").agg(F.count("*").alias("pairs"), F.countDistinct("s_suppkey").alias("suppliers"))
+    met = overlap_counts(parts, suppliers, ("p_retailprice", "p_most"), ("s_acctbal", "s_most"), "p_brand")
+    return met.groupBy("p_brand").agg(F.sum("matches").alias("pairs"), F.countDistinct("s_suppkey").alias("suppliers"))
 
 
 @registered(
