@@ -208,7 +208,9 @@ def orders_under_way_together(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of orders of one customer that are shipped in overlapping spans of days, for each customer."""
     spans = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.min("l_shipdate").alias("opens"), (F.max("l_shipdate") + F.expr("INTERVAL '1' DAY")).alias("closes"))
-    held = spans.join(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    path = working_folder(spark, "spans")
+    spans.join(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").write.parquet(path)
+    held = spark.read.parquet(path)
     other = held.select([F.col(name).alias(f"other_{name}") for name in held.columns])
     met = overlap_join(held, other, ("opens", "closes"), ("other_opens", "other_closes"), 30 * 86400, [("o_custkey", "other_o_custkey")])
     met = met.where("o_orderkey < other_o_orderkey")

@@ -50,3 +50,14 @@ def test_times(spark):
         overlap_join(p, q.withColumnRenamed("q", "P"), ("a", "b"), ("c", "d"))
     with pytest.raises(ValueError, match="grain"):
         overlap_join(p, q, ("a", "b"), ("c", "d"), 0)
+
+
+def test_short_intervals_do_not_meet_on_levels_of_long_ones(spark):
+    """One interval over everything on both sides: 40,000 short ones each would make 1.6 billion pairs there, of which none is one."""
+    n = 40_000
+    p = spark.range(n).selectExpr("id AS p", "IF(id = 0, 0, id * 3) * 1D AS a", "IF(id = 0, 3 * 40000, id * 3 + 2) * 1D AS b")
+    q = spark.range(n).selectExpr("id AS q", "IF(id = 0, 0, id * 3 + 1) * 1D AS c", "IF(id = 0, 3 * 40000, id * 3 + 2) * 1D AS d")
+    found = overlap_join(p, q, ("a", "b"), ("c", "d"), 1)
+    assert found.count() == 3 * (n - 1) + 1
+    keys = next(line for line in plan_of(found).splitlines() if "Join" in line)
+    assert "_lshort" in keys
