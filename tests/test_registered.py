@@ -43,3 +43,9 @@ def test_filters_and_columns_reach_the_files(spark, small):
 @pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith("d") and n != "d6_cross_join"])
 def test_no_cartesian_product(spark, small, name):
     assert "CartesianProduct" not in plan_of(QUERIES[name](spark, small))
+
+
+def test_no_key_carries_a_sketch(spark, small):
+    """A sketch beside an exact count in one aggregation would be held once for every different key."""
+    for line in plan_of(QUERIES["d11_approximate_distinct"](spark, small)).splitlines():
+        assert not ("approx_count_distinct" in line and "l_orderkey" in line.partition("keys=[")[2].partition("]")[0]), line
