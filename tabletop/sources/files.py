@@ -92,17 +92,13 @@ def _first_seen_order(lines: DataFrame) -> list[str]:
 
     ``lines`` has the JSON text in ``value``; only the keys, as many as there are columns, reach the driver.
     """
-    placed = lines.select(
-        "value",
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        ).alias("place"),
-    )
-    objects = placed.select("place", F.explode(_json_objects("value")).alias("value"))
-    keys = objects.select("place", F.posexplode(F.json_object_keys("value")).alias("pos", "key"))
-    first = keys.groupBy("key").agg(F.min(F.struct("place", "pos")).alias("first"))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    placed = lines.select("value", *place, F.monotonically_increasing_id().alias("line"))
+    objects = placed.select("file", "block", "line", F.explode(_json_objects("value")).alias("value"))
+    keys = objects.select("file", "block", "line", F.posexplode(F.json_object_keys("value")).alias("pos", "key"))
+    # The least of a number is found without sorting; the rows that are left are few.
+    least = keys.groupBy("key", "file", "block", "pos").agg(F.min("line").alias("line"))
+    first = least.groupBy("key").agg(F.min(F.struct("file", "block", "line", "pos")).alias("first"))
     return [row["key"] for row in first.orderBy("first").select("key").collect()]
 
 
@@ -141,10 +137,13 @@ def _layouts(spark: SparkSession, path: str | list[str], encoding: str) -> tuple
         return F.when(F.try_variant_get(alone, "$[1]", "variant").isNull(), F.try_variant_get(alone, "$[0]", "variant"))
 
     lines = spark.read.text(path).where(F.trim("value") != "")
-    lines = lines.select("_metadata.file_path", "value", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
-    first = lines.groupBy("file_path").agg(F.min_by("value", F.struct("file_block_start", "line")).alias("value"))
     is_object = F.ltrim("value").startswith("{") & one_value(F.col("value")).isNotNull()
-    shapes = {_plain(row[0]): row[1] for row in first.select("file_path", is_object).collect()}
+    # Place and answer in one number, the least of which is found without sorting; lines of a block are in one task.
+    told = F.monotonically_increasing_id() * 2 + F.when(is_object, 1).otherwise(0)
+    lines = lines.select("_metadata.file_path", "_metadata.file_block_start", told.alias("told"))
+    blocks = lines.groupBy("file_path", "file_block_start").agg(F.min("told").alias("told"))
+    first = blocks.groupBy("file_path").agg((F.min_by("told", "file_block_start") % 2 == 1).alias("by_line"))
+    shapes = {_plain(row[0]): row[1] for row in first.collect()}
     wholes = [name for name, by_line in shapes.items() if not by_line]
     columns: list[str] = []
     if wholes:

@@ -3,7 +3,7 @@ import random
 from decimal import Decimal
 
 import pytest
-from conftest import values
+from conftest import plan_of, values
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from workbook_files import write_workbook
@@ -11,6 +11,7 @@ from workbook_files import write_workbook
 from tabletop.functions.text import clean_names
 from tabletop.operators.export import export_csv, export_json, read_export
 from tabletop.operators.load import load_into
+from tabletop.plans import registry
 from tabletop.plans.transfer import new_database
 from tabletop.sources import jdbc
 from tabletop.sources.documents import read_documents
@@ -299,3 +300,28 @@ def test_jdbc_ranges_cover_every_row_once(spark):
     assert hits == [3, 1, 2]
     assert jdbc.range_predicates(PG, "k", [5]) == ["1 = 1"]
     assert jdbc.range_predicates(PG, "d", [datetime.date(2024, 1, 1), datetime.date(2025, 1, 1)])[1] == "\"d\" >= '2025-01-01'"
+
+
+def test_lines_are_not_sorted_to_tell_layouts(spark, tmp_path, monkeypatch):
+    """What each task keeps of the lines it reads is a number for each file and key."""
+    spark.range(300).selectExpr("to_json(struct(id, id % 7 AS `b b`)) AS value").write.text(f"{tmp_path}/lines")
+    spark.range(1).selectExpr("'[{\"c\": 1},\\n {\"id\": 5}]' AS value").write.text(f"{tmp_path}/array")
+    kind = type(spark.range(1))
+    plans, collect = [], kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: (plans.append(plan_of(self)), collect(self))[1])
+    found = read_json(spark, [f"{tmp_path}/lines", f"{tmp_path}/array"])
+    monkeypatch.undo()
+    assert sorted(found.columns) == ["b_b", "c", "id"] and found.count() == 302
+    deepest = [[line for line in plan.splitlines() if "Aggregate(" in line][-1] for plan in plans if "Aggregate(" in plan]
+    assert len(deepest) == 3 and all("HashAggregate(" in line and "Object" not in line for line in deepest), deepest
+
+
+def test_arrays_are_as_many_as_the_rows_ask_for(spark, tmp_path):
+    spark.range(120_000).selectExpr(
+        "id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "1.5D AS o_totalprice", "TIMESTAMP_NTZ '2000-01-01' AS o_orderdate",
+        "'5-LOW' AS o_orderpriority").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    found = registry.queries()["s6_read_json"](spark, str(tmp_path))
+    assert found.count() == 120_000 and found.select("order_key").distinct().count() == 120_000
+    arrays = spark.read.text([path for path in found.inputFiles() if "/arrays/" in path])
+    sizes = [row["count"] for row in arrays.groupBy("_metadata.file_path").count().collect()]
+    assert len(sizes) > 4 and max(sizes) <= 8192 + 2
