@@ -298,10 +298,10 @@ def ingested_json(spark: SparkSession, folder: str) -> DataFrame:
     some = events.where("event_id % 3 = 0").select(line.alias("value"))
     some.write.mode("append").text(inbox)
     ingest_incremental(spark, inbox, f"{database}.events", notes, file_format="json")
-    # One array for each thousand ids, every array a file.
-    others = events.where("event_id % 3 <> 0").groupBy(F.floor(F.col("event_id") / 1000).alias("part")).agg(F.collect_list(line).alias("lines"))
-    arrays = others.select(F.concat(F.lit("["), F.array_join("lines", ",\n"), F.lit("]")).alias("value"), F.col("part"))
-    arrays.write.mode("append").option("maxRecordsPerFile", 1).partitionBy("part").text(f"{inbox}-arrays")
+    # One array for each ten thousand ids, every array a file.
+    others = events.where("event_id % 3 <> 0").groupBy(F.floor(F.col("event_id") / 10_000).alias("part")).agg(F.collect_list(line).alias("lines"))
+    arrays = others.select(F.concat(F.lit("["), F.array_join("lines", ",\n"), F.lit("]")).alias("value"))
+    arrays.write.mode("append").option("maxRecordsPerFile", 1).text(f"{inbox}-arrays")
     return ingest_incremental(spark, f"{inbox}-arrays", f"{database}.events", f"{notes}-arrays", file_format="json")
 
 

@@ -1,4 +1,5 @@
 import datetime
+from pathlib import Path
 
 import pytest
 from conftest import values
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabletop.operators.load import load_into
 from tabletop.operators.state import add_state, column_state, described, read_state
+from tabletop.plans import registry
 from tabletop.plans.transfer import new_database
 from tabletop.session import shared_folder, working_folder
 from tabletop.streaming import ingest_incremental
@@ -125,3 +127,15 @@ def test_state_of_nothing_and_of_nested_columns(spark, tmp_path):
     some = spark.createDataFrame([(1, [1], {"a": 1}, True), (None, [2], None, None)], df.schema)
     row = {r.column: r for r in described(column_state(some), df.schema).collect()}
     assert row["list"].distinct == 2 and row["pairs"].null_count == 1 and row["flag"].high == "true" and row["id"].quantiles == [1.0] * 3
+
+
+def test_arrays_of_ten_thousand_ids(spark, tmp_path):
+    """Files cost more than rows: ids that go far make few of them, all in one folder."""
+    spark.range(30_000).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ '2000-01-01' AS ts", "id % 5 AS user_id", "'click' AS event_type", "0.5D AS value",
+        "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    before = set(Path(shared_folder(spark).removeprefix("file:")).glob("tabletop/inbox-*-arrays"))
+    found = registry.queries()["s13_ingest_json_layouts"](spark, str(tmp_path))
+    assert found.count() == 30_000 and found.select("event_id").distinct().count() == 30_000
+    inbox, = set(Path(shared_folder(spark).removeprefix("file:")).glob("tabletop/inbox-*-arrays")) - before
+    assert len(list(inbox.glob("*.txt"))) == 3
