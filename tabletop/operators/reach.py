@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabletop.session import working_folder
 
@@ -22,23 +23,25 @@ def reachable(links: DataFrame, source: str, target: str, starts: DataFrame) ->
     ways = f"{folder}/links"
     kept = links.select(F.col(source).alias("_from"), F.col(target).alias("node"))
     kept.where("_from IS NOT NULL AND node IS NOT NULL AND _from <> node").distinct().write.parquet(ways)
-    ways = spark.read.parquet(ways)
+    # Schemas are given, so that no round looks for them in files; rounds are partitions of one folder.
+    kinds = T.StructType([T.StructField(name, kept.schema[name].dataType) for name in ("_from", "node")])
+    ways = spark.read.schema(kinds).parquet(ways)
+    kind = ways.schema["node"].dataType
+    first = starts.select(F.col(starts.columns[0]).alias("start")).dropna().distinct()
+    first = first.select("start", F.col("start").cast(kind).alias("node"))
+    rounds = f"{folder}/rounds"
 
     def put(pairs: DataFrame, steps: int) -> DataFrame:
-        path = f"{folder}/rounds/round={steps}"
+        path = f"{rounds}/round={steps}"
         pairs.write.parquet(path)
-        return spark.read.parquet(path)
+        return spark.read.schema(first.schema).parquet(path)
 
-    first = starts.select(F.col(starts.columns[0]).alias("start")).dropna().distinct()
-    kind = ways.schema["node"].dataType
-    fresh = put(first.select("start", F.col("start").cast(kind).alias("node")), 0)
-    # Rounds are read by a list of folders: an empty round is not among them.
-    known, steps = [f"{folder}/rounds/round=0"], 0
+    def known() -> DataFrame:
+        return spark.read.schema(T.StructType([*first.schema, T.StructField("round", T.IntegerType())])).parquet(rounds)
+
+    fresh, steps = put(first, 0), 0
     while not fresh.isEmpty():
         steps += 1
         further = fresh.select("start", F.col("node").alias("_from")).join(ways, "_from").select("start", "node").distinct()
-        seen = spark.read.parquet(*known)
-        fresh = put(further.join(seen, ["start", "node"], "left_anti"), steps)
-        known.append(f"{folder}/rounds/round={steps}")
-    found = spark.read.option("basePath", f"{folder}/rounds").parquet(*known)
-    return found.select("start", "node", F.col("round").cast("int").alias("steps"))
+        fresh = put(further.join(known(), ["start", "node"], "left_anti"), steps)
+    return known().select("start", "node", F.col("round").alias("steps"))

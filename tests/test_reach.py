@@ -31,3 +31,17 @@ def test_nothing_to_go_on(spark):
     some = spark.createDataFrame([("x",)], "s string")
     assert values(reachable(none, "a", "b", some)) == [("x", "x", 0)]
     assert values(reachable(none, "a", "b", none.select("a"))) == []
+
+
+def test_few_jobs_a_round(spark):
+    """A round joins, compares with all known pairs, writes, and looks whether there is anything new; files are not asked for schemas."""
+    links = spark.range(12).selectExpr("id AS a", "id + 1 AS b")
+    starts = spark.range(1)
+    spark.sparkContext.setJobGroup("reach", "rounds")
+    try:
+        found = reachable(links, "a", "b", starts)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("reach"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert values(found) == sorted([(0, n, n) for n in range(13)], key=repr)
+    assert jobs <= 75, jobs
