@@ -26,11 +26,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def portions(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of ``texts`` of about ``chars`` characters each; a longer text stands alone."""
+def portions(texts: list[str | int | None], chars: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of ``texts``, or of texts of these lengths, of about ``chars`` characters each; a longer text stands alone."""
     start = held = 0
     for end, text in enumerate(texts):
-        length = len(text or "")
+        length = text if isinstance(text, int) else len(text or "")
         if end > start and held + length > chars:
             yield start, end
             start, held = end, 0

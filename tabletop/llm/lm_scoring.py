@@ -10,8 +10,12 @@ Counts of all words of the corpus are summed by Spark. Training runs in rounds:
 learns from the positions of every document in its rows (each ``stride``-th, another phase each round, so that after
 ``stride`` rounds every position of the corpus was a target once) by stochastic gradient steps in numpy, and the weights of
 all tasks are averaged by Spark, by the number of positions, in two levels of groups. Small partitions are put together
-before, so that a task takes many steps from the weights it starts with. So what is gathered from the corpus, counts and weights, grows with it, while the driver only holds the
-frequent words and one set of weights, both of fixed size; counts of the other words stay in files.
+before, so that a task takes many steps from the weights it starts with. So what is gathered from the corpus, counts and weights,
+grows with it, while the driver only holds the frequent words, the counts of as many others as ``_KNOWN`` says and one set of
+weights, all of fixed size; counts of the other words stay in files and are joined.
+
+Words are numbered once, after counting: all rounds and the scores read the numbers of a text from files. The steps of all ways
+are put one depth after the other, so that the words that still go down at a depth are the first ones of a step.
 
 Defined results: words are lower-cased and end at white space. Null and empty texts have no words, a log-probability of 0
 and a mean of 0. Texts are read whole. Repeated rows count and are scored each. No rows give no rows.
@@ -23,7 +27,9 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabletop.llm.common import batches, stored
+from tabletop.llm.common import batches, portions, stored
 
 VOCABULARY = 8192
 CLASSES = 64
@@ -41,6 +47,10 @@ SIDE = 2
 EMBEDDING = 8
 HIDDEN = 32
 _COUNTED_WORDS = 300_000
+_KNOWN = 65_536
+_PORTION = 1_000_000
+_SCORED = 2048
+_AROUND = np.array([step for step in range(-SIDE, SIDE + 1) if step])
 _BLOCK = 8192
 _STEP = 128
 _LARGEST_STEP = 512
@@ -55,7 +65,7 @@ def ending(word: str) -> int:
 
 
 class _Ids(dict):
-    """Number of every frequent word; other words have the number of their ending, the first ones."""
+    """Number of every frequent and every known word; other words have the number of their ending, the first ones."""
 
     def __missing__(self, word: str) -> int:
         return ending(word)
@@ -67,7 +77,8 @@ class WindowModel:
 
     Ids: endings first, then frequent words, then the mark for what lies beyond the ends of a text. The way to an id in the
     tree of its class takes ``lengths`` steps from ``starts`` in ``nodes`` and ``signs`` (1 for the first branch). ``log_share``
-    is that of a word met once in the bucket of an ending, and 0 for frequent words. ``rest`` has the counts of all others.
+    is that of a word met once in the bucket of an ending, and 0 for frequent words. Of the others, ``known`` has the counts of the
+    commonest and ``rest`` those of all that are left but of words met once, which add nothing.
     """
 
     ids: dict[str, int]
@@ -79,6 +90,7 @@ class WindowModel:
     signs: np.ndarray
     weights: np.ndarray
     rest: DataFrame | None = None
+    known: dict[str, int] = field(default_factory=dict)
 
     def shapes(self) -> list[tuple[int, ...]]:
         outputs = int(self.word_class.max()) + 1
@@ -95,21 +107,27 @@ class WindowModel:
             start += size
         return found
 
+    def longest_first(self, ids: np.ndarray) -> np.ndarray:
+        return np.argsort(-self.lengths.take(ids), kind="stable")
+
     def ways(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Steps through the trees to all of ``ids``: place in ``ids``, node and sign."""
-        lengths = self.lengths[ids]
-        step = np.arange(lengths.sum()) + np.repeat(self.starts[ids] - (np.cumsum(lengths) - lengths), lengths)
-        return np.repeat(np.arange(len(ids)), lengths), self.nodes[step], self.signs[step]
+        """Steps through the trees to all of ``ids``: place in ``ids``, node and sign; the first steps of all, the second and so on,
+        the longest ways first."""
+        order = self.longest_first(ids)
+        starts, lengths = self.starts.take(ids).take(order), self.lengths.take(ids).take(order)
+        held = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0, dtype=lengths.dtype)).tolist()
+        none = np.zeros(0, np.int64)
+        place = np.concatenate([none, *(order[:n] for n in held)])
+        step = np.concatenate([none, *(starts[:n] + depth for depth, n in enumerate(held))])
+        return place, self.nodes.take(step), self.signs.take(step)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word``, its ``ending`` and count ``n`` over all documents; every task sums up before the shuffle."""
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(counts: Counter) -> pa.RecordBatch:
-            words = list(counts)
             return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), pa.array([ending(word) for word in words], pa.int32()),
-                 pa.array(list(counts.values()), pa.int64())], ["word", "ending", "n"])
+                [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
         counts: Counter = Counter()
         for frame in batches(frames, text):
@@ -120,8 +138,9 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 counts.clear()
         yield rows(counts)
 
-    counted = docs.select(text).mapInArrow(count, "word string, ending int, n bigint")
-    return counted.groupBy("word", "ending").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    bucket = F.crc32(F.right("word", F.lit(3)).cast("binary")) % ENDINGS
+    return counted.select("word", bucket.cast("int").alias("ending"), "n")
 
 
 def _trees(word_class: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,11 +157,23 @@ def _trees(word_class: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarra
                     ways[i].append((len(odds), sign))
             odds.append(float(np.log(high / low)))
             heapq.heappush(heap, (low + high, first, left + right))
-    lengths = np.array([len(way) for way in ways], np.int64)
-    steps = np.array([step for way in ways for step in way], np.int32)
+    lengths = np.array([len(way) for way in ways], np.int16)
+    steps = np.array([step for way in ways for step in way], np.int64)
     return np.cumsum(lengths) - lengths, lengths, steps[:, 0], steps[:, 1].astype(np.float32), np.array(odds)
 
 
+def _lowest_known(rest: DataFrame) -> int:
+    """The count from which on words are known to all tasks, such that they are ``_KNOWN`` at most."""
+    levels = rest.groupBy(F.floor(F.log2("n") * 16).alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("n"), F.max("n").alias("most"))
+    words, lowest = 0, None
+    for row in sorted(levels.collect(), key=lambda row: -row.n):
+        words += row.words
+        if words > _KNOWN:
+            return lowest or row.most + 1
+        lowest = row.n
+    return lowest or 1
+
+
 def initial(counts: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES, seed: int = 5) -> WindowModel:
     """Words, classes, trees and shares from the counts of the corpus, and untrained weights, by which words have their shares."""
     frequent = counts.orderBy(F.col("n").desc(), "word").limit(vocabulary).collect()
@@ -156,12 +187,16 @@ def initial(counts: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLAS
     word_class = np.concatenate([np.arange(ENDINGS) % ENDING_CLASSES, ENDING_CLASSES + place])
     mass = np.concatenate([held, n])
     *trees, odds = _trees(word_class, mass)
-    rest = counts.where(F.lit(False))
+    rest, known = counts.where(F.lit(False)), {}
     if frequent:
         last = frequent[-1]
         rest = counts.where((F.col("n") < last.n) | ((F.col("n") == last.n) & (F.col("word") > last.word)))
+        lowest = _lowest_known(rest)
+        known = {row.word: row.n for row in rest.where(F.col("n") >= lowest).select("word", "n").collect()}
+        rest = rest.where((F.col("n") < lowest) & (F.col("n") > 1))
     share = np.concatenate([-np.log(held), np.zeros(len(n))])
-    model = WindowModel({row.word: ENDINGS + i for i, row in enumerate(frequent)}, word_class, share, *trees, np.zeros(0), rest)
+    ids = {row.word: ENDINGS + i for i, row in enumerate(frequent)}
+    model = WindowModel(ids, word_class, share, *trees, np.zeros(0), rest, known)
     random = np.random.default_rng(seed)
     *shapes, branches, _ = model.shapes()
     layers = [
@@ -172,90 +207,186 @@ def initial(counts: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLAS
     return replace(model, weights=np.concatenate([layer.ravel() for layer in layers]).astype(np.float32))
 
 
-def _windows(texts: list[str | None], ids: _Ids, mark: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words with marks around each text, the places of the words, and the number of words of each text."""
-    each = [[ids[word] for word in (text or "").lower().split()] for text in texts]
+def _numbers(texts: list[str | None], ids: _Ids) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All words of the texts, their numbers and how many each text has."""
+    each = [(text or "").lower().split() for text in texts]
     counts = np.array([len(words) for words in each], np.int64)
-    edge = [mark] * SIDE
-    row = np.array([i for words in each for i in (*edge, *words, *edge)], np.int32) if each else np.zeros(0, np.int32)
+    words = list(chain.from_iterable(each))
+    return words, np.fromiter(map(ids.__getitem__, words), np.int32, len(words)), counts
+
+
+def _places(counts: np.ndarray) -> np.ndarray:
+    """Places of all words where marks stand around each text."""
     first = np.cumsum(counts + 2 * SIDE) - counts - SIDE
-    places = np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)
-    return row, places, counts
+    return np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)
+
+
+def _windows(found: np.ndarray, counts: np.ndarray, mark: int) -> tuple[np.ndarray, np.ndarray]:
+    """All words with marks around each text, and the places of the words."""
+    places = _places(counts)
+    row = np.full(len(found) + 2 * SIDE * len(counts), mark, np.min_scalar_type(mark))
+    row[places] = found
+    return row, places
+
+
+def _rest(words: list[str], found: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Words of each text that have no number of their own, as often as they occur."""
+    at = np.flatnonzero(found < ENDINGS)
+    ends = np.searchsorted(at, np.cumsum([0, *counts]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([words[i] for i in at.tolist()], pa.string()))
+
+
+def number_words(docs: DataFrame, model: WindowModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The ids of every text with marks around it, ``_ids``, and its length ``_chars``; with ``keep``, these columns, the share of the
+    known words ``_known`` and all other words that are not frequent, ``_rest``, too."""
+    held = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
+    names = keep or []
+    more = [F.lit(0.0).alias("_known"), F.expr("cast(array() as array<string>)").alias("_rest")]
+    schema = docs.select(
+        *names, F.lit(None).cast("binary").alias("_ids"), F.lit(0).alias("_chars"), *([] if keep is None else more)).schema
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        ids, mark = _Ids(model.ids), len(model.word_class)
+        ids.update(zip(model.known, range(mark, mark + len(model.known))))
+        own = np.concatenate([np.arange(mark), np.array([ending(word) for word in model.known], np.int64)])
+        share = np.concatenate([np.zeros(mark), np.log(np.array(list(model.known.values()), np.float64))])
+        for frame in batches(frames, text, _PORTION):
+            texts = frame.column(text).to_pylist()
+            words, found, counts = _numbers(texts, ids)
+            row, _ = _windows(own.take(found), counts, mark)
+            ends = np.cumsum([0, *(counts + 2 * SIDE)]) * row.itemsize
+            columns = [
+                pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(row)]),
+                pa.array([len(value or "") for value in texts], pa.int32())]
+            if keep is not None:
+                owner = np.repeat(np.arange(len(texts)), counts)
+                columns += [pa.array(np.bincount(owner, share.take(found), len(texts))), _rest(words, found, counts)]
+            yield pa.RecordBatch.from_arrays([*[frame.column(name) for name in names], *columns], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _numbered(frames: Iterator[pa.RecordBatch], mark: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The arriving batches of ``number_words``, cut by the lengths of texts: the batch, its row of ids and words of each text."""
+    kind = np.min_scalar_type(mark)
+    for frame in frames:
+        for start, end in portions(frame.column("_chars").to_pylist(), _PORTION):
+            part = frame.slice(start, end - start)
+            each = part.column("_ids").to_pylist()
+            counts = np.array([len(ids) for ids in each], np.int64) // kind.itemsize - 2 * SIDE
+            yield part, np.frombuffer(b"".join(each), kind), counts
 
 
 def _context(row: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return np.stack([row[places + step] for step in range(-SIDE, SIDE + 1) if step], axis=1)
+    return row.take(places[:, None] + _AROUND)
+
+
+def _logits(layers: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Input, hidden layer and, a row for each class, log-odds of the classes against the likeliest."""
+    embedding, inner, inner_shift, outer, outer_shift = layers[:5]
+    given = embedding.take(context.ravel(), axis=0).reshape(len(context), -1)
+    hidden = given @ inner
+    hidden += inner_shift
+    np.maximum(hidden, 0, out=hidden)
+    logits = outer.T @ hidden.T
+    logits += outer_shift[:, None]
+    logits -= logits.max(axis=0)
+    return given, hidden, logits
 
 
 def _forward(layers: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Input, hidden layer and log-probabilities of the classes."""
-    embedding, inner, inner_shift, outer, outer_shift = layers[:5]
-    given = embedding[context].reshape(len(context), -1)
-    hidden = np.maximum(given @ inner + inner_shift, 0)
-    logits = hidden @ outer + outer_shift
-    logits -= logits.max(axis=1, keepdims=True)
-    return given, hidden, logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    given, hidden, logits = _logits(layers, context)
+    return given, hidden, (logits - np.log(np.exp(logits).sum(axis=0))).T
+
+
+def _met(layers: list[np.ndarray], hidden: np.ndarray, ways: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At each step, the weights of its node, the hidden layer and the log-odds of the branch that is taken."""
+    place, node, sign = ways
+    weights, above = layers[5].take(node, axis=0), hidden.take(place, axis=0)
+    return weights, above, sign * (np.einsum("ij,ij->i", weights, above) + layers[6].take(node))
 
 
 def _lean(layers: list[np.ndarray], hidden: np.ndarray, ways: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """Log-odds of the branch that is taken at each step."""
-    place, node, sign = ways
-    return sign * (np.einsum("ij,ij->i", layers[5][node], hidden[place]) + layers[6][node])
+    return _met(layers, hidden, ways)[2]
+
+
+@lru_cache(8)
+def _cells(rows: int, width: int) -> np.ndarray:
+    """Places of the cells of each row."""
+    return np.arange(rows * width).reshape(rows, width)
 
 
 def _subtract(array: np.ndarray, index: np.ndarray, values: np.ndarray) -> None:
-    """``np.subtract.at`` over rows, faster."""
-    if len(index):
-        order = np.argsort(index, kind="stable")
-        index = index[order]
-        first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-        array[index[first]] -= np.add.reduceat(values[order], first, axis=0)
+    """``np.subtract.at`` over rows of even width, by pairs of numbers taken as complex ones, which is several times faster."""
+    pair = np.result_type(array.dtype, np.complex64)
+    cells = _cells(len(array), array.shape[1] // 2).take(index, axis=0)
+    np.subtract.at(array.reshape(-1).view(pair), cells.ravel(), values.reshape(-1).view(pair))
+
+
+def _add_runs(array: np.ndarray, place: np.ndarray, values: np.ndarray) -> None:
+    """``np.add.at`` over rows, where ``place`` mostly counts up."""
+    cuts = [0, *(np.flatnonzero(np.diff(place) != 1) + 1).tolist(), len(place)]
+    for start, end in zip(cuts, cuts[1:]):
+        if end > start:
+            array[place[start]:place[end - 1] + 1] += values[start:end]
 
 
 def _learn(layers: list[np.ndarray], context: np.ndarray, target: np.ndarray, pace: float,
            ways: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
     """One gradient step in place, on the classes ``target`` and the ``ways`` in them."""
     embedding, inner, inner_shift, outer, outer_shift = layers[:5]
-    given, hidden, log_prob = _forward(layers, context)
-    slope = np.exp(log_prob)
-    slope[np.arange(len(target)), target] -= 1
-    slope *= pace / len(target)
-    back = slope @ outer.T
+    given, hidden, slope = _logits(layers, context)
+    rate = hidden.dtype.type(pace / len(target))
+    np.exp(slope, out=slope)
+    slope *= rate / (np.ones(len(slope), slope.dtype) @ slope)
+    slope[target, np.arange(len(target))] -= rate
+    back = slope.T @ outer.T
     if ways is not None:
         place, node, sign = ways
-        pull = -sign / (1 + np.exp(np.clip(_lean(layers, hidden, ways), -60, 60))) * hidden.dtype.type(pace / len(target))
-        _subtract(back, place, -pull[:, None] * layers[5][node])
-        _subtract(layers[5], node, pull[:, None] * hidden[place])
-        _subtract(layers[6], node, pull)
+        weights, above, lean = _met(layers, hidden, ways)
+        pull = -rate * sign / (1 + np.exp(np.clip(lean, -60, 60)))
+        weights *= pull[:, None]
+        above *= pull[:, None]
+        _add_runs(back, place, weights)
+        _subtract(layers[5], node, above)
+        layers[6] -= np.bincount(node, pull, len(layers[6]))
     back *= hidden > 0
     below = back @ inner.T
-    outer -= hidden.T @ slope
-    outer_shift -= slope.sum(axis=0)
+    outer -= (slope @ hidden).T
+    each = np.ones(len(target), slope.dtype)
+    outer_shift -= slope @ each
     inner -= given.T @ back
-    inner_shift -= back.sum(axis=0)
+    inner_shift -= each @ back
     _subtract(embedding, context.ravel(), below.reshape(-1, EMBEDDING))
 
 
 def learn_round(docs: DataFrame, model: WindowModel, number: int, stride: int = ROUNDS, text: str = "text", pace: float = 1.0) -> WindowModel:
     """One round: all tasks learn from ``model``; their weights are averaged by the number of positions."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(replace(model, rest=None))
+    return _learn_numbers(number_words(docs.select(text), model, text), model, number, stride, pace)
+
+
+def _learn_numbers(numbers: DataFrame, model: WindowModel, number: int, stride: int, pace: float = 1.0) -> WindowModel:
+    """A round over what ``number_words`` made of the documents."""
+    held = numbers.sparkSession.sparkContext.broadcast(replace(model, rest=None, ids={}, known={}))
 
     def learn(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        ids, mark = _Ids(model.ids), len(model.word_class)
         flat, seen, step = model.weights.copy(), 0, 0
         layers = model.layers(flat)
-        for frame in batches(frames, text, 1_000_000):
-            row, places, counts = _windows(frame.column(text).to_pylist(), ids, mark)
+        for _, row, counts in _numbered(frames, len(model.word_class)):
+            places = _places(counts)
             inner = np.arange(len(places)) - np.repeat(np.cumsum(counts) - counts, counts)
             places = places[inner % stride == number % stride]
             places = np.random.default_rng(number).permutation(places)
             start = 0
             while start < len(places):
                 some = places[start:start + min(_LARGEST_STEP, _STEP * (1 + step // 100))]
-                word = row[some]
-                _learn(layers, _context(row, some), model.word_class[word], pace / np.sqrt(1 + step / 200), model.ways(word))
+                some = some.take(model.longest_first(row.take(some)))
+                word = row.take(some)
+                _learn(layers, _context(row, some), model.word_class.take(word), pace / np.sqrt(1 + step / 200), model.ways(word))
                 step += 1
                 start += len(some)
             seen += len(places)
@@ -276,7 +407,7 @@ def learn_round(docs: DataFrame, model: WindowModel, number: int, stride: int =
             "seen": pa.array([int(seen.sum())], pa.int64()), "mean": pa.array([mean.astype(np.float32)], pa.list_(pa.float32()))})
 
     schema = "block int, part int, seen bigint, mean array<float>"
-    learned = docs.select(text).mapInArrow(learn, schema)
+    learned = numbers.select("_ids", "_chars").mapInArrow(learn, schema)
     once = learned.groupBy("block", "part").applyInArrow(add, schema)
     rows = once.groupBy("block").applyInArrow(add, schema).orderBy("block").collect()
     if not rows:
@@ -284,61 +415,89 @@ def learn_round(docs: DataFrame, model: WindowModel, number: int, stride: int =
     return replace(model, weights=np.concatenate([np.array(row.mean, np.float32) for row in rows]))
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, stride: int | None = None, text: str = "text",
-          vocabulary: int = VOCABULARY) -> WindowModel:
-    """A model of the whole corpus; by default every position is a target in one of the rounds."""
+def _begun(docs: DataFrame, text: str, vocabulary: int) -> tuple[WindowModel, int]:
+    """An untrained model of the whole corpus, and its number of words."""
     counts = stored(word_counts(docs, text), "words")
-    model = initial(counts, vocabulary)
-    words = counts.agg(F.sum("n")).first()[0] or 0
-    docs = docs.coalesce(max(1, words // _TASK_WORDS))
+    return initial(counts, vocabulary), counts.agg(F.sum("n")).first()[0] or 0
+
+
+def _trained(numbers: DataFrame, model: WindowModel, words: int, rounds: int, stride: int | None) -> WindowModel:
+    numbers = numbers.coalesce(max(1, words // _TASK_WORDS))
     for number in range(rounds):
-        model = learn_round(docs, model, number, stride or rounds, text)
+        model = _learn_numbers(numbers, model, number, stride or rounds)
     return model
 
 
-def score_texts(texts: list[str | None], model: WindowModel) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words and summed conditional log-probability of each text, with words that are not frequent taken as met once."""
-    row, places, counts = _windows(texts, _Ids(model.ids), len(model.word_class))
+def train(docs: DataFrame, rounds: int = ROUNDS, stride: int | None = None, text: str = "text",
+          vocabulary: int = VOCABULARY) -> WindowModel:
+    """A model of the whole corpus; by default every position is a target in one of the rounds."""
+    model, words = _begun(docs, text, vocabulary)
+    numbers = stored(number_words(docs.select(text), model, text), "numbers")
+    return _trained(numbers, model, words, rounds, stride)
+
+
+def _score_row(row: np.ndarray, counts: np.ndarray, model: WindowModel) -> np.ndarray:
+    """Summed conditional log-probability of each text in a row of ids."""
+    places = _places(counts)
     layers, found = model.layers(model.weights), np.zeros(len(places))
-    for start in range(0, len(places), 8192):
-        some = places[start:start + 8192]
-        _, hidden, log_prob = _forward(layers, _context(row, some))
-        word = row[some]
+    for start in range(0, len(places), _SCORED):
+        some = places[start:start + _SCORED]
+        _, hidden, logits = _logits(layers, _context(row, some))
+        word = row.take(some)
         ways = model.ways(word)
-        inside = np.bincount(ways[0], np.logaddexp(0, -_lean(layers, hidden, ways)), len(some))
-        found[start:start + 8192] = log_prob[np.arange(len(some)), model.word_class[word]] - inside + model.log_share[word]
-    owner = np.repeat(np.arange(len(texts)), counts)
-    return counts, np.bincount(owner, found, len(texts)) if len(found) else np.zeros(len(texts))
+        lean = _lean(layers, hidden, ways)
+        inside = np.bincount(ways[0], np.maximum(-lean, 0) + np.log1p(np.exp(-np.abs(lean))), len(some))
+        outside = logits[model.word_class.take(word), np.arange(len(some))] - np.log(np.exp(logits).sum(axis=0))
+        found[start:start + _SCORED] = outside - inside + model.log_share.take(word)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return np.bincount(owner, found, len(counts)) if len(found) else np.zeros(len(counts))
 
 
-def _rest(texts: list[str | None], ids: dict[str, int]) -> pa.Array:
-    """Words of each text that are not frequent, with how often they occur."""
-    each = [Counter([word for word in (text or "").lower().split() if word not in ids]) for text in texts]
-    words = pa.array([word for counts in each for word in counts], pa.string())
-    times = pa.array([n for counts in each for n in counts.values()], pa.int64())
-    ends = np.cumsum([0, *map(len, each)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, times], ["word", "times"]))
+def score_texts(texts: list[str | None], model: WindowModel) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words and summed conditional log-probability of each text, with words that are not frequent taken as met once."""
+    _, found, counts = _numbers(texts, _Ids(model.ids))
+    row, _ = _windows(found, counts, len(model.word_class))
+    return counts, _score_row(row, counts, model)
 
 
-def score(docs: DataFrame, model: WindowModel, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``n_words``, ``log_prob`` and ``mean_log_prob``; every other column passes, ``text`` only if asked for."""
-    held = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
+def _rows(docs: DataFrame, model: WindowModel, text: str, keep_text: bool) -> tuple[DataFrame, list[str]]:
+    """The numbers of all words in files, with a number for each row and the columns that pass; the names of these."""
     docs = docs.drop("n_words", "log_prob", "mean_log_prob")
     names = [name for name in docs.columns if keep_text or name != text]
-    schema = docs.select(*names, F.lit(0).cast("bigint").alias("n_words"), F.lit(0.0).alias("log_prob"), F.expr(
-        "cast(array() as array<struct<word string, times bigint>>)").alias("_rest")).schema
+    numbers = number_words(docs, model, text, names).withColumn("_row", F.monotonically_increasing_id())
+    return stored(numbers, "numbers"), names
+
+
+def _scored(numbers: DataFrame, model: WindowModel, names: list[str]) -> DataFrame:
+    held = numbers.sparkSession.sparkContext.broadcast(replace(model, rest=None, ids={}, known={}))
+    given = numbers.select(*names, "_row", "_known", "_ids", "_chars")
+    passed = [*names, "_row"]
+    schema = given.select(*passed, F.lit(0).cast("bigint").alias("n_words"), F.lit(0.0).alias("log_prob")).schema
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in batches(frames, text, 1_000_000):
-            texts = frame.column(text).to_pylist()
-            counts, sums = score_texts(texts, held.value)
-            more = [pa.array(counts, pa.int64()), pa.array(sums), _rest(texts, held.value.ids)]
-            yield pa.RecordBatch.from_arrays([*[frame.column(name) for name in names], *more], schema.names)
-
-    # Rows are numbered once, in files: the words that are not frequent meet their counts apart from the other columns.
-    scored = stored(docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scores")
-    words = scored.select("_row", F.inline("_rest")).join(model.rest.select("word", "n"), "word")
-    known = words.groupBy("_row").agg(F.sum(F.col("times") * F.log("n")).alias("_known"))
-    total = F.col("log_prob") + F.coalesce("_known", F.lit(0.0))
-    return scored.join(known, "_row", "left").select(
+        for frame, row, counts in _numbered(frames, len(held.value.word_class)):
+            sums = _score_row(row, counts, held.value) + frame.column("_known").to_numpy()
+            columns = [frame.column(name) for name in passed]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(sums)], schema.names)
+
+    # The words that all tasks do not know meet their counts apart from the other columns.
+    scored = given.mapInArrow(run, schema)
+    words = numbers.select("_row", F.explode("_rest").alias("word")).join(model.rest.select("word", F.log("n").alias("_log")), "word")
+    other = words.groupBy("_row").agg(F.sum("_log").alias("_other"))
+    total = F.col("log_prob") + F.coalesce("_other", F.lit(0.0))
+    return scored.join(other, "_row", "left").select(
         *names, "n_words", total.alias("log_prob"), (total / F.greatest("n_words", F.lit(1))).alias("mean_log_prob"))
+
+
+def score(docs: DataFrame, model: WindowModel, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``n_words``, ``log_prob`` and ``mean_log_prob``; every other column passes, ``text`` only if asked for."""
+    numbers, names = _rows(docs, model, text, keep_text)
+    return _scored(numbers, model, names)
+
+
+def train_and_score(docs: DataFrame, rounds: int = ROUNDS, stride: int | None = None, text: str = "text",
+                    vocabulary: int = VOCABULARY, keep_text: bool = True) -> DataFrame:
+    """``score`` of ``docs`` by the model that ``train`` makes of them; their words are numbered once for both."""
+    model, words = _begun(docs, text, vocabulary)
+    numbers, names = _rows(docs, model, text, keep_text)
+    return _scored(numbers, _trained(numbers, model, words, rounds, stride), names)

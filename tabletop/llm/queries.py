@@ -62,7 +62,7 @@ def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Pseudo-likelihood of every document under a model of all of them."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return lm_scoring.score(docs, lm_scoring.train(docs), keep_text=False)
+    return lm_scoring.train_and_score(docs, keep_text=False)
 
 
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
