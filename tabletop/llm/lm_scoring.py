@@ -25,14 +25,13 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +46,8 @@ SIDE = 2
 EMBEDDING = 8
 HIDDEN = 32
 _COUNTED_WORDS = 300_000
-_KNOWN = 65_536
+_COUNTED_CHARS = 5_000_000
+_KNOWN = 131_072
 _PORTION = 1_000_000
 _SCORED = 2048
 _AROUND = np.array([step for step in range(-SIDE, SIDE + 1) if step])
@@ -64,13 +64,6 @@ def ending(word: str) -> int:
     return zlib.crc32(word[-3:].encode("utf-8", "surrogatepass")) % ENDINGS
 
 
-class _Ids(dict):
-    """Number of every frequent and every known word; other words have the number of their ending, the first ones."""
-
-    def __missing__(self, word: str) -> int:
-        return ending(word)
-
-
 @dataclass(frozen=True)
 class WindowModel:
     """``ids`` of frequent words, ``word_class`` by id, the trees of the classes, and the network's weights.
@@ -122,21 +115,49 @@ class WindowModel:
         return place, self.nodes.take(step), self.signs.take(step)
 
 
+def _words(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, one after the other, and how many each text has."""
+    counts, joined = np.zeros(len(texts), np.int64), []
+    for i, value in enumerate(texts):
+        words = (value or "").lower().split()
+        if words:
+            counts[i] = len(words)
+            joined.append(" ".join(words))
+    return pc.split_pattern(pa.array(joined, pa.string()), " ").flatten(), counts
+
+
+def _numbers(words: pa.Array, listed: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Numbers of all words: that of their ending, or ``ENDINGS`` and their place among those ``listed``; where they stand among the
+    different words, and these."""
+    coded = words.dictionary_encode()
+    place = coded.indices.to_numpy(zero_copy_only=False)
+    ends = pc.utf8_slice_codeunits(coded.dictionary, -3).dictionary_encode()
+    bucket = np.array([ending(end) for end in ends.dictionary.to_pylist()], np.int64)
+    bucket = bucket.take(ends.indices.to_numpy(zero_copy_only=False)) if len(ends) else np.zeros(0, np.int64)
+    own = pc.fill_null(pc.index_in(coded.dictionary, value_set=listed), -1).to_numpy(zero_copy_only=False)
+    return np.where(own >= 0, ENDINGS + own, bucket).take(place) if len(place) else np.zeros(0, np.int64), coded.dictionary, place
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word``, its ``ending`` and count ``n`` over all documents; every task sums up before the shuffle."""
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(counts: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-        counts: Counter = Counter()
-        for frame in batches(frames, text):
-            for value in frame.column(text).to_pylist():
-                counts.update((value or "").lower().split())
-            if len(counts) > _COUNTED_WORDS:
-                yield rows(counts)
-                counts.clear()
-        yield rows(counts)
+        def summed(parts: list[pa.Table]) -> pa.Table:
+            both = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return both.select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+        parts, held = [], 0
+        for frame in batches(frames, text, _COUNTED_CHARS):
+            met = _words(frame.column(text).to_pylist())[0].value_counts()
+            parts.append(pa.table({"word": met.field("values"), "n": met.field("counts")}))
+            held += len(met)
+            if held > 2 * _COUNTED_WORDS:
+                parts = [summed(parts)]
+                held = len(parts[0])
+                if held > _COUNTED_WORDS:
+                    yield from parts[0].to_batches()
+                    parts, held = [], 0
+        if parts:
+            yield from summed(parts).to_batches()
 
     counted = docs.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     bucket = F.crc32(F.right("word", F.lit(3)).cast("binary")) % ENDINGS
@@ -207,14 +228,6 @@ def initial(counts: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLAS
     return replace(model, weights=np.concatenate([layer.ravel() for layer in layers]).astype(np.float32))
 
 
-def _numbers(texts: list[str | None], ids: _Ids) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """All words of the texts, their numbers and how many each text has."""
-    each = [(text or "").lower().split() for text in texts]
-    counts = np.array([len(words) for words in each], np.int64)
-    words = list(chain.from_iterable(each))
-    return words, np.fromiter(map(ids.__getitem__, words), np.int32, len(words)), counts
-
-
 def _places(counts: np.ndarray) -> np.ndarray:
     """Places of all words where marks stand around each text."""
     first = np.cumsum(counts + 2 * SIDE) - counts - SIDE
@@ -229,11 +242,11 @@ def _windows(found: np.ndarray, counts: np.ndarray, mark: int) -> tuple[np.ndarr
     return row, places
 
 
-def _rest(words: list[str], found: np.ndarray, counts: np.ndarray) -> pa.Array:
+def _rest(different: pa.Array, place: np.ndarray, found: np.ndarray, counts: np.ndarray) -> pa.Array:
     """Words of each text that have no number of their own, as often as they occur."""
     at = np.flatnonzero(found < ENDINGS)
     ends = np.searchsorted(at, np.cumsum([0, *counts]))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([words[i] for i in at.tolist()], pa.string()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), different.take(pa.array(place[at])))
 
 
 def number_words(docs: DataFrame, model: WindowModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -247,13 +260,13 @@ def number_words(docs: DataFrame, model: WindowModel, text: str = "text", keep:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        ids, mark = _Ids(model.ids), len(model.word_class)
-        ids.update(zip(model.known, range(mark, mark + len(model.known))))
+        mark, listed = len(model.word_class), pa.array([*model.ids, *model.known], pa.string())
         own = np.concatenate([np.arange(mark), np.array([ending(word) for word in model.known], np.int64)])
         share = np.concatenate([np.zeros(mark), np.log(np.array(list(model.known.values()), np.float64))])
-        for frame in batches(frames, text, _PORTION):
+        for frame in batches(frames, text, _COUNTED_CHARS):
             texts = frame.column(text).to_pylist()
-            words, found, counts = _numbers(texts, ids)
+            words, counts = _words(texts)
+            found, different, place = _numbers(words, listed)
             row, _ = _windows(own.take(found), counts, mark)
             ends = np.cumsum([0, *(counts + 2 * SIDE)]) * row.itemsize
             columns = [
@@ -261,7 +274,7 @@ def number_words(docs: DataFrame, model: WindowModel, text: str = "text", keep:
                 pa.array([len(value or "") for value in texts], pa.int32())]
             if keep is not None:
                 owner = np.repeat(np.arange(len(texts)), counts)
-                columns += [pa.array(np.bincount(owner, share.take(found), len(texts))), _rest(words, found, counts)]
+                columns += [pa.array(np.bincount(owner, share.take(found), len(texts))), _rest(different, place, found, counts)]
             yield pa.RecordBatch.from_arrays([*[frame.column(name) for name in names], *columns], schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -455,7 +468,8 @@ def _score_row(row: np.ndarray, counts: np.ndarray, model: WindowModel) -> np.nd
 
 def score_texts(texts: list[str | None], model: WindowModel) -> tuple[np.ndarray, np.ndarray]:
     """Number of words and summed conditional log-probability of each text, with words that are not frequent taken as met once."""
-    _, found, counts = _numbers(texts, _Ids(model.ids))
+    words, counts = _words(texts)
+    found, _, _ = _numbers(words, pa.array(list(model.ids), pa.string()))
     row, _ = _windows(found, counts, len(model.word_class))
     return counts, _score_row(row, counts, model)
 

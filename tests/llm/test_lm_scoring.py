@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import odd
 
@@ -131,3 +133,66 @@ def test_gradient_of_ways():
             low = loss(layers)
             layer[at] = before
             assert np.isclose((before - after[at]) / 1e-6, (high - low) / 2e-5, atol=1e-5)
+
+
+def test_words_are_numbered_once(spark):
+    """Two passes over the texts, for counts and for numbers, serve all rounds and the scores, which are those of the separate calls."""
+    read = spark.sparkContext.accumulator(0)
+
+    def watched(frames):
+        for frame in frames:
+            read.add(frame.num_rows)
+            yield frame
+
+    given = odd.documents(spark).coalesce(1)
+    rows = L.train_and_score(given.mapInArrow(watched, given.schema)).collect()
+    assert read.value == 2 * len(odd.ROWS)
+    apart = L.score(given, L.train(given)).collect()
+    key = lambda row: (str(row.text), row.n_words, row.log_prob)
+    assert len(rows) == len(apart) == len(odd.ROWS)
+    for one, other in zip(sorted(rows, key=key), sorted(apart, key=key)):
+        assert one.text == other.text and one.n_words == other.n_words and np.isclose(one.log_prob, other.log_prob)
+
+
+def test_known_and_joined_shares_agree(spark, monkeypatch):
+    """Whether all tasks know the count of a word or it is joined; and words are those that Python tells."""
+    texts = [" ".join([word] * n) for word, n in {"the": 50, "xqing": 12, "yqing": 3, "zqing": 1, "of": 40}.items()]
+    texts += ["\u0130x  \u03a3\u0391\u03a3\x1cend\x85of\u3000the\ta\xa0b", "   ", "", None, "ab ab \U0001f600\U0001f600\U0001f600\U0001f600 ab", "of xqing yqing yqing"]
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "i int, text string").coalesce(1)
+    counted = Counter(word for text in texts for word in (text or "").lower().split())
+    assert {row.word: (row.ending, row.n) for row in L.word_counts(docs).collect()} == {
+        word: (L.ending(word), n) for word, n in counted.items()}
+    found = []
+    for known in (0, 2, 1000):
+        monkeypatch.setattr(L, "_KNOWN", known)
+        model = L.initial(L.word_counts(docs), vocabulary=3)
+        assert len(model.known) <= known and (known < 1000 or len(model.known) == len(counted) - 3)
+        found.append([tuple(row) for row in L.score(docs, model).orderBy("i").select("n_words", "log_prob").collect()])
+    assert [row[0] for row in found[0]] == [len((text or "").split()) for text in texts]
+    for other in found[1:]:
+        assert np.allclose(found[0], other)
+    counts, sums = L.score_texts(texts, model)
+    for (n, log_prob), text, plain in zip(found[0], texts, sums):
+        shares = sum(np.log(counted[word]) for word in (text or "").lower().split() if word not in model.ids)
+        assert np.isclose(log_prob, plain + shares)
+
+
+def test_many_words_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(L, "_COUNTED_WORDS", 3)
+    monkeypatch.setattr(L, "_COUNTED_CHARS", 10)
+    texts = ["a b c d e", "a a b f g", None, "h i j k l m n o p q a"] * 3
+    docs = spark.createDataFrame([(text,) for text in texts], "text string").coalesce(1)
+    counted = Counter(word for text in texts for word in (text or "").split())
+    assert {row.word: row.n for row in L.word_counts(docs).collect()} == counted
+
+
+def test_rows_are_added_at_repeated_places():
+    random = np.random.default_rng(3)
+    for index in (np.array([0, 1, 2, 0, 1, 0, 3, 3, 5]), np.zeros(0, int), random.integers(0, 6, 40)):
+        values = random.normal(size=(len(index), 4)).astype(np.float32)
+        added, taken = np.zeros((6, 4), np.float32), np.zeros((6, 4), np.float32)
+        plain = np.zeros((6, 4))
+        np.add.at(plain, index, values)
+        L._add_runs(added, index, values)
+        L._subtract(taken, index, values)
+        assert np.allclose(added, plain, atol=1e-5) and np.allclose(taken, -plain, atol=1e-5)
